@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, tokenbin
+from . import decontam, mixing, sharding, tokenbin
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op4_decontamination": decontam.op4_decontamination,
     "op7_token_files": tokenbin.op7_token_files,
     "op10_pfair_mixing": mixing.op10_pfair_mixing,
 }
