@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about `most` bytes of a string column."""
-    lengths = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
+    lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
     ends = np.cumsum(lengths)
     at = 0
     while at < batch.num_rows:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, sharding, tokenbin
+from . import decontam, langid, mixing, sharding, tokenbin, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op4_decontamination": decontam.op4_decontamination,
+    "op5_language_id": langid.op5_language_id,
     "op7_token_files": tokenbin.op7_token_files,
     "op10_pfair_mixing": mixing.op10_pfair_mixing,
 }
