@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, mixing, sharding, tokenbin, toxicity
+from . import decontam, html_extract, langid, mixing, sharding, tokenbin, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_decontamination": decontam.op4_decontamination,
     "op5_language_id": langid.op5_language_id,
     "op7_token_files": tokenbin.op7_token_files,
+    "op8_html_extraction": html_extract.op8_html_extraction,
     "op10_pfair_mixing": mixing.op10_pfair_mixing,
 }
 
