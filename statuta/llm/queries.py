@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html_extract, langid, mixing, sharding, tokenbin, toxicity
+from . import decontam, html_extract, langid, mixing, ngram_join, sharding, tokenbin, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_language_id": langid.op5_language_id,
     "op7_token_files": tokenbin.op7_token_files,
     "op8_html_extraction": html_extract.op8_html_extraction,
+    "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
     "op10_pfair_mixing": mixing.op10_pfair_mixing,
 }
 
