@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, html_extract, langid, mixing, ngram_join, sharding, tokenbin, toxicity
+from . import decontam, html_extract, langid, lm, mixing, ngram_join, sharding, tokenbin, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_lm_scoring": lm.op3_lm_scoring,
     "op4_decontamination": decontam.op4_decontamination,
     "op5_language_id": langid.op5_language_id,
     "op7_token_files": tokenbin.op7_token_files,
