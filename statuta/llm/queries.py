@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html_extract, langid, lm, mixing, ngram_join, sharding, tokenbin, toxicity
+from . import decontam, embed_dedup, html_extract, langid, lm, mixing, ngram_join, sharding, tokenbin, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_lm_scoring": lm.op3_lm_scoring,
     "op4_decontamination": decontam.op4_decontamination,
     "op5_language_id": langid.op5_language_id,
+    "op6_embedding_near_dedup": embed_dedup.op6_embedding_near_dedup,
     "op7_token_files": tokenbin.op7_token_files,
     "op8_html_extraction": html_extract.op8_html_extraction,
     "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
