@@ -199,13 +199,13 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, row, n_shingles, component_id, class.
+    """Per row of docs: doc_id, row, n_shingles, component_id, root.
 
     component_id: the smallest key reachable by links, the document's own included; null keys
     count for nothing in it and a component of null keys has a null one. A text that is null
     or has no word has n_shingles 0 and is linked with nothing: its component is its own key.
     Rows that are equal in key and text are returned as often as they come. `row` is a hash of
-    key and text; sets are compared as sets of 64-bit shingle hashes. No rows give no rows.
+    key and text, `root` the least `row` of the component's classes, null without shingles; sets are compared as sets of 64-bit shingle hashes. No rows give no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -243,7 +243,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     out = out.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = out.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
     out = out.join(least, "root", "left")
-    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "class")
+    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "root")
 
 
 def _enough(joined: DataFrame) -> DataFrame:
