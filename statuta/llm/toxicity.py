@@ -155,17 +155,23 @@ class Model:
         self.lexicon, self.trees, self.curve, self.rate = lexicon, trees, curve, rate
 
 
-def fit(train: DataFrame) -> Model:
-    """From rows (key, text, toxic). Rows whose label is null or neither 0 nor 1 teach nothing;
-    with one label only, every text gets the share of toxic rows."""
-    bounded_batches(train.sparkSession)
-    rows = train.filter(F.col("toxic").isin(0, 1)).select(text_of(train).alias("text"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64(F.lit(9), "key", "text").alias("h"))
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
+    """From docs (key, text) and labels (key, toxic); a key with several labels counts by its greatest.
+
+    Labels that are null or neither 0 nor 1 teach nothing, nor do those of null keys; with one
+    label only, every text gets the share of toxic rows. The sample is drawn from the labels,
+    so that the texts of other rows aren't moved.
+    """
+    bounded_batches(docs.sparkSession)
+    rows = labels.filter(F.col("toxic").isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.max("toxic").cast("int").alias("toxic")).withColumn("h", F.xxhash64(F.lit(9), "key"))
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return Model({}, rate=float(bool(n.get(1))))
     take = F.when(F.col("toxic") == 1, int(min(1.0, SAMPLE_ROWS / n[1]) * (1 << 20))).otherwise(int(min(1.0, SAMPLE_ROWS / n[0]) * (1 << 20)))
     fold = F.pmod(F.shiftright("h", 24), F.lit(20))
-    sample = materialize(rows.filter(F.pmod("h", F.lit(1 << 20)) < take).select("text", "toxic", fold.cast("int").alias("fold")))
+    # SAMPLE_ROWS of each label, about: small enough to send to every task
+    some = F.broadcast(rows.filter(F.pmod("h", F.lit(1 << 20)) < take).select("key", "toxic", fold.cast("int").alias("fold")))
+    sample = materialize(docs.join(some, docs[key] == some["key"]).select(text_of(docs).alias("text"), "toxic", "fold"))
     lexicon = learn_lexicon(sample.filter("fold < 9"))
     ready = with_features(sample.filter("fold >= 9"), lexicon, ["toxic", "fold"]).withColumns({"features": array_to_vector("features"), "label": F.col("toxic").cast("double")})
     ready = materialize(ready.select("label", "fold", "features").coalesce(4)).coalesce(4).cache()
@@ -198,6 +204,5 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = crc_text(F.col("doc_id")) % 3 == 1
-    toxic = labels.filter(~held).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    model = fit(docs.select("doc_id", "text").join(toxic, "doc_id").select(F.col("doc_id").alias("key"), "text", "toxic"))
+    model = fit(docs.select("doc_id", "text"), labels.filter(~held).select("doc_id", "toxic"))
     return score(docs.select("doc_id", "text", held.alias("held_out")), model, ["doc_id", "held_out"])
