@@ -1 +1 @@
-
+"""Record jobs: each takes DataFrames and returns a DataFrame."""

@@ -1,4 +1,5 @@
 """Registered queries: domain frames derived from the driver's tables, and library jobs on them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
