@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import catalog, cleaning, diffing, enforcement, evidence, promotion, validation
+from ..sources import html, listing
+from ..streaming import feeds
 from . import frames as fr
 
 QUERIES: dict = {}
@@ -537,3 +544,66 @@ def review_queue(spark, sf):
     l = spark.read.parquet(f"{sf}/events.parquet").filter("event_type in ('purchase', 'signup', 'error')")
     kind = F.expr("case event_type when 'purchase' then 'promote' when 'signup' then 'rollback' else 'reject' end")
     return promotion.review_queue(_two_layers(spark, sf), l.select(F.concat(F.lit("part-"), (F.col("user_id") % 500).cast("string")).alias("policy_id"), kind.alias("kind"), F.format_string("%012d", "event_id").alias("ts")))
+
+
+# ---- captured pages and listings -----------------------------------------------------------
+@query("select o_orderkey as at, concat('Listing no ', o_orderkey) as title, concat('http://l.example/d?id=', o_orderkey) as url, cast(to_timestamp(1600000000 + o_orderkey * 86400) at time zone 'UTC' + interval 8 hour as date) as published_on from orders where o_orderkey % 3 <> 0 union all select o_orderkey, concat('Listing no ', o_orderkey), concat('http://l.example/p/', o_orderkey), make_date(2026, cast(o_orderkey % 12 + 1 as int), 5) from orders where o_orderkey % 3 = 0")
+def json_listing_items(spark, sf):
+    """Listings of two sources: one with urls and texts for dates, one with a template and epochs."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    payload = F.expr("case when o_orderkey % 3 = 0 then to_json(named_struct('data', named_struct('rows', array(named_struct('docTitle', concat('Listing no ', o_orderkey, '【新】'), 'url', concat('/p/', o_orderkey), 'publishDate', concat('2026-', o_orderkey % 12 + 1, '-5 10:00')))))) else to_json(named_struct('results', array(named_struct('docTitle', concat(' Listing\n no ', o_orderkey), 'docId', o_orderkey, 'publishDate', (1600000000 + o_orderkey * 86400) * 1000), named_struct('docTitle', 'abc', 'docId', 1L, 'publishDate', 1L)))) end")
+    pages = o.select("o_orderkey", F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("source_id"), payload.alias("payload"), F.lit("http://l.example/d?id={docId}").alias("url_template"), F.lit("http://l.example/list/index.html").alias("list_url"), F.expr("map('title', 'docTitle', 'date', 'publishDate')").alias("field_map"))
+    return listing.listing_docs(pages).select(F.substring("source_id", 2, 20).cast("bigint").alias("at"), "title", "url", "published_on")
+
+
+@query("select page_id, trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&amp;', '&'), '&quot;', '\"'), '  ', ' ')) as title from pages")
+def page_titles(spark, sf):
+    return html.page_contents(spark.read.parquet(f"{sf}/pages.parquet")).select("page_id", F.col("page_title").alias("title"))
+
+
+@query("select url, len(regexp_extract_all(html, '<li><a href')) as links from pages")
+def page_links(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    n = html.page_links(pages).groupBy("url").agg(F.count(F.lit(1)).alias("links"))
+    return pages.select("url").join(n, "url").select("url", "links")
+
+
+@query()
+def page_texts(spark, sf):
+    return html.page_contents(spark.read.parquet(f"{sf}/pages.parquet")).select("page_id", F.length("body_text").alias("length"), "usable")
+
+
+@query()
+def html_list_docs(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("source_id", F.lit("s1"))
+    return html.list_docs(pages).select("list_url", "at", "title", "url")
+
+
+# ---- streams -----------------------------------------------------------------------------
+_OWN: dict[str, str] = {}
+
+
+def _folder(spark) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get("dir")
+    if not base:
+        base = _OWN["dir"] = tempfile.mkdtemp(prefix="spark-statuta-", dir="/tmp")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@query(f"with raw as ({RAW}) select url, min(seq) as seq from raw group by 1")
+def stream_first_seen(spark, sf):
+    """Documents landed in seven files, read as a stream until all are seen."""
+    folder, docs = _folder(spark), raw_doc(spark, sf)
+    docs.repartitionByRange(7, "seq").write.parquet(f"{folder}/landed")
+    feeds.first_seen(spark, f"{folder}/landed", docs.schema, f"{folder}/table", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/table").groupBy("url").agg(F.min("seq").alias("seq"))
+
+
+@query(f"with c as ({CHG}) select detected_on, change_type, policy_id, coalesce(url, '') as url, max(event_id) as event_id from c group by 1, 2, 3, 4")
+def stream_change_upsert(spark, sf):
+    """Changes landed twice over: the state is what the last landing of each key says."""
+    folder, c = _folder(spark), change(spark, sf)
+    c.repartition(3).write.parquet(f"{folder}/landed")
+    feeds.upsert_changes(spark, f"{folder}/landed", c.schema, f"{folder}/table", f"{folder}/work").awaitTermination()
+    return spark.read.parquet(f"{folder}/table").select("detected_on", "change_type", "policy_id", F.coalesce("url", F.lit("")).alias("url"), "event_id")

@@ -1 +1 @@
-
+"""Reading captured pages, listings and records, and writing what the jobs make."""
