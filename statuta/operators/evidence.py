@@ -30,6 +30,10 @@ def best_ratio(candidates: pd.Series, core: pd.Series) -> pd.Series:
     return pd.Series([max((difflib.SequenceMatcher(None, c, core_).ratio() for c in cs), default=0.0) for cs, core_ in zip(candidates, core, strict=True)], dtype="float64")
 
 
+# a filter over their results must not be moved below them
+ratio, best_ratio = ratio.asNondeterministic(), best_ratio.asNondeterministic()
+
+
 def option(key, kind, field=None, value=None, index=None) -> Column:
     lit = lambda x, t: x if isinstance(x, Column) else F.lit(x).cast(t)
     return F.struct(lit(key, "string").alias("key"), lit(kind, "string").alias("kind"), lit(field, "string").alias("field"), lit(value, "string").alias("value"), lit(index, "int").alias("index"))

@@ -53,7 +53,7 @@ class _Page(HTMLParser):
         elif tag == "a" and self.anchor:
             self.links.append(tuple(self.anchor))
             self.anchor = None
-        elif tag in ("td", "th"):
+        elif tag in ("td", "th", "tr", "table"):
             self.cell = None
         if tag in BLOCKS:
             self.text.append("\n")

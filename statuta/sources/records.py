@@ -39,7 +39,7 @@ def load_records(spark: SparkSession, path: str, schema: str = schemas.POLICY, k
         if "PATH_NOT_FOUND" not in str(e):
             raise
         files = spark.createDataFrame([], "path string, content binary")
-    parsed = files.select("path", F.from_json(yaml_to_json(F.decode("content", F.lit("utf-8"))), schema).alias("r"))
+    parsed = files.select("path", F.from_json(yaml_to_json(F.decode("content", "utf-8")), schema).alias("r"))
     good = parsed.filter(F.col(f"r.{key}").isNotNull()).select("path", "r.*")
     bad = parsed.filter(F.col(f"r.{key}").isNull()).select(F.col("path").alias("record_id"), F.lit("unreadable").alias("rule"), F.lit("error").alias("severity"), F.lit(1).cast("long").alias("extra_rows"))
     first, extra = duplicates(good, key, "path")
