@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, bounded_batches, materialize, mixed, slices, span_hashes, table, text_of, utf8, words
@@ -32,6 +32,8 @@ SKETCH_BITS = 20
 SKETCH_BLOCKS = 64
 SKETCH_SALTS = 64
 MOST_MATCHES = 4
+#: Bytes of text that are hashed at once: a worker needs some fifty times as many.
+PIECE_BYTES = 1 << 20
 FILTER_BITS = 24
 
 
@@ -85,7 +87,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
     def count(batches):
         counts, salt = np.zeros(1 << SKETCH_BITS, np.int64), TaskContext.get().partitionId() % SKETCH_SALTS
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", PIECE_BYTES):
                 values, _ = shingles(*utf8(piece.column("text")))
                 counts += np.bincount((values & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(counts))
         if counts.any():
@@ -114,13 +116,13 @@ def levels(counts: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """Per row: doc_id, row, n, two checksums of the set, matches (l), last (order of the last prefix shingle), cost and prefix."""
+    """Per row: doc_id, row, n, class (a checksum of the set), matches (l), last (order of the last prefix shingle), cost and prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches):
         level = shared.value
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", PIECE_BYTES):
                 values, at = shingles(*utf8(piece.column("text")))
                 n = np.diff(at)
                 sums = _per_text(mixed(values + np.uint64(1)), at, np.add), _per_text(mixed(values ^ np.uint64(0x5851F42D4C957F2D)), at, np.bitwise_xor)
@@ -143,11 +145,11 @@ def prefixes(docs: DataFrame, level: np.ndarray) -> DataFrame:
                 last[n > 0] = key[(at[:-1] + length - 1)[n > 0]].astype(np.int64)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values[inside].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("row"), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(matches, pa.int32()), pa.array(last), pa.array(cost), prefix],
-                    ["doc_id", "row", "n", "sum1", "sum2", "matches", "last", "cost", "prefix"],
+                    [piece.column("doc_id"), piece.column("row"), pa.array(n, pa.int64()), pa.array(mixed(sums[0] ^ mixed(sums[1]) ^ n.astype(np.uint64)).view(np.int64)), pa.array(matches, pa.int32()), pa.array(last), pa.array(cost), prefix],
+                    ["doc_id", "row", "n", "class", "matches", "last", "cost", "prefix"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, row long, n long, sum1 long, sum2 long, matches int, last long, cost double, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, row long, n long, class long, matches int, last long, cost double, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -161,7 +163,7 @@ def sets_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
             row = np.asarray(batch.column("row"))
             bit = (row.astype(np.int64) & ((1 << FILTER_BITS) - 1)).astype(np.int64)
             some = batch.filter(pa.array((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
-            for piece in slices(some, "text"):
+            for piece in slices(some, "text", PIECE_BYTES):
                 values, at = shingles(*utf8(piece.column("text")))
                 yield pa.RecordBatch.from_arrays([piece.column("row"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))], ["row", "set"])
 
@@ -205,66 +207,76 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     count for nothing in it and a component of null keys has a null one. A text that is null
     or has no word has n_shingles 0 and is linked with nothing: its component is its own key.
     Rows that are equal in key and text are returned as often as they come. `row` is a hash of
-    key and text, `root` the least `row` of the component's classes, null without shingles; sets are compared as sets of 64-bit shingle hashes. No rows give no rows.
+    key and text, `root` the least `row` of the component's classes, null without shingles. Sets
+    are compared as sets of 64-bit shingle hashes, and are equal if their 64-bit checksums are.
+    No rows give no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     all_rows = materialize(prefixes(docs, levels(sketch(docs))))
-    full = all_rows.filter("n > 0")
-    classes = full.groupBy("sum1", "sum2", "n").agg(F.min("row").alias("class"))
-    heads = full.join(classes.select(F.col("class").alias("row")), "row").dropDuplicates(["row"])
-    length = F.size("prefix")
-    index = heads.select("row", F.posexplode("prefix").alias("at", "token"))
-    often = index.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("token")
-    live = materialize(index.join(often, "token"))
-    alive = live.groupBy("row").agg(F.count(F.lit(1)).alias("live"))
-    about = materialize(full.select("row", "n", "matches", "last", "cost", length.alias("length")).join(alive, "row").dropDuplicates(["row"]))
-    live = materialize(live.join(about, "row"))
+    index = all_rows.select("class", F.posexplode("prefix").alias("at", "token"))
+    shared = index.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo != hi").select("token")
+    live = materialize(index.join(shared, "token").distinct())
+    about = all_rows.filter("n > 0").groupBy("class").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "matches", "last", "cost")], F.first(F.size("prefix")).alias("length"))
+    about = materialize(about)
+    of_class = Window.partitionBy("class")
+    live = live.withColumns({"live": F.count(F.lit(1)).over(of_class), "rank": F.row_number().over(of_class.orderBy("at")) - 1})
+    live = materialize(live.join(about, "class").drop("class"))
     # one pivot per shingle: the class whose prefix is the most frequent, in a group of near copies the one with the fewest changes
-    pivot = live.groupBy("token").agg(F.max(F.struct("cost", "row", "n", "at", "length", "live", "last", "matches")).alias("p")).select("token", "p.*")
+    pivot = live.groupBy("token").agg(F.max(F.struct("cost", "row", "n", "at", "length", "live", "rank", "last", "matches")).alias("p")).select("token", "p.*")
     pivot = pivot.select("token", *[F.col(c).alias(f"{c}_b") for c in pivot.columns if c != "token"])
     links = live.join(pivot, "token").filter(F.col("row") != F.col("row_b"))
-    edges = materialize(verified(docs, materialize(_enough(links))))
+    edges = materialize(verified(docs, materialize(_sharing(_possible(links)))))
     roots = components(edges)
     placed = live.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    placed = materialize(placed)
-    # what isn't in the pivot's component meets everything else that shares the shingle
-    of_pivot = placed.select("token", F.col("row").alias("row_b"), F.col("root").alias("main")).join(pivot.select("token", "row_b"), ["token", "row_b"]).select("token", "main")
-    mixed_tokens = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
-    marked = placed.join(mixed_tokens, "token").join(of_pivot, "token").withColumn("aside", F.col("root") != F.col("main"))
-    marked = materialize(marked.drop("main"))
+    # what isn't in the component of its shingle's pivot meets everything else that has the shingle
+    of_pivot = placed.groupBy("token").agg(F.max(F.struct("cost", "row", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token", F.col("p.root").alias("main"))
+    marked = materialize(placed.join(of_pivot, "token").withColumn("aside", F.col("root") != F.col("main")).drop("main", "cost"))
     other = marked.select("token", *[F.col(c).alias(f"{c}_b") for c in marked.columns if c != "token"])
     rest = marked.filter("aside").join(other, "token").filter((F.col("root") != F.col("root_b")) & (~F.col("aside_b") | (F.col("row") < F.col("row_b"))))
-    more = verified(docs, materialize(_enough(rest)))
+    more = materialize(verified(docs, materialize(_sharing_all(_possible(rest), live))))
     roots = components(edges.union(more))
-    out = all_rows.select("doc_id", "row", "n", "sum1", "sum2").join(classes, ["sum1", "sum2", "n"], "left")
-    out = out.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    ends = about.select("class", F.col("row").alias("head")).join(roots.select(F.col("node").alias("head"), "root"), "head", "left").select("class", F.coalesce("root", "head").alias("root"))
+    out = all_rows.select("doc_id", "row", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(ends, "class", "left")
     least = out.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
     out = out.join(least, "root", "left")
     return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "root")
 
 
-def _enough(joined: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a join on token that can have the similarity.
+def _possible(joined: DataFrame) -> DataFrame:
+    """Rows (a, b, must, early) of a join on token whose pair can have the similarity.
 
     Lengths: the lesser is at least t of the greater. Place: with a shared shingle at two
     places, no more can be shared than what stands before both and behind both. Matches: let x
     be the one whose prefix ends first in the order; what x shares of its prefix lies in the
-    other's prefix, so at least need - (n - length) of it must be shared, and x must have as
-    many prefix shingles that are not its own alone.
+    other's prefix, so at least must = need - (n - length) of it are shared, and x must have
+    as many prefix shingles that are not its own alone. early: the shingle is among the first
+    of those, of which one at least is shared, as no more than live - must are not.
     """
     n, m = F.col("n"), F.col("n_b")
     need = F.floor((UP * (n + m) + UP + DOWN - 1) / (UP + DOWN)).cast("long")
     before, behind = F.least("at", "at_b"), F.least(n - F.col("at"), m - F.col("at_b"))
     first = F.col("last") <= F.col("last_b")
-    outside = F.when(first, n - F.col("length")).otherwise(m - F.col("length_b"))
-    alive = F.when(first, F.col("live")).otherwise(F.col("live_b"))
-    must = F.greatest(need - outside, F.least("matches", "matches_b").cast("long"))
-    kept = joined.filter((DOWN * F.least(n, m) >= UP * F.greatest(n, m)) & (before + behind >= need) & (alive >= must))
-    kept = kept.select(F.least("row", "row_b").alias("a"), F.greatest("row", "row_b").alias("b"), must.alias("must"), "token")
-    return kept.groupBy("a", "b", "must").agg(F.count(F.lit(1)).alias("shared")).filter("shared >= must").select("a", "b")
+    of_x = lambda c: F.when(first, F.col(c)).otherwise(F.col(f"{c}_b"))
+    must = F.greatest(need - (of_x("n") - of_x("length")), F.least("matches", "matches_b").cast("long"))
+    kept = joined.filter((DOWN * F.least(n, m) >= UP * F.greatest(n, m)) & (before + behind >= need) & (of_x("live") >= must))
+    return kept.select(F.least("row", "row_b").alias("a"), F.greatest("row", "row_b").alias("b"), must.alias("must"), (of_x("rank") <= of_x("live") - must).alias("early"))
+
+
+def _sharing(rows: DataFrame) -> DataFrame:
+    """Pairs with as many rows as they must share."""
+    return rows.groupBy("a", "b", "must").agg(F.count(F.lit(1)).alias("shared")).filter("shared >= must").select("a", "b")
+
+
+def _sharing_all(rows: DataFrame, live: DataFrame) -> DataFrame:
+    """Pairs that share as much as they must, found by their early rows alone and counted on their prefixes."""
+    pairs = materialize(rows.filter("early").select("a", "b", "must").distinct())
+    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    lists = live.select("row", "token").join(wanted, "row", "left_semi").groupBy("row").agg(F.collect_list("token").alias("tokens"))
+    both = pairs.join(lists.select(F.col("row").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(lists.select(F.col("row").alias("b"), F.col("tokens").alias("tokens_b")), "b")
+    return both.filter(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.col("must")).select("a", "b")
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
