@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, table
+from .common import bounded_batches, materialize, slices, table
 
 # fixed values: HTML elements by their role here
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,6 +44,8 @@ CONSTANT_PAGES = 5
 #: Children of one wrapper node: beyond, the rarest leave the wrapper; a page's own nodes stay.
 MOST_CHILDREN = 100
 SALTS, FLUSH_HOSTS = 64, 2000
+#: Wrappers of all hosts are sent to every task up to this size; beyond, pages and wrappers are shuffled by host.
+BROADCAST_BYTES = 8 << 20
 
 
 class Node:
@@ -98,8 +100,6 @@ def parse(page: str) -> Node:
                 text.append(" ")
             elif tag == "a":
                 linked = 1
-            if tag in ("span", "label", "small") and m[4] and (a := _attributes(m[4])) and (a[2] or ROLE.search(a[0])):
-                pass  # inline asides stay part of their sentence
             continue
         flush()
         if tag in ENDS_P:
@@ -329,7 +329,9 @@ def extract_pages(pages: DataFrame, url: str = "url", page: str = "html") -> Dat
     shape = "host string, salt int, wrapper string"
     made = ready.select(F.col("__host").alias("host"), F.col("__html").alias("html")).mapInArrow(_wrappers, shape)
     made = made.groupBy("host", "salt").applyInPandas(_merged, shape).groupBy("host").applyInPandas(_merged, shape)
-    joined = ready.join(made.select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper")), "__host", "left")
+    made = materialize(made.select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper")))
+    held = made.agg(F.sum(F.length("__host") + F.length("__wrapper") + 64)).first()[0] or 0
+    joined = ready.join(F.broadcast(made) if held <= BROADCAST_BYTES else made, "__host", "left")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema), "text string"])
 
     def run(batches):
