@@ -13,6 +13,7 @@ Equal sets are one class. Prefix shingles of one class alone are dropped. Classe
 linked with one pivot per shingle, which takes a group of near copies in a linear number of
 pairs; then every pair of different components that share enough is compared. Nothing is
 capped, and a pair within a component needs no comparison for the components to be right.
+A second pivot per shingle, among what the first left apart, does the same for small families.
 """
 
 from __future__ import annotations
@@ -225,19 +226,25 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     live = live.withColumns({"live": F.count(F.lit(1)).over(of_class), "rank": F.row_number().over(of_class.orderBy("at")) - 1})
     live = materialize(live.join(about, "class").drop("class"))
     # one pivot per shingle: the class whose prefix is the most frequent, in a group of near copies the one with the fewest changes
-    pivot = live.groupBy("token").agg(F.max(F.struct("cost", "row", "n", "at", "length", "live", "rank", "last", "matches")).alias("p")).select("token", "p.*")
-    pivot = pivot.select("token", *[F.col(c).alias(f"{c}_b") for c in pivot.columns if c != "token"])
+    pivot = _pivots(live)
     links = live.join(pivot, "token").filter(F.col("row") != F.col("row_b"))
-    edges = materialize(verified(docs, materialize(_sharing(_possible(links)))))
-    roots = components(edges)
-    placed = live.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    # what isn't in the component of its shingle's pivot meets everything else that has the shingle
-    of_pivot = placed.groupBy("token").agg(F.max(F.struct("cost", "row", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token", F.col("p.root").alias("main"))
-    marked = materialize(placed.join(of_pivot, "token").withColumn("aside", F.col("root") != F.col("main")).drop("main", "cost"))
+    edges = materialize(verified(docs, _sharing(_possible(links), live)))
+    placed = _placed(live, components(edges))
+    mixed_tokens = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
+    tested = pivot.select("token", F.col("row_b").alias("pivot"))
+    marked = materialize(placed.join(mixed_tokens, "token").join(tested, "token").withColumn("tested", F.col("row") == F.col("pivot")).drop("pivot"))
+    # a second pivot where several components share a shingle: the next among what isn't in the first one's
+    second = materialize(_pivots(_aside(marked).filter("aside and not tested")))
+    links = marked.join(second, "token").filter((F.col("row") != F.col("row_b")) & (F.col("root") != F.col("root_b")))
+    edges = edges.union(materialize(verified(docs, _sharing(_possible(links), live))))
+    tested = second.select("token", F.col("row_b").alias("pivot"))
+    marked = _placed(marked.drop("root"), components(edges)).join(tested, "token", "left").withColumn("tested", F.col("tested") | F.coalesce(F.col("row") == F.col("pivot"), F.lit(False))).drop("pivot")
+    # what isn't in the component of its shingle's pivot meets all else that has the shingle, but for the pivots that it has met
+    marked = materialize(_aside(marked).filter("not tested").drop("cost", "tested"))
     other = marked.select("token", *[F.col(c).alias(f"{c}_b") for c in marked.columns if c != "token"])
     rest = marked.filter("aside").join(other, "token").filter((F.col("root") != F.col("root_b")) & (~F.col("aside_b") | (F.col("row") < F.col("row_b"))))
-    more = materialize(verified(docs, materialize(_sharing_all(_possible(rest), live))))
-    roots = components(edges.union(more))
+    edges = edges.union(materialize(verified(docs, _sharing(_possible(rest), live))))
+    roots = components(edges)
     ends = about.select("class", F.col("row").alias("head")).join(roots.select(F.col("node").alias("head"), "root"), "head", "left").select("class", F.coalesce("root", "head").alias("root"))
     out = all_rows.select("doc_id", "row", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(ends, "class", "left")
     least = out.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -245,6 +252,24 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "root")
 
 
+def _pivots(live: DataFrame) -> DataFrame:
+    """(token, row_b, …): of each shingle the class with the greatest cost."""
+    fields = [c for c in ("cost", "row", "n", "at", "length", "live", "rank", "last", "matches", "root") if c in live.columns]
+    best = live.groupBy("token").agg(F.max(F.struct(*fields)).alias("p"))
+    return best.select("token", *[F.col(f"p.{c}").alias(f"{c}_b") for c in fields])
+
+
+def _placed(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """live with root, the row's component; its own row without links."""
+    return live.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+
+
+def _aside(marked: DataFrame) -> DataFrame:
+    """marked with aside: not in the component of the shingle's first pivot."""
+    main = marked.groupBy("token").agg(F.max(F.struct("cost", "row", "root")).alias("p")).select("token", F.col("p.root").alias("main"))
+    return marked.join(main, "token").withColumn("aside", F.col("root") != F.col("main")).drop("main")
+
+
 def _possible(joined: DataFrame) -> DataFrame:
     """Rows (a, b, must, early) of a join on token whose pair can have the similarity.
 
@@ -265,12 +290,7 @@ def _possible(joined: DataFrame) -> DataFrame:
     return kept.select(F.least("row", "row_b").alias("a"), F.greatest("row", "row_b").alias("b"), must.alias("must"), (of_x("rank") <= of_x("live") - must).alias("early"))
 
 
-def _sharing(rows: DataFrame) -> DataFrame:
-    """Pairs with as many rows as they must share."""
-    return rows.groupBy("a", "b", "must").agg(F.count(F.lit(1)).alias("shared")).filter("shared >= must").select("a", "b")
-
-
-def _sharing_all(rows: DataFrame, live: DataFrame) -> DataFrame:
+def _sharing(rows: DataFrame, live: DataFrame) -> DataFrame:
     """Pairs that share as much as they must, found by their early rows alone and counted on their prefixes."""
     pairs = materialize(rows.filter("early").select("a", "b", "must").distinct())
     wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
