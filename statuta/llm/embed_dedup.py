@@ -3,8 +3,9 @@
 Equal vectors of a label are one class. The classes of a label fall into shards of bounded
 size; each shard gets a graph, and the vectors of every shard search the graphs of their own
 and of all earlier shards of the label, so that each pair of shards is searched once. Beams
-double for a query whose finds fill half its beam, and for all queries of a shard pair until
-an audit against brute force passes. What is found is verified by cosine in double precision,
+widen for a query whose finds fill half its beam, and for all queries of a shard pair until an
+audit against brute force passes; a query that would need a beam of a good part of the shard is
+compared with all of it. What is found is verified by cosine in double precision,
 and the links are united to components.
 """
 
@@ -28,6 +29,8 @@ EF_BUILD, EF = 48, 48
 AUDITED, RECALL = 100, 0.99
 BLOCK = 256
 EXPAND = 4
+#: A beam of more than one in so many of a shard's vectors costs more than comparing with all of them.
+WIDEST = 16
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -203,7 +206,7 @@ def links_between(graph: Graph, a: np.ndarray, b: np.ndarray, same: bool, cosine
             break
         which, found, wide = np.arange(len(b)), [], ef
         while len(which):
-            if wide >= n:
+            if wide * WIDEST >= n and wide > ef:
                 found.append(exact(which))
                 break
             some, full = search(which, wide)
