@@ -25,8 +25,9 @@ COSINE = 0.93
 SHARD_ROWS = 8192
 M = 12
 EF_BUILD, EF = 48, 48
-#: Queries of a pair of shards that are held against brute force, and the share of their links that must be found.
-AUDITED, RECALL = 100, 0.99
+#: Of a pair of shards at least so many queries are held against brute force, more until so many of them have a link, or all are;
+#: the share of their links, and of each query's links on average, that must be found.
+AUDITED, LINKED, RECALL = 100, 100, 0.99
 BLOCK = 256
 EXPAND = 4
 #: A beam of more than one in so many of a shard's vectors costs more than comparing with all of them.
@@ -175,7 +176,8 @@ class Graph:
 def links_between(graph: Graph, a: np.ndarray, b: np.ndarray, same: bool, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (place in a, place in b) of unit vectors with the cosine, found by searching a's graph with b's vectors.
 
-    same: a and b are one shard; each pair is returned once, the lesser place first."""
+    same: a and b are one shard; each pair is returned once, the lesser place first. A beam passes
+    by the audit only; where links are so rare that the audit comes to all queries, its comparison is the result."""
     q, n = b.astype(np.float32), len(a)
 
     def search(which: np.ndarray, ef: int) -> tuple[list, np.ndarray]:
@@ -197,12 +199,22 @@ def links_between(graph: Graph, a: np.ndarray, b: np.ndarray, same: bool, cosine
             out.append((at, which[i : i + BLOCK][row]))
         return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
-    audit = np.unique(np.linspace(0, len(b) - 1, min(AUDITED, len(b))).astype(np.int64))
-    truth = set(zip(*(x.tolist() for x in exact(audit)), strict=True))
-    ef = EF
+    # a vector's link to itself, found for certain, says nothing
+    real = lambda x, y: (x != y) if same else np.ones(len(x), bool)
+    order, compared = np.random.default_rng(2).permutation(len(b)), 0
+    truth, per_query = (np.zeros(0, np.int64), np.zeros(0, np.int64)), np.zeros(len(b), np.int64)
+    while compared < len(b) and (compared < AUDITED or np.count_nonzero(per_query) < LINKED):
+        more = exact(order[compared : max(AUDITED, 2 * compared)])
+        truth = tuple(np.concatenate(z) for z in zip(truth, more, strict=True))
+        per_query = np.bincount(truth[1][real(*truth)], minlength=len(b))
+        compared = max(AUDITED, 2 * compared)
+    audited = np.zeros(len(b), bool)
+    audited[order[:compared]] = True
+    linked = per_query > 0
+    ef = EF if compared < len(b) else n
     while True:
         if ef >= n:
-            x, y = exact(np.arange(len(b)))
+            x, y = truth if compared >= len(b) else exact(np.arange(len(b)))
             break
         which, found, wide = np.arange(len(b)), [], ef
         while len(which):
@@ -218,10 +230,12 @@ def links_between(graph: Graph, a: np.ndarray, b: np.ndarray, same: bool, cosine
         x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         good = np.concatenate([np.einsum("id,id->i", a[x[i : i + 65536]], b[y[i : i + 65536]]) >= cosine for i in range(0, len(x), 65536)]) if len(x) else np.zeros(0, bool)
         x, y = x[good], y[good]
-        audited = np.zeros(len(b), bool)
-        audited[audit] = True
-        mine = audited[y]
-        if len(truth & set(zip(x[mine].tolist(), y[mine].tolist(), strict=True))) >= RECALL * len(truth):
+        # what is found is verified: it is part of the truth
+        seen = np.unique(y * n + x)
+        mine = audited[seen // n] & real(seen % n, seen // n)
+        hit = np.bincount(seen[mine] // n, minlength=len(b))
+        if hit.sum() >= RECALL * per_query.sum() and (hit[linked] / per_query[linked]).mean() >= RECALL:
+            x, y = np.concatenate([x[~audited[y]], truth[0]]), np.concatenate([y[~audited[y]], truth[1]])
             break
         ef *= 2
     if same:

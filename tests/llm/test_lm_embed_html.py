@@ -132,6 +132,27 @@ def test_graph_recall():
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids.tolist(), best.tolist(), strict=True)]) > 0.9
 
 
+@pytest.mark.parametrize("pairs", [3, 40, 400])
+def test_beams_that_miss_links_do_not_pass(pairs):
+    """A graph without edges finds nothing but a search's starts."""
+    rng = np.random.default_rng(pairs)
+    v = rng.normal(size=(1500, 24))
+    twin = rng.permutation(1500)[: 2 * pairs].reshape(-1, 2)
+    v[twin[:, 1]] = v[twin[:, 0]] + rng.normal(size=(pairs, 24)) * 0.02
+    v = ed.units(v)
+    want = {(min(p), max(p)) for p in twin.tolist()}
+    g = ed.Graph(v)
+    for links in g.links:
+        links[:] = -1
+    assert set(zip(*(z.tolist() for z in ed.links_between(g, v, v, True)), strict=True)) == want
+    # another shard, whose first vectors are near some of this one
+    other = rng.normal(size=(1500, 24))
+    other[:pairs] = v[twin[:, 0]] + rng.normal(size=(pairs, 24)) * 0.001
+    other = ed.units(other)
+    x, y = np.nonzero(v @ other.T >= ed.COSINE)
+    assert set(zip(*(z.tolist() for z in ed.links_between(g, v, other, False)), strict=True)) == set(zip(x.tolist(), y.tolist(), strict=True))
+
+
 def test_no_vectors(spark):
     assert ed.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
