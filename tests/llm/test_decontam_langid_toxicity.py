@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import itertools
+import math
 import random
 
 import numpy as np
@@ -62,6 +64,29 @@ def test_leaks_match_brute_force(spark, leaks):
     assert {(r.doc_id, r.item_id) for r in got} == want
 
 
+def test_masks_hit_every_pattern_of_replacements():
+    for n in range(8, 16):
+        for replaced in itertools.combinations(range(n), n - math.ceil(decontam.LEAST_SHARE * n - 1e-9)):
+            kept = set(range(n)) - set(replaced)
+            assert any(all(at + k in kept for k, c in enumerate(mask) if c == "1") for mask in decontam.MASKS for at in range(n - len(mask) + 1)), (n, replaced)
+
+
+def test_sparse_replacements_and_short_items(spark):
+    items, docs, rng = [], [], random.Random(8)
+    for i, n in enumerate([8, 10, 12, 15, 20, 59]):
+        words = [f"i{i}w{k}" for k in range(n)]
+        items.append((i, " ".join(words)))
+        # every fourth replaced, then as many as may be, at random
+        for spots in [set(range(3, n, 4)), *({*rng.sample(range(n), n - math.ceil(0.7 * n - 1e-9))} for _ in range(40))]:
+            docs.append((len(docs), " ".join(["before"] + ["other" if k in spots else w for k, w in enumerate(words)] + ["after"]), i))
+    items += [(10, "Seven short words that stand as one"), (11, "single"), (12, ""), (13, "two words")]
+    docs += [(1000, "so: seven short words, that stand as one. Single", 10), (1001, "seven short words that stand as two", None), (1002, "two other words", None), (1003, "single", 11), (1004, "single single two words", 11), (1005, None, None)]
+    want = {(d, i) for d, _, i in docs if i is not None} | {(1000, 11), (1004, 13)}
+    got = decontam.contaminated_pairs(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+    assert {r.at for r in got if (r.doc_id, r.item_id) == (1004, 11)} == {1}
+
+
 def test_long_texts_nulls_and_shuffled_join(spark, leaks, monkeypatch):
     docs, items = leaks
     d, b = spark.createDataFrame(docs, "doc_id long, text string, item string"), spark.createDataFrame(items, "item_id long, text string")
