@@ -575,8 +575,8 @@ def page_texts(spark, sf):
 
 @query()
 def html_list_docs(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("source_id", F.lit("s1"))
-    return html.list_docs(pages).select("list_url", "at", "title", "url")
+    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumns({"source_id": F.lit("s1"), "selectors": F.create_map(F.lit("item"), F.lit("li"))})
+    return html.list_docs(pages).select("list_url", "at", "title", "url", "published_on")
 
 
 # ---- streams -----------------------------------------------------------------------------

@@ -107,10 +107,128 @@ def attachment_links(pages: DataFrame) -> DataFrame:
     return found.groupBy("url", "href", "extension").agg(F.min("at").alias("at"))
 
 
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Open elements that a start tag ends, and those beyond which it ends none.
+ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
+ROWS = T.ArrayType(T.StructType([T.StructField(n, _TEXT) for n in ("title", "href", "date", "row")]))
+_STEP = re.compile(r"(?P<tag>[A-Za-z][\w-]*|\*)?(?P<rest>(?:[.#][\w-]+|:last-child)*)\Z")
+
+
+class _Element:
+    def __init__(self, tag: str, attrs: dict, up: _Element | None):
+        self.tag, self.attrs, self.up, self.inside = tag, attrs, up, []
+        self.classes = (attrs.get("class") or "").split()
+
+    def elements(self):
+        """Those below in page order."""
+        left = [x for x in reversed(self.inside) if isinstance(x, _Element)]
+        while left:
+            x = left.pop()
+            yield x
+            left += [y for y in reversed(x.inside) if isinstance(y, _Element)]
+
+    def text(self) -> str:
+        out, left = [], list(reversed(self.inside))
+        while left:
+            x = left.pop()
+            if isinstance(x, str):
+                out.append(x.strip())
+            elif x.tag not in ("script", "style"):
+                left += reversed(x.inside)
+        return " ".join(filter(None, out))
+
+
+class _Tree(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = _Element("", {}, None)
+
+    def _close(self, tags: tuple, beyond: tuple = ()) -> None:
+        x = self.at
+        while x.up and x.tag not in tags and x.tag not in beyond:
+            x = x.up
+        if x.up and x.tag in tags:
+            self.at = x.up
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ENDS:
+            self._close(*ENDS[tag])
+        elif tag in BLOCKS:
+            self._close(("p",), ("td", "th", "li", "table", "div", "section", "article"))
+        x = _Element(tag, dict(attrs), self.at)
+        self.at.inside.append(x)
+        if tag not in VOID:
+            self.at = x
+
+    def handle_endtag(self, tag):
+        self._close((tag,), () if tag == "table" else ("table",))
+
+    def handle_data(self, data):
+        self.at.inside.append(data)
+
+
+def selector(text: str) -> list[tuple[str, list[str]]]:
+    """Steps (tag or "", conditions) of a selector of tags, .class, #id, :last-child and descendants; others raise ValueError."""
+    out = []
+    for step in text.split():
+        if not (m := _STEP.match(step)):
+            raise ValueError(f"selector {text!r} is not understood")
+        out.append(((m["tag"] or "").lower().replace("*", ""), re.findall(r"[.#][\w-]+|:last-child", m["rest"])))
+    return out
+
+
+def _fits(x: _Element, step: tuple[str, list[str]]) -> bool:
+    def holds(c: str) -> bool:
+        if c == ":last-child":
+            return next(y for y in reversed(x.up.inside) if isinstance(y, _Element)) is x
+        return c[1:] in x.classes if c[0] == "." else x.attrs.get("id") == c[1:]
+
+    return step[0] in ("", x.tag) and all(map(holds, step[1]))
+
+
+def _selected(root: _Element, steps: list):
+    for x in root.elements():
+        if _fits(x, steps[-1]):
+            up, left = x.up, len(steps) - 1
+            while left and up.up:
+                left -= _fits(up, steps[left - 1])
+                up = up.up
+            if not left:
+                yield x
+
+
+def read_rows(html: str | None, item: str | None, title: str | None, link: str | None, date: str | None) -> list[dict]:
+    """A row per item that has a title and a link; none without an item selector."""
+    if not (item or "").strip():
+        return []
+    tree = _Tree()
+    tree.feed(html or "")
+    tree.close()
+    of = {k: selector(v if (v or "").strip() else "a") for k, v in (("title", title), ("link", link))}
+    dated, out = selector(date or ""), []
+    for x in _selected(tree.root, selector(item)):
+        head, anchor = (next(_selected(x, of[k]), None) for k in ("title", "link"))
+        if head and anchor:
+            day = next(_selected(x, dated), None) if dated else None
+            out.append({"title": head.text(), "href": anchor.attrs.get("href"), "date": day.text() if day else None, "row": x.text()})
+    return out
+
+
+@F.pandas_udf(ROWS)
+def listed(html: pd.Series, item: pd.Series, title: pd.Series, link: pd.Series, date: pd.Series) -> pd.Series:
+    return pd.Series([read_rows(*x) for x in zip(html, item, title, link, date, strict=True)], dtype=object)
+
+
 def list_docs(pages: DataFrame) -> DataFrame:
-    """Documents of list pages (source_id, url, html): every link with a title of four characters and more."""
-    links = page_contents(pages).select("source_id", F.col("url").alias("list_url"), F.posexplode("links").alias("at", "l"))
-    out = links.select("source_id", "list_url", "at", S.clean_title(F.col("l.text")).alias("title"), joined("list_url", "l.href").alias("url"))
+    """Documents of list pages (source_id, url, html, selectors), one per item with a title of four characters and more.
+
+    selectors: map of item, title, link and date; title and link are "a" by default, pages without
+    an item selector give nothing. published_on is the date node's, or else the whole row's.
+    """
+    of = [F.try_element_at("selectors", F.lit(k)) for k in ("item", "title", "link", "date")]
+    rows = pages.select("source_id", F.col("url").alias("list_url"), F.posexplode(listed("html", *of)).alias("at", "r"))
+    date = F.coalesce(S.parse_date(F.col("r.date")), S.parse_date(F.col("r.row")))
+    out = rows.filter(F.length("r.href") > 0).select("source_id", "list_url", "at", S.clean_title(F.col("r.title")).alias("title"), joined("list_url", "r.href").alias("url"), date.alias("published_on"))
     return out.filter((F.length("title") >= 4) & F.col("url").rlike("^https?://"))
 
 

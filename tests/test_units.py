@@ -230,3 +230,16 @@ def test_change_files(spark, tmp_path):
     (tmp_path / "2.json").write_text("{broken")
     rows, bad = records.load_change_days(spark, str(tmp_path))
     assert [(r.day, r.policy_id) for r in rows.collect()] == [("2026-01-01", "p")] and bad.count() == 1
+
+
+def test_list_rows_by_selectors(spark):
+    from statuta.sources import html as h
+
+    table = "<a href='/menu'>Menu of the site</a><div id=main><table class='rows x'><tr><td><a href='d/1.html'>Rules one【新】</a><td>n</td><td>2026-01-05</td></tr><tr><td><a href='javascript:x'>Rules two</a></td></tr><tr><td><a href='/3'>abc</a></td></tr><tr><td><a href='/4'>Rules four</a><td>（2025年3月4日）<td>none</table></div><footer><a href='/f'>Footer of 2020-01-01</a></footer>"
+    items = "<ul id=l><li><h5>Rules five</h5><a href='/5'>more</a><div class='a times'>2026-02-03</div><p>seen 2026-09-09<li><h5>Rules six</h5><a href='/6'>more</a> 2024-5-6<li>no link</ul><ul><li><h5>Related</h5><a href='/r'>more</a></ul>"
+    sel = [("s", "http://l/a/x.html", table, {"item": "#main table.rows tr", "date": "td:last-child"}), ("t", "http://m/", items, {"item": "#l li", "title": "h5", "date": "div.times"}), ("u", "http://n/", items, {}), ("v", "http://o/", None, {"item": "li"})]
+    got = h.list_docs(spark.createDataFrame(sel, "source_id string, url string, html string, selectors map<string,string>")).collect()
+    want = {("s", "Rules one", "http://l/a/d/1.html", dt.date(2026, 1, 5)), ("s", "Rules four", "http://l/4", dt.date(2025, 3, 4)), ("t", "Rules five", "http://m/5", dt.date(2026, 2, 3)), ("t", "Rules six", "http://m/6", dt.date(2024, 5, 6))}
+    assert {(r.source_id, r.title, r.url, r.published_on) for r in got} == want and len(got) == 4
+    with pytest.raises(ValueError):
+        h.selector("li > a")
