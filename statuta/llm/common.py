@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -25,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which every executor sees.
 
-    Where the setting is absent (tests, local mode) a temporary folder is set once and
-    removed when the process ends.
+    Where the setting is absent, in local mode (tests), a temporary folder is set once and
+    removed when the process ends; on a cluster its absence raises RuntimeError.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get("dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = _OWN["dir"] = tempfile.mkdtemp(prefix="spark-statuta-", dir="/tmp")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/statuta-{uuid.uuid4().hex}"
@@ -46,6 +49,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that materialize() wrote and that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if folder.rpartition("/")[2].startswith("statuta-"):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most BATCH_BYTES, so that very long texts don't pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+#: So many edges of forests are united in one task; more go by stars.
+FEW = 200_000
+
+
 def _forest(frames):
     """Edges of a spanning forest of a partition's edges, each to the smallest node of its tree."""
     up: dict[int, int] = {}
@@ -50,6 +54,9 @@ def components(edges: DataFrame) -> DataFrame:
     component: a node's edges are reduced by a partial aggregate and joined by node.
     """
     edges = materialize(edges.select("a", "b").filter(F.col("a") != F.col("b")).mapInPandas(_forest, "a long, b long"))
+    if edges.limit(FEW + 1).count() <= FEW:  # one task reads them all
+        edges = materialize(edges.coalesce(1).mapInPandas(_forest, "a long, b long"))
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
     seen = None
     while True:
         edges = materialize(_stars(_stars(edges, True), False))

@@ -13,17 +13,19 @@ Equal sets are one class. Prefix shingles of one class alone are dropped. Classe
 linked with one pivot per shingle, which takes a group of near copies in a linear number of
 pairs; then every pair of different components that share enough is compared. Nothing is
 capped, and a pair within a component needs no comparison for the components to be right.
-A second pivot per shingle, among what the first left apart, does the same for small families.
+Further pivots do the same for what the first left apart, while that makes many pairs.
+Parity bits of the sets, an exact bound, spare most pairs that come close to the similarity
+the comparison of their sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_batches, materialize, mixed, slices, span_hashes, table, text_of, utf8, words
+from .common import LOWER, bounded_batches, discard, materialize, mixed, slices, span_hashes, table, text_of, utf8, words
 from .components import components
 
 WIDTH = 5
@@ -35,7 +37,12 @@ SKETCH_SALTS = 64
 MOST_MATCHES = 4
 #: Bytes of text that are hashed at once: a worker needs some fifty times as many.
 PIECE_BYTES = 1 << 20
-FILTER_BITS = 24
+#: Of a filter of keys: bits in all, and of the places of its 64-bit words within one block.
+FILTER_BITS, BLOCK_BITS = 26, 8
+#: Parity bits of a set, in words: they bound what two sets of up to some thousand shingles share.
+PARITY_WORDS = 16
+#: Further rounds of pivots while what is left has more than so many pairs a row.
+MORE_PIVOTS, FEW_PAIRS = 3, 4
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +124,7 @@ def levels(counts: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """Per row: doc_id, row, n, class (a checksum of the set), matches (l), last (order of the last prefix shingle), cost and prefix."""
+    """Per row: doc_id, row, n, class (a checksum of the set), matches (l), last (order of the last prefix shingle), cost, parity bits and prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches):
@@ -144,48 +151,50 @@ def prefixes(docs: DataFrame, level: np.ndarray) -> DataFrame:
                 ends = np.cumsum(length)
                 last = np.zeros(len(n), np.int64)
                 last[n > 0] = key[(at[:-1] + length - 1)[n > 0]].astype(np.int64)
+                # parity of the shingles that fall on each bit
+                spots = (docs_of << 10) | ((values >> np.uint64(24)) & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64)
+                odd = np.packbits(np.bincount(spots, minlength=len(n) << 10).astype(np.uint8).reshape(len(n), -1) & 1, axis=1, bitorder="little")
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * PARITY_WORDS, pa.int32()), pa.array(np.ascontiguousarray(odd).view(np.int64).ravel()))
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values[inside].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("row"), pa.array(n, pa.int64()), pa.array(mixed(sums[0] ^ mixed(sums[1]) ^ n.astype(np.uint64)).view(np.int64)), pa.array(matches, pa.int32()), pa.array(last), pa.array(cost), prefix],
-                    ["doc_id", "row", "n", "class", "matches", "last", "cost", "prefix"],
+                    [piece.column("doc_id"), piece.column("row"), pa.array(n, pa.int64()), pa.array(mixed(sums[0] ^ mixed(sums[1]) ^ n.astype(np.uint64)).view(np.int64)), pa.array(matches, pa.int32()), pa.array(last), pa.array(cost), bits, prefix],
+                    ["doc_id", "row", "n", "class", "matches", "last", "cost", "bits", "prefix"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, row long, n long, class long, matches int, last long, cost double, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, row long, n long, class long, matches int, last long, cost double, bits array<long>, prefix array<long>")
 
 
-def sets_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(row, set) of the documents whose row is in rows; texts of others aren't hashed."""
-    wanted = rows.select("row").distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(_wanted_bits(wanted))
+def probably_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows of df whose column may be among the keys (one column of longs): none that is is missing.
+
+    A bitmap of 2 ** FILTER_BITS bits, in blocks that are sent to every task, at any number of keys.
+    """
+    place = lambda c: F.pmod(c, F.lit(1 << FILTER_BITS))
+    word, block = F.shiftright(place(F.col(keys.columns[0])), 6), 1 << BLOCK_BITS
+    words = keys.groupBy(word.alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{keys.columns[0]}` & 63 as int))")).alias("v"))
+    blocks = words.groupBy(F.shiftright("w", BLOCK_BITS).alias("__block")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("w") % block).alias("k"), "v"))).alias("m"))
+    blocks = blocks.select("__block", F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda k: F.coalesce(F.try_element_at("m", k.cast("long")), F.lit(0).cast("long"))).alias("__words"))
+    there = df.withColumn("__block", F.shiftright(place(F.col(column)), 6 + BLOCK_BITS)).join(F.broadcast(blocks), "__block")
+    bit = F.expr(f"shiftrightunsigned(get(__words, cast(shiftright(pmod(`{column}`, {1 << FILTER_BITS}L), 6) % {block} as int)), cast(`{column}` & 63 as int)) & 1")
+    return there.filter(bit == 1).select(*df.columns)
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(row, set) of the documents whose row is wanted, and of few others; no other texts are hashed."""
 
     def run(batches):
-        bits = shared.value
         for batch in batches:
-            row = np.asarray(batch.column("row"))
-            bit = (row.astype(np.int64) & ((1 << FILTER_BITS) - 1)).astype(np.int64)
-            some = batch.filter(pa.array((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
-            for piece in slices(some, "text", PIECE_BYTES):
+            for piece in slices(batch, "text", PIECE_BYTES):
                 values, at = shingles(*utf8(piece.column("text")))
                 yield pa.RecordBatch.from_arrays([piece.column("row"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))], ["row", "set"])
 
-    return docs.select("row", "text").mapInArrow(run, "row long, set array<long>")
-
-
-def _wanted_bits(rows: DataFrame) -> np.ndarray:
-    byte = F.shiftrightunsigned(F.pmod("row", F.lit(1 << FILTER_BITS)), 3)
-    value = F.expr("shiftleft(1, cast(pmod(row, 8) as int))")
-    block = 1 << 12
-    parts = rows.groupBy(byte.alias("byte")).agg(F.bit_or(value).alias("v")).groupBy(F.floor(F.col("byte") / block).alias("k")).agg(F.collect_list(F.struct("byte", "v")).alias("bytes"))
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for r in parts.toLocalIterator():
-        for b in r["bytes"]:
-            out[b["byte"]] = b["v"]
-    return out
+    return probably_in(docs.select("row", "text"), "row", wanted).mapInArrow(run, "row long, set array<long>")
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity, by exact intersection."""
-    sets = sets_of(docs, pairs.select(F.col("a").alias("row")).union(pairs.select("b"))).dropDuplicates(["row"])
+    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    sets = sets_of(docs, wanted).join(wanted, "row", "left_semi").dropDuplicates(["row"])
     left = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("set_a")), "a")
     both = left.join(sets.select(F.col("row").alias("b"), F.col("set").alias("set_b")), "b")
 
@@ -217,86 +226,122 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     all_rows = materialize(prefixes(docs, levels(sketch(docs))))
-    index = all_rows.select("class", F.posexplode("prefix").alias("at", "token"))
-    shared = index.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo != hi").select("token")
-    live = materialize(index.join(shared, "token").distinct())
-    about = all_rows.filter("n > 0").groupBy("class").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "matches", "last", "cost")], F.first(F.size("prefix")).alias("length"))
-    about = materialize(about)
-    of_class = Window.partitionBy("class")
-    live = live.withColumns({"live": F.count(F.lit(1)).over(of_class), "rank": F.row_number().over(of_class.orderBy("at")) - 1})
-    live = materialize(live.join(about, "class").drop("class"))
+    classes = materialize(_classes(all_rows))
     # one pivot per shingle: the class whose prefix is the most frequent, in a group of near copies the one with the fewest changes
-    pivot = _pivots(live)
-    links = live.join(pivot, "token").filter(F.col("row") != F.col("row_b"))
-    edges = materialize(verified(docs, _sharing(_possible(links), live)))
-    placed = _placed(live, components(edges))
-    mixed_tokens = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
-    tested = pivot.select("token", F.col("row_b").alias("pivot"))
-    marked = materialize(placed.join(mixed_tokens, "token").join(tested, "token").withColumn("tested", F.col("row") == F.col("pivot")).drop("pivot"))
-    # a second pivot where several components share a shingle: the next among what isn't in the first one's
-    second = materialize(_pivots(_aside(marked).filter("aside and not tested")))
-    links = marked.join(second, "token").filter((F.col("row") != F.col("row_b")) & (F.col("root") != F.col("root_b")))
-    edges = edges.union(materialize(verified(docs, _sharing(_possible(links), live))))
-    tested = second.select("token", F.col("row_b").alias("pivot"))
-    marked = _placed(marked.drop("root"), components(edges)).join(tested, "token", "left").withColumn("tested", F.col("tested") | F.coalesce(F.col("row") == F.col("pivot"), F.lit(False))).drop("pivot")
-    # what isn't in the component of its shingle's pivot meets all else that has the shingle, but for the pivots that it has met
-    marked = materialize(_aside(marked).filter("not tested").drop("cost", "tested"))
-    other = marked.select("token", *[F.col(c).alias(f"{c}_b") for c in marked.columns if c != "token"])
-    rest = marked.filter("aside").join(other, "token").filter((F.col("root") != F.col("root_b")) & (~F.col("aside_b") | (F.col("row") < F.col("row_b"))))
-    edges = edges.union(materialize(verified(docs, _sharing(_possible(rest), live))))
+    tokens = _tokens(classes)
+    pivots = materialize(_pivots(tokens))
+    edges = materialize(verified(docs, _sharing(_possible(tokens.join(pivots, "token").filter("row != row_b")), classes)))
+    roots = materialize(components(edges))
+    # where what isn't a pivot belongs to several components, the others are compared too
+    placed = tokens.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    rest = materialize(_unsettled(placed.join(pivots.select("token", "row_b"), "token").filter("row != row_b").drop("row_b")))
+    for _ in range(MORE_PIVOTS):
+        size = rest.groupBy("token").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.expr("n * (n - 1) / 2")).alias("pairs")).first()
+        if (size["pairs"] or 0) <= FEW_PAIRS * (size["rows"] or 0):
+            break
+        pivots = materialize(_pivots(rest))
+        links = rest.join(pivots, "token").filter("row != row_b and root != root_b")
+        found = materialize(verified(docs, _sharing(_possible(links), classes)))
+        edges = edges.union(found)
+        roots = materialize(components(edges))
+        placed = rest.drop("root").join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+        rest, old = materialize(_unsettled(placed.join(pivots.select("token", "row_b"), "token").filter("row != row_b").drop("row_b"))), rest
+        discard(old)
+    # all that are left of one shingle and of different components, if their bits don't tell them apart
+    rest = rest.join(classes.select("row", "bits"), "row")
+    other = rest.select("token", *[F.col(c).alias(f"{c}_b") for c in rest.columns if c != "token"])
+    links = rest.join(other, "token").filter((F.col("row") < F.col("row_b")) & (F.col("root") != F.col("root_b")))
+    edges = edges.union(materialize(verified(docs, _sharing(_possible(links, bits=True), classes))))
     roots = components(edges)
-    ends = about.select("class", F.col("row").alias("head")).join(roots.select(F.col("node").alias("head"), "root"), "head", "left").select("class", F.coalesce("root", "head").alias("root"))
-    out = all_rows.select("doc_id", "row", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(ends, "class", "left")
-    least = out.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = out.join(least, "root", "left")
-    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "root")
+    ends = all_rows.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class"))
+    heads = classes_heads(all_rows).join(roots.select(F.col("node").alias("head"), "root"), "head", "left").select("class", F.coalesce("root", "head").alias("root"), "least")
+    # the smallest key of a component: of its classes first, so that no group is gathered
+    least = heads.groupBy("root").agg(F.min("least").alias("component_id"))
+    heads = heads.select("class", "root").join(least, "root")
+    out = ends.join(heads, "class", "left")
+    return out.select("doc_id", "row", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
 
 
-def _pivots(live: DataFrame) -> DataFrame:
-    """(token, row_b, …): of each shingle the class with the greatest cost."""
-    fields = [c for c in ("cost", "row", "n", "at", "length", "live", "rank", "last", "matches", "root") if c in live.columns]
-    best = live.groupBy("token").agg(F.max(F.struct(*fields)).alias("p"))
+def classes_heads(all_rows: DataFrame) -> DataFrame:
+    """(class, head, least): of each class of equal sets the least row and the least key."""
+    return all_rows.filter("n > 0").groupBy("class").agg(F.min("row").alias("head"), F.min("doc_id").alias("least"))
+
+
+def _classes(all_rows: DataFrame) -> DataFrame:
+    """Per class that shares a prefix shingle with another: row, n, matches, last, cost, bits and tokens, its shared (at, token) in order."""
+    index = all_rows.select("class", F.posexplode("prefix").alias("at", "token"))
+    shared = materialize(index.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo != hi").select("token"))
+    live = probably_in(index, "token", shared).join(shared, "token")
+    live = live.groupBy("class").agg(F.array_sort(F.collect_set(F.struct("at", "token"))).alias("tokens"))  # at most a prefix
+    about = all_rows.filter("n > 0").select("class", "row", "n", "matches", "last", "cost", "bits").groupBy("class").agg(F.min(F.struct("row", "n", "matches", "last", "cost", "bits")).alias("a"))
+    return about.join(live, "class").select("a.*", "tokens")
+
+
+def _tokens(classes: DataFrame) -> DataFrame:
+    """A row for each class and shared prefix shingle. rank: its place among those; live: how many there are."""
+    return classes.select("row", "n", "matches", "last", "cost", F.size("tokens").alias("live"), F.posexplode("tokens").alias("rank", "t")).select("t.token", "row", "n", "matches", "last", "cost", "live", "rank", "t.at")
+
+
+def _pivots(tokens: DataFrame) -> DataFrame:
+    """(token, row_b, ...): of each shingle the class with the greatest cost."""
+    fields = [c for c in ("cost", "row", "n", "at", "live", "rank", "last", "matches", "root") if c in tokens.columns]
+    best = tokens.groupBy("token").agg(F.max(F.struct(*fields)).alias("p"))
     return best.select("token", *[F.col(f"p.{c}").alias(f"{c}_b") for c in fields])
 
 
-def _placed(live: DataFrame, roots: DataFrame) -> DataFrame:
-    """live with root, the row's component; its own row without links."""
-    return live.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+def _unsettled(placed: DataFrame) -> DataFrame:
+    """The rows of shingles that stand in several components."""
+    several = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
+    return placed.join(several, "token")
+
+
+def _least(n: Column) -> Column:
+    """The length of a prefix for one match."""
+    return n - F.floor((UP * n + DOWN - 1) / DOWN).cast("long") + 1
 
 
-def _aside(marked: DataFrame) -> DataFrame:
-    """marked with aside: not in the component of the shingle's first pivot."""
-    main = marked.groupBy("token").agg(F.max(F.struct("cost", "row", "root")).alias("p")).select("token", F.col("p.root").alias("main"))
-    return marked.join(main, "token").withColumn("aside", F.col("root") != F.col("main")).drop("main")
+def _needed(n: Column, m: Column) -> Column:
+    """How many shingles sets of n and m must share."""
+    return F.floor((UP * (n + m) + UP + DOWN - 1) / (UP + DOWN)).cast("long")
 
 
-def _possible(joined: DataFrame) -> DataFrame:
-    """Rows (a, b, must, early) of a join on token whose pair can have the similarity.
+def _possible(joined: DataFrame, bits: bool = False) -> DataFrame:
+    """Distinct (a, b, must) of the rows of a join on token whose pair can have the similarity.
 
     Lengths: the lesser is at least t of the greater. Place: with a shared shingle at two
     places, no more can be shared than what stands before both and behind both. Matches: let x
     be the one whose prefix ends first in the order; what x shares of its prefix lies in the
     other's prefix, so at least must = need - (n - length) of it are shared, and x must have
-    as many prefix shingles that are not its own alone. early: the shingle is among the first
-    of those, of which one at least is shared, as no more than live - must are not.
+    as many prefix shingles that are not its own alone. A shared shingle is among the first
+    live - must + 1 of those, as no more than live - must are not shared; others are left out.
     """
     n, m = F.col("n"), F.col("n_b")
-    need = F.floor((UP * (n + m) + UP + DOWN - 1) / (UP + DOWN)).cast("long")
+    need = _needed(n, m)
     before, behind = F.least("at", "at_b"), F.least(n - F.col("at"), m - F.col("at_b"))
     first = F.col("last") <= F.col("last_b")
     of_x = lambda c: F.when(first, F.col(c)).otherwise(F.col(f"{c}_b"))
-    must = F.greatest(need - (of_x("n") - of_x("length")), F.least("matches", "matches_b").cast("long"))
-    kept = joined.filter((DOWN * F.least(n, m) >= UP * F.greatest(n, m)) & (before + behind >= need) & (of_x("live") >= must))
-    return kept.select(F.least("row", "row_b").alias("a"), F.greatest("row", "row_b").alias("b"), must.alias("must"), (of_x("rank") <= of_x("live") - must).alias("early"))
+    length = _least(of_x("n")) + of_x("matches") - 1
+    must = F.greatest(need - (of_x("n") - length), F.least("matches", "matches_b").cast("long"))
+    kept = joined.filter((DOWN * F.least(n, m) >= UP * F.greatest(n, m)) & (before + behind >= need) & (of_x("rank") <= of_x("live") - must))
+    if bits:
+        kept = kept.filter(_bits_allow(n, m, "bits", "bits_b"))
+    return kept.select(F.least("row", "row_b").alias("a"), F.greatest("row", "row_b").alias("b"), must.alias("must")).distinct()
+
+
+def _bits_allow(n: Column, m: Column, x: str, y: str) -> Column:
+    """Sets differ in at least as many shingles as their parity bits do: n + m less those bits is twice what they can share."""
+    apart = sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(PARITY_WORDS)), F.lit(0))
+    return (n + m - apart) >= 2 * _needed(n, m)
 
 
-def _sharing(rows: DataFrame, live: DataFrame) -> DataFrame:
-    """Pairs that share as much as they must, found by their early rows alone and counted on their prefixes."""
-    pairs = materialize(rows.filter("early").select("a", "b", "must").distinct())
+def _sharing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share as many prefix shingles as they must, and whose bits allow them the similarity."""
+    pairs = materialize(pairs)
     wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    lists = live.select("row", "token").join(wanted, "row", "left_semi").groupBy("row").agg(F.collect_list("token").alias("tokens"))
-    both = pairs.join(lists.select(F.col("row").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(lists.select(F.col("row").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-    return both.filter(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.col("must")).select("a", "b")
+    lists = classes.select("row", "n", "bits", F.col("tokens.token").alias("tokens")).join(wanted, "row", "left_semi")
+    both = pairs.join(lists.select(*[F.col(c).alias(c if c == "row" else f"{c}_a") for c in lists.columns]).withColumnRenamed("row", "a"), "a")
+    both = both.join(lists.select(*[F.col(c).alias(c if c == "row" else f"{c}_b") for c in lists.columns]).withColumnRenamed("row", "b"), "b")
+    return materialize(both.filter(_bits_allow(F.col("n_a"), F.col("n_b"), "bits_a", "bits_b") & (F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.col("must"))).select("a", "b"))
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
