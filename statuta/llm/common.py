@@ -91,7 +91,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about `most` bytes of a string column."""
+    """The batch in pieces of about `most` bytes of a string or binary column."""
     lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
     ends = np.cumsum(lengths)
     at = 0

@@ -1,8 +1,8 @@
 """Token ids in binary files: one zstandard frame per document, one dictionary for all.
 
 A file set is a folder with two Parquet tables. `dictionary` has one row: the dictionary,
-trained on serialized id arrays of a bounded sample, its SHA-256, the id width and the end
-id. `segments` has a row per run of consecutive documents: the SHA-256 of the dictionary, the
+trained on serialized id arrays of a bounded sample, how it came about, its SHA-256, the id
+width and the end id. `segments` has a row per run of consecutive documents: the SHA-256 of the dictionary, the
 documents' ids, the offsets of their frames (n + 1, the last is the length) and the frames,
 end to end. One document is read by its segment's offsets, without its neighbours.
 
@@ -13,17 +13,20 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_dir, slices, table, text_of
+from .common import bounded_batches, discard, materialize, shared_dir, slices, table, text_of
 
 END_ID = 1
 #: Of the sample that the dictionary is trained on: documents, serialized bytes of one, bytes of the dictionary.
@@ -32,7 +35,9 @@ SEGMENT_BYTES = 4 << 20
 LEVEL = 3
 #: Words whose ids a worker keeps.
 KEPT_WORDS = 1_000_000
-WHITE = str.maketrans("\t\n\r", "   ")
+# fixed values of this tokenizer: what ends the last id of a run, and how it cuts lower-case ASCII text into runs
+RUN_END = "</w>"
+RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
 
 
 def tokenizer_path() -> str:
@@ -45,7 +50,9 @@ class Encoder:
     """Ids of whole texts, word by word.
 
     The tokenizer drops white space and joins nothing across it, so a text's ids are those of
-    its words in turn; each distinct word is encoded once and kept.
+    its words in turn; each distinct word is encoded once and kept. A word of ASCII signs
+    without a special token falls into runs of letters, single digits and runs of other signs,
+    as the tokenizer cuts it, and each distinct run is encoded once too.
     """
 
     def __init__(self, path: str):
@@ -54,67 +61,91 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        size = self.tokenizer.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
+        self.last = np.zeros(size, bool)  # ids that end a run
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(RUN_END)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.lengths = np.zeros(1 << 16, np.int64)
+        self.number: dict[str, int] = {"": 0}
+        self.runs: dict[str, list[int]] = {}
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def learn(self, new: list[str]) -> None:
-        at = len(self.number)
-        # joined by spaces, many words cost one call; each token tells its word
-        pieces, lengths = [], np.zeros(len(new), np.int64)
-        for i in range(0, len(new), 512):
-            some = new[i : i + 512]
-            text = " ".join(some)
-            encoded = self.tokenizer.encode(text, add_special_tokens=False)
-            ends = np.cumsum([len(w) + 1 for w in some])
-            offsets = encoded.offsets
-            pieces.append(np.asarray(encoded.ids, np.uint32))
-            lengths[i : i + len(some)] = np.bincount(np.searchsorted(ends, [o[0] for o in offsets], "right"), minlength=len(some))[: len(some)]
-        ids = np.concatenate(pieces)
-        if self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-        if at + len(new) > len(self.starts):
-            more = np.zeros(max(len(self.starts), len(new)), np.int64)
+        plain = [w for w in new if w.isascii() and "<|" not in w]
+        cut = [RUNS.findall(w.lower()) for w in plain]
+        known = self.runs
+        if fresh := list({r for c in cut for r in c if r not in known}):
+            known.update(zip(fresh, self._of_runs(fresh), strict=True))
+        of_word = [known[c[0]] if len(c) == 1 else [i for r in c for i in known[r]] for c in cut]
+        if len(plain) < len(new):
+            other = [w for w in new if not w.isascii() or "<|" in w]
+            plain, of_word = plain + other, of_word + self._of_words(other)
+        lengths = np.fromiter(map(len, of_word), np.int64, len(of_word))
+        at, total = len(self.number), int(lengths.sum())
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), total), np.uint32)])
+        if at + len(plain) > len(self.starts):
+            more = np.zeros(max(len(self.starts), len(plain)), np.int64)
             self.starts, self.lengths = np.concatenate([self.starts, more]), np.concatenate([self.lengths, more])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.starts[at : at + len(new)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[at : at + len(new)] = lengths
-        self.used += len(ids)
-        self.number.update(zip(new, range(at, at + len(new)), strict=True))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(of_word), np.uint32, total)
+        self.starts[at : at + len(plain)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[at : at + len(plain)] = lengths
+        self.used += total
+        self.number.update(zip(plain, range(at, at + len(plain)), strict=True))
+
+    def _of_runs(self, runs: list[str]) -> list[list[int]]:
+        """Ids of runs: many in one call, parted behind each id that ends a run."""
+        out = []
+        for i in range(0, len(runs), 2048):
+            some = runs[i : i + 2048]
+            ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(some) or ends[-1] != len(ids):  # another tokenizer, which parts words otherwise
+                out += self._of_words(some)
+                continue
+            out += [ids[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
+    def _of_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of any words: each id tells by its offset which word it is of."""
+        out = []
+        for i in range(0, len(words), 512):
+            some = words[i : i + 512]
+            encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, ends = encoded.ids, np.cumsum([len(w) + 1 for w in some])
+            upto = np.searchsorted([o[0] for o in encoded.offsets], ends).tolist()
+            out += [ids[a:b] for a, b in zip([0, *upto], upto)]
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, without end ids, and each text's count."""
         if len(self.number) > KEPT_WORDS:
             self.clear()
-        split = [t.translate(WHITE).split(" ") for t in texts]
-        words = [w for s in split for w in s]
-        self.learn_new(words)
-        which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if new := [w for w in distinct if w not in self.number]:
+            self.learn(new)
+        number = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))
+        which = number[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.int64)
         lengths, starts = self.lengths[which], self.starts[which]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
-        bounds = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
         upto = np.concatenate([[0], ends])
+        bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(split)))]).astype(np.int64)
         return ids, upto[bounds[1:]] - upto[bounds[:-1]]
 
-    def learn_new(self, words: list[str]) -> None:
-        if new := list(set(words).difference(self.number)):
-            self.learn(new)
-
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _serialized(texts: list[str], path: str) -> list[bytes]:
+def _serialized(texts: pa.Array, path: str) -> list[bytes]:
     e = encoder(path)
     ids, counts = e.encode(texts)
     ends = np.cumsum(counts)
@@ -126,66 +157,82 @@ def _serialized(texts: list[str], path: str) -> list[bytes]:
     return [raw[a * e.width : b * e.width] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def train_dictionary(docs: DataFrame, path: str, text: str = "text") -> bytes:
-    """From at most SAMPLE_DOCS documents of at most SAMPLE_BYTES serialized; empty if there are too few to train on."""
-    rows = docs.count()
-    some = docs.filter(F.pmod(F.xxhash64(F.lit(5), text), F.lit(1 << 20)) < int(min(1.0, 2 * SAMPLE_DOCS / max(rows, 1)) * (1 << 20)))
-    some = some.select(text_of(docs, text).alias("text")).filter(F.octet_length("text") < SAMPLE_BYTES).limit(SAMPLE_DOCS)
+def train_dictionary(docs: DataFrame, path: str, text: str = "text") -> tuple[bytes, str]:
+    """The dictionary and how it came about: `trained`; `samples` themselves, where there are too few to train on; `none` without any.
+
+    The samples are the SAMPLE_DOCS texts of under SAMPLE_BYTES that a hash puts first.
+    """
+    some = docs.select(text_of(docs, text).alias("text")).filter(F.octet_length("text").between(1, SAMPLE_BYTES - 1))
+    some = some.withColumn("h", F.xxhash64(F.lit(5), "text")).orderBy("h", "text").limit(SAMPLE_DOCS)
 
     def ids(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_serialized(batch.column(0).to_pylist(), path), pa.binary())], ["raw"])
+            yield pa.RecordBatch.from_arrays([pa.array(_serialized(batch.column(0), path), pa.binary())], ["raw"])
 
-    samples = [r["raw"] for r in some.mapInArrow(ids, "raw binary").collect() if len(r["raw"]) <= SAMPLE_BYTES]
+    samples = sorted(r["raw"] for r in some.select("text").mapInArrow(ids, "raw binary").collect())
+    if not samples:
+        return b"", "none"
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except (zstandard.ZstdError, ValueError):
-        return b""
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes(), "trained"
+    except zstandard.ZstdError:
+        return b"".join(samples)[:DICTIONARY_BYTES], "samples"
+
+
+def _dictionary(raw: bytes, kind: str) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(raw, zstandard.DICT_TYPE_RAWCONTENT if kind == "samples" else zstandard.DICT_TYPE_FULLDICT) if raw else None
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, key: str = "doc_id", text: str = "text") -> None:
     """Encodes all rows and writes the file set.
 
     Rows are ordered by key, nulls first; rows of one key by a hash of the text, then the
-    text. A null text is the empty one and has the end id alone; repeated rows are kept; no
-    rows make a set without segments. Other columns are left out.
+    frame. A null text is the empty one and has the end id alone; repeated rows are kept; no
+    rows make a set without segments. Other columns are left out. Texts are encoded where they
+    lie: frames alone are put in order.
     """
     spark, path = docs.sparkSession, tokenizer or tokenizer_path()
     bounded_batches(spark)
-    dictionary = train_dictionary(docs, path, text)
+    dictionary, kind = train_dictionary(docs, path, text)
     sha, width = hashlib.sha256(dictionary).hexdigest(), encoder(path).width
-    spark.createDataFrame([(bytearray(dictionary), sha, width, END_ID)], "dictionary binary, sha256 string, width int, end_id int").coalesce(1).write.parquet(f"{folder}/dictionary")
-    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    spark.createDataFrame([(bytearray(dictionary), kind, sha, width, END_ID)], "dictionary binary, kind string, sha256 string, width int, end_id int").coalesce(1).write.parquet(f"{folder}/dictionary")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(docs, text).alias("text")).withColumn("tie", F.xxhash64("text"))
 
     def encode(batches):
-        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_content_size=True, write_checksum=False, write_dict_id=False)
-        part, seq = TaskContext.get().partitionId(), 0
-        ids, frames, tokens, held = [], [], 0, 0
+        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary, kind), write_content_size=True, write_checksum=False, write_dict_id=False)
+        for batch in batches:
+            for piece in slices(batch, "text", 4 << 20):
+                raw = _serialized(piece.column("text"), path)
+                tokens = pa.array([len(x) // width for x in raw], pa.int64())
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("tie"), tokens, pa.array(map(press.compress, raw), pa.binary())], ["doc_id", "tie", "n_tokens", "frame"])
+
+    frames = materialize(rows.mapInArrow(encode, "doc_id long, tie long, n_tokens long, frame binary"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    ordered = frames.repartitionByRange(*order).sortWithinPartitions(*order, "frame").select("doc_id", "n_tokens", "frame")
+    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("dictionary_sha256", pa.string()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("frames", pa.binary())])
+
+    def pack(batches):
+        part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def segment():
-            offsets = np.concatenate([[0], np.cumsum([len(f) for f in frames])]).astype(np.int64)
-            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "dictionary_sha256": sha, "n_docs": len(ids), "n_tokens": tokens, "doc_ids": ids, "offsets": offsets.tolist(), "frames": b"".join(frames)}], schema)
+            table = pa.Table.from_batches(held)
+            sizes = np.asarray(pc.binary_length(table.column("frame")), np.int64)
+            one = {"part": part, "seq": seq, "dictionary_sha256": sha, "n_docs": table.num_rows, "n_tokens": pc.sum(table.column("n_tokens")).as_py()}
+            lists = {"doc_ids": table.column("doc_id").to_pylist(), "offsets": np.concatenate([[0], np.cumsum(sizes)]).tolist(), "frames": b"".join(table.column("frame").to_pylist())}
+            return pa.RecordBatch.from_pylist([one | lists], schema)
 
-        schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("dictionary_sha256", pa.string()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("frames", pa.binary())])
         for batch in batches:
-            for piece in slices(batch, "text", 2 << 20):
-                for doc_id, raw in zip(piece.column("doc_id").to_pylist(), _serialized(piece.column("text").to_pylist(), path), strict=True):
-                    frame = press.compress(raw)
-                    ids.append(doc_id)
-                    frames.append(frame)
-                    tokens += len(raw) // width
-                    held += len(frame)
-                    if held >= SEGMENT_BYTES:
-                        yield segment()
-                        ids, frames, tokens, held, seq = [], [], 0, 0, seq + 1
-        if ids:
+            for piece in slices(batch, "frame", 1 << 20):
+                held.append(piece)
+                size += pc.sum(pc.binary_length(piece.column("frame"))).as_py()
+                if size >= SEGMENT_BYTES:
+                    yield segment()
+                    held, size, seq = [], 0, seq + 1
+        if held:
             yield segment()
 
-    segments = rows.mapInArrow(encode, "part int, seq int, dictionary_sha256 string, n_docs int, n_tokens long, doc_ids array<long>, offsets array<long>, frames binary")
+    segments = ordered.mapInArrow(pack, "part int, seq int, dictionary_sha256 string, n_docs int, n_tokens long, doc_ids array<long>, offsets array<long>, frames binary")
     segments.write.option("compression", "uncompressed").parquet(f"{folder}/segments")
+    discard(frames)
 
 
 def read_token_files(spark: SparkSession, folder: str, ids: bool = False) -> DataFrame:
@@ -195,11 +242,11 @@ def read_token_files(spark: SparkSession, folder: str, ids: bool = False) -> Dat
     raises ValueError.
     """
     head = spark.read.parquet(f"{folder}/dictionary").first()
-    dictionary, sha, width = bytes(head["dictionary"]), head["sha256"], head["width"]
+    dictionary, kind, sha, width = bytes(head["dictionary"]), head["kind"], head["sha256"], head["width"]
     segments = spark.read.parquet(f"{folder}/segments")
 
     def decode(batches):
-        press = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+        press = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary, kind))
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
@@ -238,7 +285,7 @@ def read_document(spark: SparkSession, folder: str, doc_id: int) -> list[list[in
     rows = spark.read.parquet(f"{folder}/segments").filter(F.array_contains("doc_ids", F.lit(doc_id)))
     found = rows.select("part", "seq", F.posexplode("doc_ids").alias("k", "id"), "offsets", "frames").filter(F.col("id") == doc_id)
     found = found.select("part", "seq", "k", F.expr("substring(frames, cast(offsets[k] as int) + 1, cast(offsets[k + 1] - offsets[k] as int))").alias("frame"))
-    press = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+    press = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary, head["kind"]))
     return [np.frombuffer(press.decompress(bytes(r["frame"])), "<u2" if head["width"] == 2 else "<u4").tolist() for r in found.orderBy("part", "seq", "k").collect()]
 
 
