@@ -20,6 +20,9 @@ the comparison of their sets.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,7 +45,7 @@ FILTER_BITS, BLOCK_BITS = 26, 8
 #: Parity bits of a set, in words: they bound what two sets of up to some thousand shingles share.
 PARITY_WORDS = 16
 #: Further rounds of pivots while what is left has more than so many pairs a row.
-MORE_PIVOTS, FEW_PAIRS = 3, 4
+MORE_PIVOTS, FEW_PAIRS = 3, 64
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -248,10 +251,12 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         rest, old = materialize(_unsettled(placed.join(pivots.select("token", "row_b"), "token").filter("row != row_b").drop("row_b"))), rest
         discard(old)
     # all that are left of one shingle and of different components, if their bits don't tell them apart
-    rest = rest.join(classes.select("row", "bits"), "row")
+    rest = rest.join(classes.select("row", *[F.get("bits", F.lit(k)).alias(f"w{k}") for k in range(PARITY_WORDS)]), "row")
     other = rest.select("token", *[F.col(c).alias(f"{c}_b") for c in rest.columns if c != "token"])
-    links = rest.join(other, "token").filter((F.col("row") < F.col("row_b")) & (F.col("root") != F.col("root_b")))
-    edges = edges.union(materialize(verified(docs, _sharing(_possible(links, bits=True), classes))))
+    ahead = (F.col("last") < F.col("last_b")) | ((F.col("last") == F.col("last_b")) & (F.col("row") < F.col("row_b")))  # each pair once
+    words = [(F.col(f"w{k}"), F.col(f"w{k}_b")) for k in range(PARITY_WORDS)]
+    links = rest.join(other, "token").filter(ahead & (F.col("root") != F.col("root_b")) & (F.col("rank") <= F.col("live") - F.least("matches", "matches_b")))
+    edges = edges.union(materialize(verified(docs, _sharing(_possible(links, words), classes))))
     roots = components(edges)
     ends = all_rows.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class"))
     heads = classes_heads(all_rows).join(roots.select(F.col("node").alias("head"), "root"), "head", "left").select("class", F.coalesce("root", "head").alias("root"), "least")
@@ -305,7 +310,7 @@ def _needed(n: Column, m: Column) -> Column:
     return F.floor((UP * (n + m) + UP + DOWN - 1) / (UP + DOWN)).cast("long")
 
 
-def _possible(joined: DataFrame, bits: bool = False) -> DataFrame:
+def _possible(joined: DataFrame, bits: list | None = None) -> DataFrame:
     """Distinct (a, b, must) of the rows of a join on token whose pair can have the similarity.
 
     Lengths: the lesser is at least t of the greater. Place: with a shared shingle at two
@@ -324,13 +329,13 @@ def _possible(joined: DataFrame, bits: bool = False) -> DataFrame:
     must = F.greatest(need - (of_x("n") - length), F.least("matches", "matches_b").cast("long"))
     kept = joined.filter((DOWN * F.least(n, m) >= UP * F.greatest(n, m)) & (before + behind >= need) & (of_x("rank") <= of_x("live") - must))
     if bits:
-        kept = kept.filter(_bits_allow(n, m, "bits", "bits_b"))
+        kept = kept.filter(_bits_allow(n, m, bits))
     return kept.select(F.least("row", "row_b").alias("a"), F.greatest("row", "row_b").alias("b"), must.alias("must")).distinct()
 
 
-def _bits_allow(n: Column, m: Column, x: str, y: str) -> Column:
+def _bits_allow(n: Column, m: Column, words: list) -> Column:
     """Sets differ in at least as many shingles as their parity bits do: n + m less those bits is twice what they can share."""
-    apart = sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(PARITY_WORDS)), F.lit(0))
+    apart = functools.reduce(operator.add, [F.bit_count(x.bitwiseXOR(y)) for x, y in words])
     return (n + m - apart) >= 2 * _needed(n, m)
 
 
@@ -341,7 +346,8 @@ def _sharing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     lists = classes.select("row", "n", "bits", F.col("tokens.token").alias("tokens")).join(wanted, "row", "left_semi")
     both = pairs.join(lists.select(*[F.col(c).alias(c if c == "row" else f"{c}_a") for c in lists.columns]).withColumnRenamed("row", "a"), "a")
     both = both.join(lists.select(*[F.col(c).alias(c if c == "row" else f"{c}_b") for c in lists.columns]).withColumnRenamed("row", "b"), "b")
-    return materialize(both.filter(_bits_allow(F.col("n_a"), F.col("n_b"), "bits_a", "bits_b") & (F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.col("must"))).select("a", "b"))
+    words = [(F.get("bits_a", F.lit(k)), F.get("bits_b", F.lit(k))) for k in range(PARITY_WORDS)]
+    return materialize(both.filter(_bits_allow(F.col("n_a"), F.col("n_b"), words) & (F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.col("must"))).select("a", "b"))
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

