@@ -35,6 +35,8 @@ WIDEST = 16
 
 
 def units(x: np.ndarray) -> np.ndarray:
+    """Vectors of length one; they are scaled first, so that no square is lost or overflows."""
+    x = x / np.abs(x).max(1, keepdims=True, initial=1e-320)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -173,15 +175,18 @@ class Graph:
         return starts
 
 
-def links_between(graph: Graph, a: np.ndarray, b: np.ndarray, same: bool, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (place in a, place in b) of unit vectors with the cosine, found by searching a's graph with b's vectors.
+def links_between(graph: Graph, a: np.ndarray, b: np.ndarray, same: bool, cosine: float = COSINE) -> np.ndarray:
+    """Which pairs of unit vectors have the cosine, a row for each of b and a column for each of a, found by searching a's graph with b's vectors.
 
-    same: a and b are one shard; each pair is returned once, the lesser place first. A beam passes
-    by the audit only; where links are so rare that the audit comes to all queries, its comparison is the result."""
-    q, n = b.astype(np.float32), len(a)
+    A byte for each pair of a shard's vectors, however many of them link. same: a and b are one shard; then
+    the result is symmetric, and no vector is linked with itself. A beam passes by the audit only; where
+    links are so rare that the audit comes to all queries, its comparison is the result."""
+    q, n, m = b.astype(np.float32), len(a), len(b)
+    found = np.zeros((m, n), bool)
 
-    def search(which: np.ndarray, ef: int) -> tuple[list, np.ndarray]:
-        found, full, step = [], np.zeros(len(which), bool), max(8, min(BLOCK, (1 << 23) // (n + 16 * ef)))
+    def search(which: np.ndarray, ef: int) -> np.ndarray:
+        """Marks what is found; returns which queries filled half their beam."""
+        full, step = np.zeros(len(which), bool), max(8, min(BLOCK, (1 << 23) // (n + 16 * ef)))
         for i in range(0, len(which), step):
             some = which[i : i + step]
             starts = np.concatenate([graph.entry(q[some]), some[:, None]], 1) if same else graph.entry(q[some])
@@ -189,77 +194,74 @@ def links_between(graph: Graph, a: np.ndarray, b: np.ndarray, same: bool, cosine
             near = (sims >= cosine - 1e-4) & (ids >= 0)
             full[i : i + len(some)] = near.sum(1) * 2 >= min(ef, n + 1)
             row, at = np.nonzero(near)
-            found.append((ids[row, at], some[row]))
-        return found, full
+            found[some[row], ids[row, at]] = True
+        return full
 
-    def exact(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    def exact(which: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(which), n), bool)
         for i in range(0, len(which), BLOCK):
-            row, at = np.nonzero(b[which[i : i + BLOCK]] @ a.T >= cosine)
-            out.append((at, which[i : i + BLOCK][row]))
-        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
-
-    # a vector's link to itself, found for certain, says nothing
-    real = lambda x, y: (x != y) if same else np.ones(len(x), bool)
-    order, compared = np.random.default_rng(2).permutation(len(b)), 0
-    truth, per_query = (np.zeros(0, np.int64), np.zeros(0, np.int64)), np.zeros(len(b), np.int64)
-    while compared < len(b) and (compared < AUDITED or np.count_nonzero(per_query) < LINKED):
+            out[i : i + BLOCK] = b[which[i : i + BLOCK]] @ a.T >= cosine
+        if same:  # a vector's link to itself says nothing
+            out[np.arange(len(which)), which] = False
+        return out
+
+    def verify() -> None:
+        for i in range(0, m, BLOCK):
+            block = found[i : i + BLOCK]
+            row, at = np.nonzero(block)
+            if len(row) * 8 > block.size:
+                block &= b[i : i + BLOCK] @ a.T >= cosine
+            else:
+                for k in range(0, len(row), 1 << 16):
+                    r, c = row[k : k + (1 << 16)], at[k : k + (1 << 16)]
+                    block[r, c] = np.einsum("id,id->i", b[i + r], a[c]) >= cosine
+        if same:
+            np.fill_diagonal(found, False)
+
+    order, compared, truth = np.random.default_rng(2).permutation(m), 0, np.zeros((0, n), bool)
+    while compared < m and (compared < AUDITED or np.count_nonzero(truth.any(1)) < LINKED):
         more = exact(order[compared : max(AUDITED, 2 * compared)])
-        truth = tuple(np.concatenate(z) for z in zip(truth, more, strict=True))
-        per_query = np.bincount(truth[1][real(*truth)], minlength=len(b))
-        compared = max(AUDITED, 2 * compared)
-    audited = np.zeros(len(b), bool)
-    audited[order[:compared]] = True
-    linked = per_query > 0
-    ef = EF if compared < len(b) else n
-    while True:
+        truth, compared = np.concatenate([truth, more]), compared + len(more)
+    audited, per_query = order[:compared], truth.sum(1)
+    linked, ef = per_query > 0, EF
+    while compared < m:
         if ef >= n:
-            x, y = truth if compared >= len(b) else exact(np.arange(len(b)))
+            found[:] = exact(np.arange(m))
             break
-        which, found, wide = np.arange(len(b)), [], ef
+        which, wide = np.arange(m), ef
         while len(which):
             if wide * WIDEST >= n and wide > ef:
-                found.append(exact(which))
+                found[which] = exact(which)
                 break
-            some, full = search(which, wide)
-            keep = ~full
-            kept = np.zeros(len(b), bool)
-            kept[which[keep]] = True
-            found += [(i[kept[j]], j[kept[j]]) for i, j in some]
-            which, wide = which[full], wide * 4
-        x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        good = np.concatenate([np.einsum("id,id->i", a[x[i : i + 65536]], b[y[i : i + 65536]]) >= cosine for i in range(0, len(x), 65536)]) if len(x) else np.zeros(0, bool)
-        x, y = x[good], y[good]
+            which, wide = which[search(which, wide)], wide * 4
+        verify()
         # what is found is verified: it is part of the truth
-        seen = np.unique(y * n + x)
-        mine = audited[seen // n] & real(seen % n, seen // n)
-        hit = np.bincount(seen[mine] // n, minlength=len(b))
+        hit = found[audited].sum(1)
         if hit.sum() >= RECALL * per_query.sum() and (hit[linked] / per_query[linked]).mean() >= RECALL:
-            x, y = np.concatenate([x[~audited[y]], truth[0]]), np.concatenate([y[~audited[y]], truth[1]])
             break
         ef *= 2
+    found[audited] = truth
+    if same:
+        found |= found.T
+    return found
+
+
+def forest(found: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Linked pairs (row, column) that span each component of the links; each row and column is visited once."""
+    m, n = found.shape
+    rows, columns, out = np.ones(m, bool), np.ones(n, bool), []
     if same:
-        lo, hi = np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]
-        key = np.unique(lo * len(a) + hi)
-        return key // len(a), key % len(a)
-    return x, y
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    up: dict[int, int] = {}
-
-    def root(x):
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        rx, ry = root(x), root(y)
-        if rx != ry:
-            up[max(rx, ry)] = min(rx, ry)
-            out.append((x, y))
+        columns = rows
+    for first in np.flatnonzero(found.any(1)):
+        if not rows[first]:
+            continue
+        rows[first], open_ = False, [(int(first), True)]
+        while open_:
+            at, is_row = open_.pop()
+            new = np.flatnonzero(found[at] & columns) if is_row else np.flatnonzero(found[:, at] & rows)
+            (columns if is_row else rows)[new] = False
+            out += [(at, int(x)) if is_row else (int(x), at) for x in new]
+            open_ += [(int(x), same or not is_row) for x in new]
     return out
 
 
@@ -276,7 +278,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     bounded_batches(vectors.sparkSession)
     value = F.col(vector).cast("array<double>")
     sane = F.coalesce(F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(value, lambda x: x != 0), F.lit(False)) & F.col(label).isNotNull()
-    rows = vectors.select(F.col(key).alias("vec_id"), F.when(sane, F.struct(F.col(label).cast("string").alias("label"), F.col(vector).cast("array<float>").alias("embedding"))).alias("v"))
+    rows = vectors.select(F.col(key).alias("vec_id"), F.when(sane, F.struct(F.col(label).cast("string").alias("label"), F.col(vector).cast("array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>").alias("embedding"))).alias("v"))
     classes = rows.filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
     classes = classes.withColumn("class", F.monotonically_increasing_id()).select("class", "copies", "least", F.col("v.label").alias("label"), F.col("v.embedding").alias("embedding"), F.size("v.embedding").alias("dim"))
     classes = materialize(classes)
@@ -318,12 +320,13 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
                 graph.v, graph.level = a.astype(np.float32), np.asarray(get("level").values)
                 graph.links = [np.frombuffer(x, "<i4").reshape(len(a), -1) for x in get("links").as_py()]
                 same = get("shard").as_py() == get("other").as_py()
-                x, y = links_between(graph, a, b, same)
+                links = links_between(graph, a, b, same)
                 ca, cb = np.asarray(get("classes").values), np.asarray(get("classes_b").values)
                 na, nb = np.asarray(get("copies").values), np.asarray(get("copies_b").values)
-                of_a, of_b = np.bincount(x, nb[y], len(a)).astype(np.int64), np.bincount(y, na[x], len(b)).astype(np.int64)
+                of_a, of_b = (np.zeros(len(a), np.int64) if same else nb @ links), links @ na
                 nodes, counts = np.concatenate([ca[of_a > 0], cb[of_b > 0]]), np.concatenate([of_a[of_a > 0], of_b[of_b > 0]])
-                edges = np.array(_forest(ca[x], cb[y]), np.int64).reshape(-1, 2)
+                edges = np.array(forest(links, same), np.int64).reshape(-1, 2)
+                edges = np.stack([cb[edges[:, 0]], ca[edges[:, 1]]], 1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([nodes, edges[:, 0]])), pa.array(np.concatenate([np.full(len(nodes), -1), edges[:, 1]])), pa.array(np.concatenate([counts, np.zeros(len(edges), np.int64)]))], ["class", "other", "n"]
                 )
