@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, crc_text, materialize, slices, table, text_of
 
 SAMPLE_ROWS = 20_000
-LEXICON = 20_000
 #: A word enters the lexicon if it is in so many toxic texts, with odds of at least e ** LEAST_ODDS.
 LEAST_DOCS, LEAST_ODDS, STRONG = 3, 1.5, 2.5
 PREFIXES = (4, 5, 6)
@@ -38,7 +37,7 @@ EDGE = ".,;:!?\"'()[]{}<>«»„“”‘’…-–—*#&%$/\\"
 INNER = re.compile(r"[^\W_][*@$#%&!|+.0-9_-]+[^\W\d_]")
 REPEAT = re.compile(r"([^\W\d_])\1\1")
 DROP = re.compile(r"[^\w]|_")
-FEATURES = ("log_words", "word_max", "word_density", "strong_density", "strong_count", "prefix_max", "prefix_density", "second_density", "near_second", "capitals", "shouted", "exclaimed", "punctuation", "runs_of_punctuation", "inner_signs", "repeats", "masked_hits", "mean_odds")
+FEATURES = ("log_words", "word_max", "word_density", "strong_density", "strong_log", "prefix_max", "prefix_density", "second_density", "near_second", "capitals", "shouted", "exclaimed", "punctuation", "runs_of_punctuation", "inner_signs", "repeats", "masked_hits", "mean_odds")
 
 
 class Features:
@@ -82,7 +81,7 @@ class Features:
         if strong and second:
             at = np.searchsorted(second, strong)
             near = sum(1 for i, a in zip(strong, at, strict=True) if (a < len(second) and second[a] - i <= 5) or (a and i - second[a - 1] <= 5))
-        letters = sum(map(str.isalpha, text)) if len(text) < 200 else len(text) - text.count(" ")
+        letters = sum(map(len, LETTERS.findall(text)))
         upper = len(UPPER.findall(text))
         signs = len(SIGNS.findall(text))
         return [
@@ -90,7 +89,7 @@ class Features:
             max((o for _, o in hits), default=0.0),
             sum(o for _, o in hits) / n,
             len(strong) / n,
-            float(min(len(strong), 20)),
+            math.log1p(len(strong)),
             max(begins, default=0.0),
             sum(begins) / n,
             len(second) / n,
@@ -107,6 +106,7 @@ class Features:
         ]
 
 
+LETTERS = re.compile(r"[^\W\d_]+")
 UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 SIGNS = re.compile(r"[^\w\s]")
 RUNS = re.compile(r"[!?*#]{2,}")
@@ -126,14 +126,14 @@ def _units(batches):
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Log odds of units, with one half added to each count, in rows (text, toxic)."""
+    """Log odds of units, with one half added to each count, in rows (text, toxic): a bounded sample, so its units are few enough for every task."""
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return {}
     units = rows.mapInArrow(_units, "unit string, toxic int").groupBy("unit").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (n[1] + 1.0)) - F.log((F.col("good") + 0.5) / (n[0] + 1.0))
     units = units.filter(F.col("bad") >= LEAST_DOCS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
-    return {r["unit"]: r["odds"] for r in units.orderBy(F.desc(F.col("odds") * F.col("bad")), "unit").limit(LEXICON).collect()}
+    return {r["unit"]: r["odds"] for r in units.select("unit", "odds").toLocalIterator()}
 
 
 def with_features(docs: DataFrame, lexicon: dict[str, float], keep: list[str]) -> DataFrame:
@@ -173,32 +173,37 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     some = F.broadcast(rows.filter(F.pmod("h", F.lit(1 << 20)) < take).select("key", "toxic", fold.cast("int").alias("fold")))
     sample = materialize(docs.join(some, docs[key] == some["key"]).select(text_of(docs).alias("text"), "toxic", "fold"))
     lexicon = learn_lexicon(sample.filter("fold < 9"))
-    ready = with_features(sample.filter("fold >= 9"), lexicon, ["toxic", "fold"]).withColumns({"features": array_to_vector("features"), "label": F.col("toxic").cast("double")})
-    ready = materialize(ready.select("label", "fold", "features").coalesce(4)).coalesce(4).cache()
+    ready = with_features(sample.filter("fold >= 9"), lexicon, ["toxic", "fold"]).withColumns({"__features": array_to_vector("features"), "label": F.col("toxic").cast("double")})
+    ready = materialize(ready.select("label", "fold", "__features").coalesce(4)).coalesce(4).cache()
     parts = {(r["b"], r["label"]): r["n"] for r in ready.groupBy((F.col("fold") >= 16).alias("b"), "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(parts) < 4:
         return Model(lexicon, rate=n[1] / (n[0] + n[1]))
     # the sample may hold the labels at other shares than the rows do: weights restore them
     share = {y: n[y] / max(sum(c for (_, z), c in parts.items() if z == y), 1) for y in (0, 1)}
     ready = ready.withColumn("w", F.when(F.col("label") == 1, F.lit(share[1])).otherwise(F.lit(share[0])))
-    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="w", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1, maxBins=32, minInstancesPerNode=2, cacheNodeIds=False).fit(ready.filter("fold < 16"))
-    scored = trees.transform(ready.filter("fold >= 16")).select("label", "w", vector_to_array("probability")[1].alias("raw"))
-    curve = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="w", predictionCol="score").fit(scored)
+    trees = GBTClassifier(featuresCol="__features", labelCol="label", weightCol="w", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1, maxBins=32, minInstancesPerNode=2, cacheNodeIds=False).fit(ready.filter("fold < 16"))
+    scored = trees.transform(ready.filter("fold >= 16")).select("label", "w", vector_to_array("probability")[1].alias("__raw"))
+    curve = IsotonicRegression(featuresCol="__raw", labelCol="label", weightCol="w", predictionCol="__score").fit(scored)
     ready.unpersist()
     return Model(lexicon, trees, curve)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The kept columns, score (0 to 1) and predicted; docs has a column text; a null text is the empty one."""
+    """The kept columns, score (0 to 1) and predicted; docs has a column text; a null text is the empty one.
+
+    Kept columns named score or predicted are replaced by these.
+    """
     bounded_batches(docs.sparkSession)
-    docs = docs.withColumn("text", text_of(docs))
+    keep = [c for c in keep if c not in ("score", "predicted")]
     if model.trees is None:
         return docs.select(*keep, F.lit(model.rate).alias("score"), F.lit(int(model.rate >= TOXIC_FROM)).alias("predicted"))
-    ready = with_features(docs, model.lexicon, keep).withColumn("features", array_to_vector("features"))
-    raw = model.trees.transform(ready).withColumn("raw", vector_to_array("probability")[1])
-    out = model.curve.transform(raw.select(*keep, "raw"))
-    value = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
-    return out.select(*keep, value.alias("score"), (value >= TOXIC_FROM).cast("int").alias("predicted"))
+    named = {c: f"__keep{k}" for k, c in enumerate(keep)}
+    docs = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()], text_of(docs).alias("text"))
+    ready = with_features(docs, model.lexicon, list(named.values())).withColumn("__features", array_to_vector("features"))
+    raw = model.trees.transform(ready).withColumn("__raw", vector_to_array("probability")[1])
+    out = model.curve.transform(raw.select(*named.values(), "__raw"))
+    value = F.least(F.greatest(F.col("__score"), F.lit(0.0)), F.lit(1.0))
+    return out.select(*[F.col(n).alias(c) for c, n in named.items()], value.alias("score"), (value >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
