@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_batches, crc_text, slices, table, text_of, utf8
+from .common import LOWER, bounded_batches, crc_text, materialize, slices, table, text_of, utf8
 
-SAMPLE_PER_LANG = 4000
+#: Rows of the sample: of one language, and of all together, about; at least LEAST_PER_LANG of each that has them.
+SAMPLE_PER_LANG, SAMPLE_ROWS, LEAST_PER_LANG = 4000, 100_000, 100
 ORDERS = (2, 3, 4)
 BUCKET_BITS = 15
 BUCKETS = len(ORDERS) << BUCKET_BITS
-MOST_LANGS = 200
+#: The languages and their codewords are in every task: more raise an error.
+MOST_LANGS = 8000
 #: A text is ambiguous if the best language leads the second by less.
 LEAD = 0.05
 
@@ -86,8 +88,9 @@ class Model:
             one = np.ones(len(means))
             return np.zeros(len(means), np.int64), one, one
         margin = means * self.slope + self.shift
-        loss = np.stack([(self.trust * np.logaddexp(0, -word * margin)).sum(1) for word in self.code], 1)
-        apart = (self.trust * (self.code[:, None] != self.code[None])).sum(2)
+        ones = (self.code > 0).T.astype(float)
+        loss = (self.trust * np.logaddexp(0, -margin)) @ ones + (self.trust * np.logaddexp(0, margin)) @ (1 - ones)
+        apart = (self.trust.sum() - (self.code * self.trust) @ self.code.T.astype(float)) / 2
         belief = -loss / max(apart[~np.eye(len(self.code), dtype=bool)].min(), 1e-9)
         belief = np.exp(belief - belief.max(1, keepdims=True))
         belief /= belief.sum(1, keepdims=True)
@@ -105,34 +108,31 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
     if not sizes:
         return None
     langs = sorted(sizes)
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, SAMPLE_PER_LANG / n) * (1 << 20)))])
-    sample = rows.filter(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")]).select("text", "lang", F.pmod(F.shiftright("h", 24), F.lit(2)).cast("int").alias("half"))
+    each = max(LEAST_PER_LANG, min(SAMPLE_PER_LANG, SAMPLE_ROWS // len(langs)))
+    shares = train.sparkSession.createDataFrame([(k, int(min(1.0, each / n) * (1 << 20))) for k, n in sizes.items()], "lang string, share long")
+    # MOST_LANGS rows at most are sent; the sample is written by all tasks, and read by few
+    sample = rows.join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1 << 20)) < F.col("share"))
+    sample = materialize(sample.select("text", "lang", F.pmod(F.shiftright("h", 24), F.lit(2)).cast("int").alias("half"))).coalesce(8)
     number = {k: i for i, k in enumerate(langs)}
 
     def count(batches):
-        counts = np.zeros((len(langs), 2, BUCKETS), np.int64)
+        """Of each piece the buckets that a language and half have, with their counts."""
         for batch in batches:
             for piece in slices(batch, "text", 1 << 20):
                 raw, offsets = utf8(piece.column("text"))
                 row = np.array([number[k] for k in piece.column("lang").to_pylist()]) * 2 + np.asarray(piece.column("half"))
                 if len(raw):
                     row_at = np.repeat(row, np.diff(offsets))
-                    for _, bucket, inside in ngrams(raw, offsets):
-                        counts += np.bincount((row_at[: len(bucket)] * BUCKETS + bucket)[inside], minlength=counts.size).reshape(counts.shape)
-        for i, k in enumerate(langs):
-            for half in (0, 1):
-                if (seen := np.flatnonzero(counts[i, half])).size:
-                    yield pa.RecordBatch.from_pydict({"lang": [k], "half": pa.array([half], pa.int32()), "buckets": [seen], "counts": [counts[i, half, seen]]})
-
-    # the sample is bounded, and so are the tasks that hold it: few enough that their sums can be added up here
-    sample = sample.coalesce(8)
-    counts = np.zeros((len(langs), 2, BUCKETS))
-    for r in sample.mapInArrow(count, "lang string, half int, buckets array<long>, counts array<long>").toLocalIterator():
-        counts[number[r["lang"]], r["half"], np.asarray(r["buckets"])] += np.asarray(r["counts"])
-    code = codebook(len(langs))
+                    where = np.concatenate([(row_at[: len(bucket)] * BUCKETS + bucket)[inside] for _, bucket, inside in ngrams(raw, offsets)])
+                    where, times = np.unique(where, return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"i": (where // (2 * BUCKETS)).astype(np.int32), "half": (where // BUCKETS % 2).astype(np.int32), "bucket": (where % BUCKETS).astype(np.int32), "n": times})
+
+    summed = sample.mapInArrow(count, "i int, half int, bucket int, n long").groupBy("i", "half", "bucket").agg(F.sum("n").alias("n"))
+    by_lang = materialize(summed.groupBy("i", "half").agg(F.collect_list(F.struct("bucket", "n")).alias("counts")))  # at most BUCKETS of each
     # a language whose sample is in one half alone teaches from that half
-    first = np.where(counts[:, 0].sum(1, keepdims=True) > 0, counts[:, 0], counts[:, 1])
-    weights = bit_weights(first, code)
+    chosen = by_lang.groupBy("i").agg(F.min(F.struct("half", "counts")).alias("c")).select("i", "c.counts.bucket", "c.counts.n")
+    code = codebook(len(langs))
+    weights = bit_weights(((r["i"], np.array(r["bucket"]), np.array(r["n"])) for r in chosen.toLocalIterator()), code)
     if len(langs) == 1:
         return Model(langs, code, np.zeros((BUCKETS, 0), np.float32), np.ones(0), np.zeros(0), np.ones(0))
 
@@ -153,15 +153,27 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
     return Model(langs, code, weights, slope, shift, trust)
 
 
-def bit_weights(counts: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """For each bucket and bit the log ratio of its smoothed rates under the 1-languages and the 0-languages."""
-    out = np.zeros((BUCKETS, code.shape[1]), np.float32)
-    for o in range(len(ORDERS)):
-        part = slice(o << BUCKET_BITS, (o + 1) << BUCKET_BITS)
-        rate = (counts[:, part] + 0.5) / (counts[:, part].sum(1, keepdims=True) + 0.5 * (1 << BUCKET_BITS))
-        for b in range(code.shape[1]):
-            out[part, b] = np.log(rate[code[:, b] > 0].mean(0) / rate[code[:, b] < 0].mean(0))
-    return out
+def bit_weights(counts, code: np.ndarray) -> np.ndarray:
+    """For each bucket and bit the log ratio of its smoothed mean rates under the 1-languages and the 0-languages.
+
+    counts: (language, buckets, their counts), one language after another; one that has none has even rates.
+    """
+    sums, left = np.zeros((2, BUCKETS, code.shape[1]), np.float32), set(range(len(code)))
+
+    def add(i, rate):
+        for side, bits in enumerate((code[i] < 0, code[i] > 0)):
+            sums[side][:, bits] += rate[:, None].astype(np.float32)
+
+    for i, buckets, n in counts:
+        dense = np.zeros(BUCKETS)
+        dense[buckets] = n
+        dense = dense.reshape(len(ORDERS), -1)
+        add(i, ((dense + 0.5) / (dense.sum(1, keepdims=True) + 0.5 * (1 << BUCKET_BITS))).ravel())
+        left.discard(i)
+    for i in left:
+        add(i, np.full(BUCKETS, 1 / (1 << BUCKET_BITS)))
+    ones = np.maximum((code > 0).sum(0), 1)
+    return np.log((sums[1] / ones) / (sums[0] / np.maximum(len(code) - ones, 1))) if len(code) > 1 else np.zeros((BUCKETS, 0), np.float32)
 
 
 def calibrated(x: np.ndarray, sign: np.ndarray) -> tuple[float, float]:
