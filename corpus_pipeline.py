@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.llm import decontam, langid, mixing, ngram_join, sharding
-from statuta.llm.common import materialize, table, text_of
+from statuta.llm.common import materialize, shared_dir, table, text_of
 
 #: Ids of rows to drop are broadcast up to this many (16 bytes each); beyond, texts are shuffled to them.
 BROADCAST_ROWS = 1_000_000
+#: Of a stretch of a shard within which the order is random.
+BUCKET_BYTES = 1 << 20
+#: Rows of a file of the mixture, at least.
+FILE_ROWS = 256
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,15 +49,41 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, file by file and row by row in the order of the mixture."""
-    mixed = materialize(mixing.mix(docs).select(*docs.columns, "position"))
-    return mixed.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
+    """All documents in the order of the mixture: file by file, and row by row in a file."""
+    mixed = mixing.mix(docs)
+    rows = docs.count()
+    files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // FILE_ROWS))
+    # positions run from 0 to about the number of rows: gaps are behind short blocks alone
+    file = F.least(F.floor(F.col("position") * files / max(rows, 1)), F.lit(files - 1)).cast("int")
+    return mixed.repartitionById(files, file).sortWithinPartitions("position").select(*docs.columns)
 
 
 def shuffle_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with shard and slot."""
-    placed = sharding.external_shuffle(docs)
-    return placed.select(*docs.columns, F.col("shard").cast("int").alias("shard"), "slot")
+    """All documents with shard and slot, read from the shards that were written.
+
+    The buckets of a shard follow the order of the stage before, so that every stretch of a
+    shard has the mixture's shares; within a bucket the order is random.
+    """
+    placed = sharding.external_shuffle(mixture_order(docs), bucket_bytes=BUCKET_BYTES, place=F.col("__place"))
+    path = shared_dir(spark)
+    sharding.write_shards(placed, path)
+    out = sharding.read_shards(spark, path, placed.schema)
+    return out.select(*docs.columns, F.col("shard").cast("int").alias("shard"), "slot")
+
+
+def mixture_order(docs: DataFrame) -> DataFrame:
+    """docs with __place: where a row stands in the files that it is read from, from 0 to under 1.
+
+    Rows that aren't read from files, or that lie in one, have the place of a hash of their id.
+    """
+    own = F.pmod(F.xxhash64(F.lit(3), *[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")]), F.lit(1 << 30)) / float(1 << 30)
+    files = sorted(docs.inputFiles())
+    if len(files) < 2:
+        return docs.withColumn("__place", own)
+    named = docs.sparkSession.createDataFrame([(f.rpartition("/")[2], i) for i, f in enumerate(files)], "__file string, __i int")
+    found = docs.withColumn("__file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    # a row for each file of one table
+    return found.join(F.broadcast(named), "__file").withColumn("__place", (F.col("__i") + own) / len(files)).drop("__file", "__i")
 
 
 STAGES = [

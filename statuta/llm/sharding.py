@@ -3,7 +3,7 @@
 Pass one scatters the records into buckets that fit in memory, by seeded hashes: the key
 chooses the shard by rendezvous hashing, a second hash of the whole row chooses one of the
 shard's buckets. Pass two shuffles each bucket with Fisher-Yates and numbers its rows behind
-those of the shard's earlier buckets. A shard read in slot order is then a random order of
+those of the shard's earlier buckets, and they are written there. A shard read in slot order is then a random order of
 its records, and no task ever holds more than one bucket.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_text, table
+from .common import crc_text, shared_dir, table
 
 SHARDS = 40
 BUCKET_BYTES = 8 << 20
@@ -45,22 +45,28 @@ def fisher_yates(n: int, seed: list[int]) -> list[int]:
     return order
 
 
-def external_shuffle(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
+def external_shuffle(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED, place: Column | None = None) -> DataFrame:
     """All rows of df with size, shard, bucket, slot and grown_shard.
 
     size: UTF-8 bytes of the text and 16 more. slot: 0, 1, ... in each shard. The order is a
-    function of the rows and the seed, not of how they are partitioned. A null text counts as
+    function of the rows and the seed, not of how they are partitioned. A shard has as many
+    buckets as its own size asks for. place: a number from 0 to under 1, the same for the same
+    row, by which the rows of a shard go to its buckets in turn: each bucket is then shuffled
+    by itself, and the shard keeps the coarse order of the places. A null text counts as
     0 bytes; a null key is a key of its own; equal rows are kept and get slots of their own;
-    no rows give no rows. An input column named like one of the added ones is replaced.
+    no rows give no rows. An input column named like one of the added ones, or like __row or
+    __place, is replaced or left out.
     """
-    added = ("size", "shard", "bucket", "slot", "grown_shard")
-    df = df.drop(*added)
+    df = df.drop("size", "shard", "bucket", "slot", "grown_shard", "__row")
     shard, grown = rendezvous(F.col(key), shards, seed)
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 16
-    total = df.agg(F.sum(size)).first()[0] or 0
-    buckets = max(1, math.ceil(total / shards / bucket_bytes))
-    scattered = df.withColumns({"size": size, "shard": shard, "grown_shard": grown, "__row": F.xxhash64(F.lit(seed + 1), *[F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in df.schema])})
-    scattered = scattered.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 2), "__row"), F.lit(buckets)).cast("int"))
+    row = F.xxhash64(F.lit(seed + 1), *[F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in df.drop("__place").schema])
+    spot = place if place is not None else F.pmod(F.xxhash64(F.lit(seed + 2), row), F.lit(1 << 30)) / float(1 << 30)
+    # `shards` rows of sums: how many buckets each shard needs
+    sums = {r["s"]: r["n"] for r in df.groupBy(shard.alias("s")).agg(F.sum(size).alias("n")).collect()}
+    buckets = F.array(*[F.lit(max(1, math.ceil(sums.get(s, 0) / bucket_bytes))) for s in range(shards)])
+    scattered = df.withColumns({"size": size, "shard": shard, "grown_shard": grown, "__row": row, "__spot": spot}).drop("__place")
+    scattered = scattered.withColumn("bucket", F.floor(F.col("__spot") * F.get(buckets, F.col("shard"))).cast("int")).drop("__spot")
     counts = scattered.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
@@ -79,12 +85,23 @@ def external_shuffle(df: DataFrame, key: str = "doc_id", text: str = "text", sha
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:
-    """One folder per shard; the rows of a file are in slot order."""
-    shuffled.repartition("shard", "bucket").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """A folder per shard, in it a file for the buckets of each task; the rows of a file are in slot order.
+
+    Nothing is moved again: the buckets are written where they were shuffled. No rows write no
+    shard. The folders carry the shard's number, all other columns are in the files.
+    """
+    shuffled.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def read_shards(spark, path: str, schema: T.StructType) -> DataFrame:
+    """What write_shards() wrote, with the columns of the schema."""
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
-    return digest(external_shuffle(table(spark, sf_dir, "documents")))
+    shuffled, path = external_shuffle(table(spark, sf_dir, "documents")), shared_dir(spark)
+    write_shards(shuffled, path)
+    return digest(read_shards(spark, path, shuffled.schema))
 
 
 def digest(shuffled: DataFrame) -> DataFrame:

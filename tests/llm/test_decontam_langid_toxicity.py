@@ -163,10 +163,52 @@ def test_toxicity(spark):
     flat = toxicity.fit(d, spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.score(d, flat, ["doc_id"]).collect()} == {0.0}
     assert toxicity.score(d.limit(0), model, ["doc_id"]).count() == 0
+    odd = d.select("doc_id", "text", *[F.lit("kept").alias(c) for c in ("score", "features", "prediction", "probability", "raw", "rawPrediction")])
+    clash = toxicity.score(odd, model, odd.columns)
+    assert clash.columns == ["doc_id", "text", "features", "prediction", "probability", "raw", "rawPrediction", "score", "predicted"]
+    assert {(r.doc_id, r.score) for r in clash.collect() if r.raw == "kept"} == {(r.doc_id, r.score) for r in toxicity.score(d.select("doc_id", "text"), model, ["doc_id"]).collect()}
+
+
+@pytest.mark.parametrize("n", [50, 500, 5000])
+def test_capitals_are_a_share_of_the_letters(n):
+    f = dict(zip(toxicity.FEATURES, toxicity.Features({}).of("Ab 1, " * (n // 6)), strict=True))
+    assert f["capitals"] == 0.5
+
+
+def test_isotonic_step_against_pooled_neighbours(spark):
+    """The curve's values are the weighted means of pooled neighbours, as brute force pools them."""
+    rng = random.Random(2)
+    points = [(round(rng.random(), 2), float(rng.random() < 0.4), rng.choice([1.0, 2.5])) for _ in range(200)]
+    df = spark.createDataFrame(points, "label_at double, label double, w double").withColumnRenamed("label_at", "__raw")
+    curve = toxicity.IsotonicRegression(featuresCol="__raw", labelCol="label", weightCol="w", predictionCol="__score").fit(df)
+    blocks = []
+    for x in sorted({p[0] for p in points}):
+        own = [(y, w) for a, y, w in points if a == x]
+        blocks.append([sum(y * w for y, w in own), sum(w for _, w in own), [x]])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] > blocks[-1][0] / blocks[-1][1]:
+            last = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2] + last[2]]
+    want = {x: s / w for s, w, xs in blocks for x in xs}
+    assert all(abs(r["__score"] - want[r["__raw"]]) < 1e-9 for r in curve.transform(df).collect())
+
+
+def test_decoding_against_brute_force():
+    rng = np.random.default_rng(3)
+    code = langid.codebook(9)
+    model = langid.Model(list("abcdefghi"), code, None, rng.random(code.shape[1]), rng.normal(size=code.shape[1]), rng.random(code.shape[1]))
+    means = rng.normal(size=(40, code.shape[1]))
+    best, score, lead = model.decode(means)
+    for i, m in enumerate(means):
+        margin = m * model.slope + model.shift
+        loss = [sum(t * math.log1p(math.exp(-w * x)) for t, w, x in zip(model.trust, word, margin, strict=True)) for word in code]
+        apart = min(sum(t for t, x, y in zip(model.trust, code[a], code[b], strict=True) if x != y) for a in range(9) for b in range(a))
+        belief = [math.exp(-x / apart) for x in loss]
+        assert best[i] == int(np.argmin(loss)) and abs(score[i] - max(belief) / sum(belief)) < 1e-9
+        assert abs(lead[i] - (sorted(belief)[-1] - sorted(belief)[-2]) / sum(belief)) < 1e-9
 
 
 def test_toxic_features():
     f = toxicity.Features({"zorgon": 4.0, "^zorg": 2.0})
     name = dict(zip(toxicity.FEATURES, f.of("You ZORGON! z0rg0n zorgonia"), strict=True))
-    assert name["strong_count"] == 2 and name["near_second"] > 0 and name["shouted"] > 0 and name["masked_hits"] > 0 and name["prefix_max"] == 2.0
+    assert abs(name["strong_log"] - math.log(3)) < 1e-9 and name["near_second"] > 0 and name["shouted"] > 0 and name["masked_hits"] > 0 and name["prefix_max"] == 2.0
     assert f.of("") == f.of(" ") and len(f.of("")) == len(toxicity.FEATURES)

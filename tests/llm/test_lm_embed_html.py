@@ -144,13 +144,33 @@ def test_beams_that_miss_links_do_not_pass(pairs):
     g = ed.Graph(v)
     for links in g.links:
         links[:] = -1
-    assert set(zip(*(z.tolist() for z in ed.links_between(g, v, v, True)), strict=True)) == want
+    found = ed.links_between(g, v, v, True)
+    assert {tuple(p) for p in np.argwhere(np.triu(found)).tolist()} == want and (found == found.T).all()
     # another shard, whose first vectors are near some of this one
     other = rng.normal(size=(1500, 24))
     other[:pairs] = v[twin[:, 0]] + rng.normal(size=(pairs, 24)) * 0.001
     other = ed.units(other)
-    x, y = np.nonzero(v @ other.T >= ed.COSINE)
-    assert set(zip(*(z.tolist() for z in ed.links_between(g, v, other, False)), strict=True)) == set(zip(x.tolist(), y.tolist(), strict=True))
+    assert (ed.links_between(g, v, other, False) == (other @ v.T >= ed.COSINE)).all()
+
+
+def test_a_clique_is_counted_exactly_and_spanned():
+    rng = np.random.default_rng(5)
+    v = ed.units(np.concatenate([rng.normal(size=16) + rng.normal(scale=0.02, size=(1500, 16)), rng.normal(size=(700, 16))]))
+    found = ed.links_between(ed.Graph(v), v, v, True)
+    want = v @ v.T >= ed.COSINE
+    np.fill_diagonal(want, False)
+    assert (found == want).all()
+    edges = ed.forest(found, True)
+    assert all(found[a, b] for a, b in edges) and len(edges) >= 1499
+    some = found[:300]
+    assert len(ed.forest(some, False)) == 300 + 1500 - 1
+
+
+def test_double_vectors_keep_their_precision(spark):
+    near = [[1.0, 0.0], [0.93, math.sqrt(1 - 0.93**2)], [0.93 - 1e-9, math.sqrt(1 - (0.93 - 1e-9) ** 2)], [1e-200, 0.0]]
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(near)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in ed.near_vectors(df).collect()}
+    assert got[3] == got[0] and got[2] == 1 and got[0] in (1, 2)
 
 
 def test_no_vectors(spark):

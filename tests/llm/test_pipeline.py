@@ -41,6 +41,24 @@ def test_pipeline_matches_brute_force(spark, folder):
         assert sorted(r.slot for r in got if r.shard == shard) == list(range(n))
 
 
+def test_the_mixture_holds_in_every_stretch_of_a_shard(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "FILE_ROWS", 100)
+    monkeypatch.setattr(corpus_pipeline.sharding, "SHARDS", 2)
+    rows = [(i, f"text {i} " * 30, "en", "rare" if i % 10 == 0 else "common", 9) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    corpus_pipeline.mix_sources(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    order = [r.source for r in mixed.withColumn("f", corpus_pipeline.F.col("_metadata.file_path")).withColumn("i", corpus_pipeline.F.col("_metadata.row_index")).orderBy("f", "i").collect()]
+    assert len(mixed.inputFiles()) >= 4 and "rare" in order[:300] and set(order[-300:]) == {"common"}
+    placed = corpus_pipeline.sharding.external_shuffle(corpus_pipeline.mixture_order(mixed), shards=2, bucket_bytes=20_000, place=corpus_pipeline.F.col("__place")).collect()
+    assert Counter(r.doc_id for r in placed) == Counter(r[0] for r in rows)
+    first = order[: len(order) // 2].count("rare")
+    for shard in (0, 1):  # the rare source ends in the mixture before the common one, and so it does in each shard
+        mine = [r.source for r in sorted(placed, key=lambda r: r.slot) if r.shard == shard]
+        half = mine[: len(mine) // 2].count("rare")
+        assert abs(half - first / 2) < 0.25 * first and half > 1.2 * mine[len(mine) // 2 :].count("rare")
+
+
 def test_stages_keep_the_columns(spark, folder):
     path, _, _ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet")

@@ -33,6 +33,24 @@ def test_shards(spark):
     assert all(more[r[0]] == r[6] for r in got)
 
 
+def test_shards_are_written_in_slot_order(spark, tmp_path):
+    import pyarrow.dataset as ds
+
+    df = spark.createDataFrame(rows(), SCHEMA)
+    placed = sharding.external_shuffle(df, bucket_bytes=600)
+    sharding.write_shards(placed, f"{tmp_path}/s")
+    back = sharding.read_shards(spark, f"{tmp_path}/s", placed.schema)
+    assert sorted(map(str, back.collect())) == sorted(map(str, placed.collect()))
+    assert len({f.partition("shard=")[2].partition("/")[0] for f in back.inputFiles()}) == 40
+    for f in ds.dataset(f"{tmp_path}/s", format="parquet").files:
+        slots = ds.dataset(f).to_table(["slot"]).column(0).to_pylist()
+        assert slots == sorted(slots)
+    # a null key's shard, far larger than the others, has more buckets
+    many = spark.createDataFrame([(None if i % 3 else i, f"{i} " * 20) for i in range(900)], "doc_id long, text string")
+    sizes = Counter((r.shard, r.bucket) for r in sharding.external_shuffle(many, bucket_bytes=3000).collect())
+    assert max(sizes.values()) < 120
+
+
 def test_fisher_yates_is_fair():
     seen = Counter(tuple(sharding.fisher_yates(3, [i])) for i in range(6000))
     assert len(seen) == 6 and min(seen.values()) > 800
@@ -75,6 +93,23 @@ def test_mix(spark):
     assert [tuple(r) for r in sorted(mixing.mix(df.repartition(5), shares, block_rows=4).collect(), key=lambda r: r.position)] == [tuple(r) for r in sorted(got, key=lambda r: r.position)]
 
 
+def test_many_sources_go_by_pools(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 20)
+    monkeypatch.setattr(mixing, "POOLS", 4)
+    data = [(i, "t", f"s{i % 50 if i % 2 else 7}", "x") for i in range(3000)]
+    df = spark.createDataFrame(data, SCHEMA)
+    for shares in (None, {f"s{i}": 1 + i % 3 for i in range(50)}):
+        got = sorted(mixing.mix(df, shares, block_rows=2).collect(), key=lambda r: r.position)
+        assert Counter((r.doc_id, r.text, r.source, r.shard) for r in got) == Counter(data) and len({r.position for r in got}) == len(data)
+        assert len({r.slot for r in got}) == max(r.slot for r in got) + 1
+        if shares:  # while all have blocks left, each is less than a block from its share of its pool, and the pool from its own
+            early = got[:240]
+            whole = sum(shares[k] for k in {r.source for r in got})
+            for k, w in ((k, shares[k]) for k in {r.source for r in got}):
+                assert abs(sum(r.source == k for r in early) / 2 - w * 120 / whole) < 2
+        assert [r.position for r in sorted(mixing.mix(df.repartition(3), shares, block_rows=2).collect(), key=lambda r: r.doc_id)] == [r.position for r in sorted(got, key=lambda r: r.doc_id)]
+
+
 def test_missing_share(spark):
     with pytest.raises(ValueError, match="no target share"):
         mixing.mix(spark.createDataFrame(rows(), SCHEMA), {"big": 1})
