@@ -1,13 +1,14 @@
 """Main text of web pages by wrapper induction.
 
-Every page becomes a tree of its block elements. The trees of one host's pages are aligned by
-simple tree matching and merged into a wrapper: nodes whose text is the same on every page are
-template, the others are slots. The slots that hold the article are chosen once per wrapper,
-by element, by role names and by how much unlinked text varies there. Each page is then
-aligned with its host's wrapper and gives the text of the article's slots.
-
-Wrappers are merged like counts: first within a task, then by host and salt, then by host. All
-pages take part, and no task holds the pages of a host.
+Every page becomes a tree of its block elements. Of each host one page, chosen by a hash, is
+the reference: the trees of all its pages are aligned with the reference by simple tree
+matching, which gives each block the place it has on the host. By place, counts over all pages
+of the host tell what is constant, and so template, and where the text that varies is: the
+article's place is the deepest one that holds most of it. Each page then gives the text of the
+blocks at that place, without template, and without what its element or its names exclude.
+
+The counts are sums by host and place, so they are the same however pages are dealt to tasks,
+and no task holds the pages of a host.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import zlib
 
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +39,16 @@ MAIN = re.compile(r"(?:^|\s)(?:main|article|article-body|articlebody|entry-conte
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|xmp|noembed|noframes)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</?[a-zA-Z][^<>]*(?:>|\Z)", re.S | re.I)
 ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b|\baria-hidden\s*=\s*[\"']?(true)|\bstyle\s*=\s*[\"'][^\"']*display\s*:\s*(none)", re.I)
 WHITE = re.compile(r"\s+")
-#: A slot counts as template if its text was the same on at least so many pages.
-CONSTANT_PAGES = 5
-#: Children of one wrapper node: beyond, the rarest leave the wrapper; a page's own nodes stay.
-MOST_CHILDREN = 100
-SALTS, FLUSH_HOSTS = 64, 2000
-#: Wrappers of all hosts are sent to every task up to this size; beyond, pages and wrappers are shuffled by host.
+DIGITS = re.compile(r"\d{3,}")
+#: A place is template if its text was the same on all pages that have it, and on so many at least.
+CONSTANT_PAGES = 3
+#: The article lies in a part of a place that has so much of its text; in an article element that has so much of the page's.
+MOST, ENOUGH = 0.7, 0.3
+#: Blocks within blocks, at most.
+DEPTH = 150
+#: Places that a task counts before it hands its counts on.
+FLUSH_PLACES = 50_000
+#: References and wrappers of all hosts are sent to every task up to this size; beyond, they are joined by host.
 BROADCAST_BYTES = 8 << 20
 
 
@@ -116,9 +120,11 @@ def parse(page: str) -> Node:
                 if open_[k].tag == "head":
                     del open_[k:]
                     break
-        key = f"{tag}.{names.split()[0]}" if names.split() else tag
+        key = DIGITS.sub("#", f"{tag}.{names.split()[0]}".replace("|", "-")) if names.split() else tag
         dropped = tag in DROPPED or hidden or bool(names and tag not in ("body", "article", "main") and ROLE.search(names))
         node = Node(tag, "main" if main and not dropped else key, dropped)
+        if len(open_) > DEPTH:  # what lies deeper follows its parent instead of lying in it
+            node.dropped = node.dropped or open_.pop().dropped
         open_[-1].items.append(node)
         open_.append(node)
     if at < len(page):
@@ -150,167 +156,179 @@ def runs(node: Node) -> list[list[Node]]:
     return out
 
 
-# A wrapper node is a list: key, pages, text (checksum, or 0 for varying), characters, linked characters, dropped, children.
-KEY, PAGES, TEXT, CHARS, LINKS, OUT, CHILDREN = range(7)
+# A shape is the key of a run and the shapes of the runs within it.
+def shape(members: list[Node]) -> tuple:
+    """The shape of a run: of its members the one with the most runs stands for all."""
+    return members[0].key, max((tuple(shape(r) for r in runs(n)) for n in members), key=len)
 
 
-def wrapper_of(members: list[Node]) -> list:
-    """The wrapper of one page's run of blocks."""
-    check, chars, links, children = 1, 0, 0, []
-    for node in members:
-        own = [wrapper_of(run) for run in runs(node)]
-        children = merged_children(children, own, False) if children else own
-        for x in node.items:
-            if isinstance(x, str):
-                check = zlib.crc32(x.encode("utf-8", "surrogatepass"), check)
-                chars += len(x)
-        links += node.links
-    for c in children:
-        check, chars, links = zlib.crc32(str(c[TEXT]).encode(), check), chars + c[CHARS], links + c[LINKS]
-    return [members[0].key, 1, check or 1, chars, links, all(n.dropped for n in members), children]
-
-
-def matching(a: list, b: list) -> int:
-    """Simple tree matching: the nodes of the largest common top-down, order-keeping match."""
-    if a[KEY] != b[KEY]:
+@functools.lru_cache(maxsize=100_000)
+def matching(a: tuple, b: tuple) -> int:
+    """Simple tree matching: how many nodes the largest top-down, order-keeping match of two shapes has."""
+    if a[0] != b[0]:
         return 0
-    return 1 + sum(w for _, _, w in aligned(a[CHILDREN], b[CHILDREN]))
+    return 1 + _table(a[1], b[1])[-1][-1]
 
 
-def aligned(a: list, b: list) -> list[tuple[int, int, int]]:
-    """Pairs of matched children and their weights."""
-    if len(a) == len(b) and all(x[KEY] == y[KEY] for x, y in zip(a, b, strict=True)):
-        return [(i, i, 1) for i in range(len(a))]
-    weight = [[matching(x, y) for y in b] for x in a]
+def _table(a: tuple, b: tuple) -> list[list[int]]:
+    """The most matched nodes between the first i shapes of a and the first j of b."""
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + weight[i - 1][j - 1])
-    i, j, out = len(a), len(b), []
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + matching(x, y))
+    return best
+
+
+@functools.lru_cache(maxsize=100_000)
+def aligned(a: tuple, b: tuple) -> dict[int, int]:
+    """Which shapes of a match which of b, in a largest match."""
+    best, i, j, out = _table(a, b), len(a), len(b), {}
     while i and j:
-        if weight[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + weight[i - 1][j - 1]:
-            i, j = i - 1, j - 1
-            out.append((i, j, weight[i][j]))
-        elif best[i][j] == best[i - 1][j]:
+        if best[i][j] == best[i - 1][j]:
             i -= 1
-        else:
+        elif best[i][j] == best[i][j - 1]:
             j -= 1
-    return out[::-1]
+        else:
+            i, j = i - 1, j - 1
+            out[i] = j
+    return out
+
 
+def places(page: Node, reference: tuple) -> dict[str, list[Node]]:
+    """The blocks of a page by place. A place is the way through the reference; what has no match there goes by its key."""
+    out: dict[str, list[Node]] = {}
 
-def merge(a: list, b: list, pages: bool = True) -> list:
-    """The wrapper of two wrappers with one key. pages: they are of different pages."""
-    text = a[TEXT] if a[TEXT] == b[TEXT] else 0
-    return [a[KEY], a[PAGES] + b[PAGES] if pages else max(a[PAGES], b[PAGES]), text, a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], a[OUT] and b[OUT], merged_children(a[CHILDREN], b[CHILDREN], pages)]
+    def visit(members: list[Node], like: tuple | None, place: str):
+        out.setdefault(place, []).extend(members)
+        for node in members:
+            groups = runs(node)
+            match = aligned(tuple(map(shape, groups)), like[1]) if like and groups else {}
+            for i, group in enumerate(groups):
+                if i in match:
+                    visit(group, like[1][match[i]], f"{place}|{match[i]}")
+                else:
+                    visit(group, None, f"{place}|+{group[0].key}")
+
+    visit([page], reference if reference[0] == page.key else None, "")
+    return out
 
 
-def merged_children(a: list, b: list, pages: bool) -> list:
-    out, i, j = [], 0, 0
-    for k, m, _ in aligned(a, b):
-        out += a[i:k] + b[j:m]
-        out.append(merge(a[k], b[m], pages))
-        i, j = k + 1, m + 1
-    out += a[i:] + b[j:]
-    if len(out) > MOST_CHILDREN:
-        least = sorted((c[PAGES] for c in out), reverse=True)[MOST_CHILDREN - 1]
-        out = [c for c in out if c[PAGES] >= least][:MOST_CHILDREN]
+def counts(found: dict[str, list[Node]]) -> dict[str, tuple]:
+    """Of each place of a page: key, checksum of its own text, characters, linked characters, whether it is excluded."""
+    out = {}
+    for place, members in found.items():
+        text = [x for n in members for x in n.items if isinstance(x, str)]
+        check = zlib.crc32("\n".join(text).encode("utf-8", "surrogatepass"))
+        out[place] = members[0].key, check, sum(map(len, text)), sum(n.links for n in members), all(n.dropped for n in members)
     return out
 
 
-def article(wrapper: list) -> list[int]:
-    """The path, as child numbers, to the node that holds the article; [] is the page itself."""
-    best, at = -1.0, None
-
-    def visit(node, path):
-        nonlocal best, at
-        if node[OUT]:
-            return
-        if node[KEY] == "main" or node[KEY].split(".")[0] in ("article", "main"):
-            free = node[CHARS] - node[LINKS] + 0.001 * node[PAGES] + (0.5 * len(path) if best >= 0 else 0)
-            inner = 0.6 if at and path[: len(at)] == at else 1.0  # an article within main wins if it has most of its text
-            if free > best * inner:
-                best, at = free, path
-        for k, c in enumerate(node[CHILDREN]):
-            visit(c, [*path, k])
-
-    visit(wrapper, [])
-    if at is not None:
-        return at
-    # without such an element: the deepest node that has most of the text that varies
-    free = lambda n: 0 if n[OUT] else max(n[CHARS] - sum(c[CHARS] for c in n[CHILDREN] if c[OUT]) - n[LINKS], 0)
-    node, path = wrapper, []
-    while True:
-        inner = [(free(c), k) for k, c in enumerate(node[CHILDREN]) if c[CHILDREN]]
-        if not inner or max(inner)[0] < 0.7 * max(free(node), 1):
-            return path
-        k = max(inner)[1]
-        node, path = node[CHILDREN][k], [*path, k]
-
-
-def extract(page: Node, wrapper: list | None, path: list[int]) -> str:
-    """The article's blocks, one per line."""
+class Place:
+    """Counts of a place over the pages of a host."""
+
+    __slots__ = ("chars", "free", "inner", "key", "links", "out", "pages", "template")
+
+    def __init__(self, key, pages, constant, chars, links, out):
+        self.key, self.pages, self.chars, self.links, self.out = key, pages, chars, links, out
+        self.template, self.inner, self.free = bool(constant and pages >= CONSTANT_PAGES and chars), [], 0
+
+
+def wrapper(found: dict[str, Place]) -> tuple[str, list[str]]:
+    """The article's place, and the places of template; no template where nothing varies."""
+    if not any(p.chars and not p.template and not p.out for p in found.values()):
+        for p in found.values():
+            p.template = False
+    for name in sorted(found, key=lambda n: -n.count("|")):  # from within
+        p = found[name]
+        p.free = 0 if p.out else p.free + (0 if p.template else max(p.chars - p.links, 0))
+        if name:
+            parent = found.get(name.rpartition("|")[0])
+            if parent:
+                parent.free += p.free
+                parent.inner.append(name)
+    element = lambda p: p.key.split(".")[0]
+    at = ""
+    while at in found and element(found[at]) != "article":
+        p = found[at]
+        inner = [n for n in p.inner if found[n].inner or element(found[n]) in ("article", "main")]
+        best = max(inner, key=lambda n: (found[n].free, n), default=None)
+        headed = any(re.fullmatch("h[1-3]", element(found[n])) and found[n].free for n in p.inner)
+        if best is None or found[best].free < MOST * max(p.free, 1) or (headed and element(found[best]) != "article"):
+            break
+        at = best
+    if at in found and element(found[at]) not in ("article", "main"):
+        # an element that says so, with a good part of the text
+        named = [n for n, p in found.items() if element(p) in ("article", "main") and n.startswith(at) and not p.out]
+        best = max(named, key=lambda n: (found[n].free, n.count("|"), n), default=None)
+        if best is not None and found[best].free >= ENOUGH * max(found[at].free, 1):
+            at = best
+    return at, sorted(n for n, p in found.items() if p.template)
+
+
+def extract(page: Node, reference: tuple, at: str, template: frozenset) -> str:
+    """The article's blocks, one per line; a page without its host's place has its own."""
+    found = places(page, reference)
+    if at not in found:
+        own = shape([page])
+        found = places(page, own)
+        at, _ = wrapper({k: Place(c[0], 1, False, *c[2:]) for k, c in counts(found).items()})
+        template = frozenset()
+    skipped = {id(n) for place in template & found.keys() for n in found[place]}
     blocks: list[str] = []
 
-    def write(node: Node, like: list | None):
-        for x, match in paired(node, like):
-            if isinstance(x, str):
+    def write(node: Node):
+        for x in node.items:
+            if not isinstance(x, str):
+                if not x.dropped:
+                    write(x)
+            elif id(node) not in skipped:
                 blocks.append(x)
-            elif not x.dropped and not (match and match[TEXT] and match[PAGES] >= CONSTANT_PAGES):
-                write(x, match)
-
-    def find(node: Node, like: list | None, path: list[int]) -> bool:
-        """Writes what lies at the path; False if the page has nothing there."""
-        if not path:
-            write(node, None if like and like[TEXT] else like)
-            return True
-        target, found = like[CHILDREN][path[0]], False
-        for x, match in paired(node, like):
-            if match is target and not isinstance(x, str):
-                found = find(x, match, path[1:]) or found
-        return found
-
-    if not (wrapper and path and find(page, wrapper, path)):
-        own = wrapper_of([page])
-        blocks.clear()
-        find(page, own, article(own)) if article(own) else write(page, wrapper)
+
+    for node in found[at]:
+        write(node)
     return "\n".join(blocks)
 
 
-def paired(node: Node, like: list | None):
-    """The items of a node, blocks with their match in the wrapper."""
-    match: dict[int, list] = {}
-    if like and like[CHILDREN]:
-        groups = runs(node)
-        for k, m, _ in aligned([wrapper_of(g) for g in groups], like[CHILDREN]):
-            for x in groups[k]:
-                match[id(x)] = like[CHILDREN][m]
-    return [(x, None if isinstance(x, str) else match.get(id(x))) for x in node.items]
+@functools.lru_cache(maxsize=4096)
+def _loaded(reference: str) -> tuple:
+    return _tuples(json.loads(reference))
+
+
+def _tuples(x: list) -> tuple:
+    return x[0], tuple(map(_tuples, x[1]))
+
+
+def _references(batches):
+    for batch in batches:
+        shapes = [json.dumps(shape([parse(page)])) for page in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("__host"), pa.array(shapes, pa.string())], ["__host", "__reference"])
+
+
+def _counted(batches):
+    held: dict[tuple, list] = {}
 
+    def out():
+        names = ("__host", "place", "key", "pages", "least", "most", "chars", "links", "outs")
+        rows = [(*k, *v) for k, v in held.items()]
+        return pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)))
 
-def _wrappers(batches):
-    task, held = TaskContext.get().partitionId() % SALTS, {}
-    out = lambda: pa.RecordBatch.from_pydict({"host": list(held), "salt": pa.array([task] * len(held), pa.int32()), "wrapper": [json.dumps(w) for w in held.values()]})
     for batch in batches:
-        for piece in slices(batch, "html"):
-            for host, page in zip(piece.column("host").to_pylist(), piece.column("html").to_pylist(), strict=True):
-                own = wrapper_of([parse(page)])
-                held[host] = merge(held[host], own) if host in held else own
-            if len(held) > FLUSH_HOSTS:
+        for piece in slices(batch, "__html"):
+            for host, page, reference in zip(*(piece.column(c).to_pylist() for c in ("__host", "__html", "__reference")), strict=True):
+                for place, (key, check, chars, links, dropped) in counts(places(parse(page), _loaded(reference))).items():
+                    h = held.setdefault((host, place), [key, 0, check, check, 0, 0, 0])
+                    h[:] = min(h[0], key), h[1] + 1, min(h[2], check), max(h[3], check), h[4] + chars, h[5] + links, h[6] + dropped
+            if len(held) > FLUSH_PLACES:
                 yield out()
                 held.clear()
     if held:
         yield out()
 
 
-def _merged(group: pd.DataFrame) -> pd.DataFrame:
-    whole = functools.reduce(merge, (json.loads(w) for w in sorted(group["wrapper"])))
-    return pd.DataFrame({"host": [group["host"].iloc[0]], "salt": [0], "wrapper": [json.dumps(whole)]})
-
-
-@functools.lru_cache(maxsize=256)
-def _loaded(wrapper: str) -> tuple[list, list[int]]:
-    whole = json.loads(wrapper)
-    return whole, article(whole)
+def _induced(group: pd.DataFrame) -> pd.DataFrame:
+    found = {r.place: Place(r.key, r.pages, r.least == r.most, r.chars, r.links, 2 * r.outs > r.pages) for r in group.itertuples()}
+    at, template = wrapper(found)
+    return pd.DataFrame({"__host": [group["__host"].iloc[0]], "__at": [at], "__template": [template]})
 
 
 def extract_pages(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
@@ -318,7 +336,8 @@ def extract_pages(pages: DataFrame, url: str = "url", page: str = "html") -> Dat
 
     The text is empty where the html is null, empty or has no article text. Pages without a
     host in their url share one wrapper. Equal pages get equal texts; a host whose pages are
-    all the same has no template but its roles. Input columns named text or n_chars are replaced.
+    all the same has no template but what is excluded. Input columns named text or n_chars are
+    replaced; names that begin with two underscores are this function's own.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
@@ -326,24 +345,35 @@ def extract_pages(pages: DataFrame, url: str = "url", page: str = "html") -> Dat
     names = pages.columns
     host = F.coalesce(F.regexp_extract(F.lower(F.col(url)), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     ready = pages.withColumns({"__host": host, "__html": F.coalesce(F.col(page), F.lit(""))})
-    shape = "host string, salt int, wrapper string"
-    made = ready.select(F.col("__host").alias("host"), F.col("__html").alias("html")).mapInArrow(_wrappers, shape)
-    made = made.groupBy("host", "salt").applyInPandas(_merged, shape).groupBy("host").applyInPandas(_merged, shape)
-    made = materialize(made.select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper")))
-    held = made.agg(F.sum(F.length("__host") + F.length("__wrapper") + 64)).first()[0] or 0
-    joined = ready.join(F.broadcast(made) if held <= BROADCAST_BYTES else made, "__host", "left")
+    # one page of each host, reduced in the tasks that read them
+    chosen = ready.filter("__html != ''").groupBy("__host").agg(F.min(F.struct(F.xxhash64("__html"), "__html"))["__html"].alias("html"))
+    references = materialize(chosen.mapInArrow(_references, "__host string, __reference string"))
+    send = _sent(references)
+    counted = ready.select("__host", "__html").join(send(references), "__host").mapInArrow(_counted, "__host string, place string, key string, pages long, least long, most long, chars long, links long, outs long")
+    summed = counted.groupBy("__host", "place").agg(F.min("key").alias("key"), F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("most").alias("most"), *[F.sum(c).alias(c) for c in ("chars", "links", "outs")])
+    # places of one page alone that aren't the reference's tell nothing about the host
+    told = summed.filter((F.col("pages") > 1) | ~F.contains("place", F.lit("+")))
+    wrappers = told.groupBy("__host").applyInPandas(_induced, "__host string, __at string, __template array<string>")
+    wrappers = materialize(references.join(wrappers, "__host"))
+    joined = ready.join(_sent(wrappers)(wrappers), "__host", "left")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema), "text string"])
 
     def run(batches):
         for batch in batches:
             for piece in slices(batch, "__html"):
-                texts = []
-                for source, wrapper in zip(piece.column("__html").to_pylist(), piece.column("__wrapper").to_pylist(), strict=True):
-                    texts.append(extract(parse(source), *(_loaded(wrapper) if wrapper else (None, []))))
+                columns = (piece.column(c).to_pylist() for c in ("__html", "__reference", "__at", "__template"))
+                texts = [extract(parse(source), _loaded(reference), at, frozenset(template)) if source else "" for source, reference, at, template in zip(*columns, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(texts, pa.string())], [*names, "text"])
 
     return joined.mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def _sent(table_: DataFrame):
+    """How to join a table of hosts: sent to every task if its size, which is counted, is small."""
+    size = F.length("__host") + sum((F.length(F.col(c)) if kind == "string" else F.length(F.array_join(c, "|")) for c, kind in table_.dtypes), F.lit(64))
+    held = table_.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast if held <= BROADCAST_BYTES else (lambda df: df)
+
+
 def op8_html_extraction(spark, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")

@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import json
 import math
 import random
 import re
@@ -212,19 +211,42 @@ def brute_match(a, b):
 
 def test_tree_matching():
     rng = random.Random(6)
-    tree = lambda depth: [rng.choice("abc"), [tree(depth - 1) for _ in range(rng.randrange(4))] if depth else []]
-    as_wrapper = lambda t: [t[0], 1, 0, 0, 0, False, [as_wrapper(c) for c in t[1]]]
+    tree = lambda depth: (rng.choice("abc"), tuple(tree(depth - 1) for _ in range(rng.randrange(4))) if depth else ())
 
     def weight(a, b):
+        """Nodes that the alignment really pairs."""
         if a[0] != b[0]:
             return 0
-        total = 1
-        pairs = hx.aligned(a[6], b[6])
+        pairs = sorted(hx.aligned(a[1], b[1]).items())
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
-        return total + sum(weight(a[6][i], b[6][j]) for i, j, _ in pairs)
+        return 1 + sum(weight(a[1][i], b[1][j]) for i, j in pairs)
 
-    for _ in range(200):
-        a, b = tree(3), tree(3)
-        a[0] = b[0] = "r"
-        assert weight(as_wrapper(a), as_wrapper(b)) <= brute_match(a, b)
-    assert json.loads(json.dumps(hx.wrapper_of([hx.parse(page(1, "<p>x"))])))[0] == "html"
+    for _ in range(300):
+        a, b = ("r", tree(3)[1]), ("r", tree(3)[1])
+        assert weight(a, b) == hx.matching(a, b) == brute_match(a, b)
+
+
+def plain(i, body):
+    """A page without a telling element or name: menu, notice and sidebar are known by their constancy and their share of text alone."""
+    return f"""<html><body><div class="x1"><div>Home</div><ul><li><a href="/a">News {i}</a><li><a href="/b">Shop</a></ul></div><div class="x2">
+<div class="y1">We store small files on your device. Carry on to agree.</div><div class="y2"><h2>Title {i}</h2>{body}<div class="z">Write to the editor about this text.</div></div><div class="y3">Side piece {i} of today.</div></div><div class="x3">All rights {i}</div></body></html>"""
+
+
+def test_the_wrapper_finds_the_article_where_no_name_tells(spark, monkeypatch):
+    bodies = {i: f"<p>{'Some words of page ' + str(i) + '. '}</p>" if i == 3 else f"<p>{('Own words of page ' + str(i) + '. ') * 12}</p><p>End {i}.</p>" for i in range(12)}
+    rows = [(i, "http://one.example/p", plain(i, b)) for i, b in bodies.items()]
+    want = {i: f"Title {i}\n" + "\n".join(x.strip() for x in b.replace("<p>", "").split("</p>") if x) for i, b in bodies.items()}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in (1, 3, 7):  # whatever the partitions
+        assert {r.page_id: r.text for r in hx.extract_pages(df.repartition(n)).collect()} == want
+    # a page by itself, as if it were of another host, can't tell: the wrapper does
+    alone = hx.extract_pages(df.filter("page_id = 3")).first().text
+    assert "small files" in alone and "editor" in alone and alone != want[3]
+
+
+def test_pages_of_any_shape(spark):
+    deep = "<div>" * 3000 + "<p>Bottom text.</p>" + "</div>" * 3000
+    ids = "".join(f"<div class='c{i}x'>block {i}</div>" for i in range(400))
+    rows = [(1, "http://d.example/", deep), (2, "http://d.example/2", deep), (3, "http://w.example/", ids), (4, "http://w.example/2", ids + "<article>x</article>"), (5, None, None)]
+    got = {r.page_id: r.text for r in hx.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[2] == "Bottom text." and got[3].count("block") == 400 and got[5] == ""
