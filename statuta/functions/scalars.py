@@ -72,6 +72,34 @@ def parse_date(c: Column) -> Column:
     return out
 
 
+def coerced_date(c: Column) -> Column:
+    """The ISO date that a text begins with; null if it has none."""
+    return F.try_to_date(F.when(F.substring(c, 1, 10).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.substring(c, 1, 10)), "yyyy-MM-dd")
+
+
+def page_url(list_url: Column, pattern: Column, page: Column, one_based: bool = False) -> Column:
+    """Address of a list's page: the list's own for the first, then the pattern with the page's number, from 0 or from 1."""
+    number = (page if one_based else page - 1).cast("string")
+    return F.when(page <= 1, list_url).otherwise(F.replace(pattern, F.lit("{page}"), number))
+
+
+def request_url(base: Column, params: Column, channel: Column, page: Column, page_size: Column) -> Column:
+    """base?k=v&...: params in their order, with {channel_id}, {page} and {page_size} filled in."""
+
+    def filled(value: Column) -> Column:
+        for name, c in (("{channel_id}", channel), ("{page}", page), ("{page_size}", page_size)):
+            value = F.replace(value, F.lit(name), c.cast("string"))
+        return value
+
+    pairs = F.transform(F.map_entries(params), lambda e: F.concat(e["key"], F.lit("="), filled(e["value"])))
+    return F.when(F.size(params) > 0, F.concat(base, F.when(F.contains(base, F.lit("?")), "&").otherwise("?"), F.array_join(pairs, "&"))).otherwise(base)
+
+
+def iso_json(*columns) -> Column:
+    """A JSON object of the columns, with dates in ISO form at any depth and nulls kept."""
+    return F.to_json(F.struct(*columns), {"dateFormat": "yyyy-MM-dd", "ignoreNullFields": "false"})
+
+
 def clean_title(c: Column) -> Column:
     """White space made single; trailing bracketed remarks and attachment marks removed, layer by layer."""
     text = spaced(F.coalesce(c, F.lit("")))

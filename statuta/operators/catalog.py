@@ -89,8 +89,10 @@ def site_view(p: DataFrame) -> DataFrame:
 
 
 def timeline(v: DataFrame) -> DataFrame:
-    """Versions (id, versions) one by one in ascending order, with the span each applied."""
-    ordered = F.array_sort("versions", lambda a, b: F.when(a["version"] < b["version"], -1).when(a["version"] > b["version"], 1).otherwise(0))
+    """Versions (id, versions) one by one in ascending order, with the span each applied; of equal numbers by dates, then status."""
+    open_end = F.lit("9999-12-31").cast("date")
+    keyed = F.transform("versions", lambda x: F.struct(x["version"], x["effective_from"], F.coalesce(x["effective_until"], open_end), x["status"], x.alias("v")))
+    ordered = F.transform(F.array_sort(keyed), lambda x: x["v"])
     out = v.select("id", F.posexplode(ordered).alias("place", "v"))
     span = F.concat(F.coalesce(F.date_format("v.effective_from", "yyyy-MM-dd"), F.lit("?")), F.lit(" – "), F.coalesce(F.date_format("v.effective_until", "yyyy-MM-dd"), F.lit("")))
     return out.select("id", "place", "v.version", "v.status", span.alias("span"))

@@ -40,6 +40,19 @@ def snapshot_changes(old: DataFrame, new: DataFrame, as_of: str) -> DataFrame:
     return both.select("id", "url", F.inline(rows)).select(F.col("id").alias("policy_id"), "change_type", "significance", "fields", "url")
 
 
+def baseline_changes(old: DataFrame, old_issues: DataFrame, new: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """Changes since an older snapshot, and its load errors, marked as the baseline's; its warnings are dropped."""
+    errors = old_issues.filter("severity = 'error'").withColumn("rule", F.concat(F.lit("baseline:"), "rule"))
+    return snapshot_changes(old, new, as_of), errors
+
+
+def feed_totals(changes: DataFrame, policies: DataFrame) -> DataFrame:
+    """What a publication holds: change entries over all days, days, and pages: one per record and one per day."""
+    c = changes.groupBy("detected_on").agg(F.count(F.lit(1)).alias("entries")).select("entries", F.lit(1).alias("days"), F.lit(0).alias("records"))
+    both = c.union(policies.select(F.lit(0), F.lit(0), F.lit(1)))
+    return both.agg(F.coalesce(F.sum("entries"), F.lit(0)).alias("entries"), F.coalesce(F.sum("days"), F.lit(0)).alias("days"), F.coalesce(F.sum(F.col("records") + F.col("days")), F.lit(0)).alias("pages"))
+
+
 def ranked(changes: DataFrame) -> DataFrame:
     """Changes with rank 0 for high to 3 for unknown significance, in that order."""
     rank = F.when(F.col("significance") == "high", 0).when(F.col("significance") == "medium", 1).when(F.col("significance") == "low", 2).otherwise(3)

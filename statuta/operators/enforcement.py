@@ -53,6 +53,16 @@ def by_domain(e: DataFrame) -> DataFrame:
     return e.select("id", F.explode_outer("domain").alias("domain_name"), "authority", "violation_type").groupBy("domain_name", "authority", "violation_type").agg(F.count(F.lit(1)).alias("penalties"))
 
 
+def by_party_type(e: DataFrame) -> DataFrame:
+    """Penalties by the kind of party, null for unknown."""
+    return e.groupBy("party_type").agg(F.count(F.lit(1)).alias("penalties"), F.countDistinct("party").alias("parties"))
+
+
+def obligations_by_type(p: DataFrame) -> DataFrame:
+    """Obligations of all records by their type, and how many records have one."""
+    return p.select("id", F.explode("key_obligations.obligation_type").alias("obligation_type")).groupBy("obligation_type").agg(F.count(F.lit(1)).alias("obligations"), F.countDistinct("id").alias("records"))
+
+
 def coverage(e: DataFrame, p: DataFrame) -> DataFrame:
     """Per existing policy the penalties that cite it, 0 for none; the rows of penalties that cite no policy have a null id."""
     refs = e.select("id", F.explode("related_policies").alias("policy_id")).distinct()

@@ -7,7 +7,7 @@ import difflib
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,6 +152,26 @@ def cards(all_checks: DataFrame) -> DataFrame:
     return all_checks.groupBy("policy_id").agg(F.array_sort(F.collect_list(one), lambda a, b: (a["pos"] - b["pos"]).cast("int")).alias("checks"), F.count_if(F.col("status") != "ok").alias("pending_count"))
 
 
+def cards_kept(all_checks: DataFrame, records: DataFrame) -> DataFrame:
+    """Cards of all records: one that no check came from has a single manual row, `evidence-failure`."""
+    none = records.select("policy_id").distinct().join(all_checks.select("policy_id").distinct(), "policy_id", "left_anti")
+    failed = none.select("policy_id", F.lit(0).alias("pos"), F.lit("evidence-failure").alias("check_id"), F.lit("evidence").alias("layer"), F.lit("manual").alias("status"), F.lit("no check could be made").alias("summary"), F.array().cast("array<string>").alias("evidence"), _options().alias("options"))
+    return cards(all_checks.unionByName(failed))
+
+
+def joined_pages(records: DataFrame, pages: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Records with the page captured for their url and that page's attachments; without a page all its fields are null."""
+    found = attachments.groupBy(F.col("page_url").alias("url")).agg(F.array_sort(F.collect_list(F.struct("rank", "href", "status", "text"))).alias("attachments"))
+    return records.join(pages, "url", "left").join(found, "url", "left").withColumn("attachments", F.coalesce("attachments", F.array().cast(found.schema["attachments"].dataType)))
+
+
+def tried_attachments(attachments: DataFrame, most: int = 3) -> DataFrame:
+    """The first `most` attachments of each page in rank order, up to the first that was extracted."""
+    ranked = attachments.withColumn("place", F.row_number().over(Window.partitionBy("page_url").orderBy("rank"))).filter(F.col("place") <= most)
+    first = ranked.filter("status = 'extracted'").groupBy("page_url").agg(F.min("place").alias("first"))
+    return ranked.join(first, "page_url", "left").filter(F.col("first").isNull() | (F.col("place") <= F.col("first"))).drop("first")
+
+
 def counts(all_checks: DataFrame) -> DataFrame:
     """Per record the checks by status, and whether all are ok."""
     n = lambda s: F.count_if(F.col("status") == s)

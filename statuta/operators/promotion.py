@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import validation
+
 
 def last_decisions(decisions: DataFrame) -> DataFrame:
     """Of each record and check the latest decision; of equal times the greatest option."""
@@ -57,6 +59,29 @@ def promote(ready: DataFrame, issues: DataFrame) -> DataFrame:
     return ready.select("id").join(bad, "id", "left").select("id", F.coalesce("errors", F.lit(0)).alias("errors"), F.when(F.col("errors") > 0, "rolled_back").otherwise("promoted").alias("outcome"))
 
 
+def promote_into(candidates: DataFrame, published: DataFrame) -> DataFrame:
+    """Per candidate promoted or rolled_back, by what the repository with all candidates says.
+
+    A candidate is rolled back for errors of its own, for references to nothing, to itself or to
+    a record that doesn't point back, for published records that point to it without its pointing
+    back, and for references to a candidate that is rolled back. Errors that the published
+    records had before count for nothing.
+    """
+    own = validation.policy_issues(candidates).filter("severity = 'error'").select(F.col("record_id").alias("id"))
+    whole = published.unionByName(candidates, allowMissingColumns=True)
+    ids = candidates.select("id").distinct()
+    unclosed = validation.unclosed(whole)
+    caused = validation.dangling(whole).select("id").union(validation.self_references(whole).select("id")).union(unclosed.select("id")).union(unclosed.join(ids.select(F.col("id").alias("target")), "target", "left_semi").join(ids, "id", "left_anti").select("target"))
+    bad = own.union(caused).join(ids, "id", "left_semi").distinct().persist()
+    links = validation.edges(candidates).join(ids.select(F.col("id").alias("target")), "target", "left_semi").select("id", "target").distinct()
+    while True:  # as long as the longest chain of references among candidates
+        more = links.join(bad.select(F.col("id").alias("target")), "target", "left_semi").select("id").distinct().join(bad, "id", "left_anti").persist()
+        if more.isEmpty():
+            break
+        bad = bad.union(more).persist()
+    return candidates.select("id").join(bad.withColumn("bad", F.lit(True)), "id", "left").select("id", F.when(F.col("bad"), "rolled_back").otherwise("promoted").alias("outcome"))
+
+
 def batch_outcome(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 

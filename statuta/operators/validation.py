@@ -188,6 +188,32 @@ def registry_summary(sources: DataFrame) -> DataFrame:
     return sources.agg(F.count_if(F.col("enabled") & ~manual).alias("automatic"), F.count_if(manual).alias("manual"), F.count_if(~F.col("enabled") & ~manual).alias("not_enabled"))
 
 
+def date_issues(rows: DataFrame, key: str, dates: dict[str, bool]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose date texts became dates, and the issues: a text that is no date, and a required date (True) that is missing."""
+    out, rules = rows, []
+    for c, required in dates.items():
+        text = F.coalesce(F.trim(F.col(c)), F.lit(""))
+        rules.append((f"{c}:not_a_date", "error", (text != "") & S.coerced_date(F.col(c)).isNull()))
+        if required:
+            rules.append((f"{c}:required", "error", text == ""))
+        out = out.withColumn(c, S.coerced_date(F.col(c)))
+    return out, _issues(rows.withColumn("id", F.col(key)), rules)
+
+
+def registry_tables(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Issuers and sources of registry files (path, issuers, sources), and issues: further rows of a code or id, unknown issuers, missing addresses.
+
+    The first by path and place wins.
+    """
+    issuers = files.select("path", F.posexplode("issuers").alias("at", "i")).select(F.format_string("%s#%09d", "path", "at").alias("path"), "i.*")
+    sources = files.select("path", F.posexplode("sources").alias("at", "s")).select(F.format_string("%s#%09d", "path", "at").alias("path"), "s.*")
+    issuers, twice = duplicates(issuers, "code", "path")
+    sources, more = duplicates(sources, "id", "path")
+    unknown = issuer_references(sources, issuers).select(F.col("id").alias("record_id"), F.lit("unknown_issuer").alias("rule"), F.lit("error").alias("severity"))
+    extra = twice.unionByName(more).select("record_id", "rule", "severity")
+    return issuers, sources, extra.unionByName(unknown).unionByName(registry_issues(sources).select("record_id", "rule", "severity"))
+
+
 def split(issues: DataFrame) -> tuple[DataFrame, DataFrame]:
     return issues.filter("severity = 'error'"), issues.filter("severity = 'warning'")
 

@@ -1,5 +1,6 @@
 """Registered queries: domain frames derived from the driver's tables, and library jobs on them."""
 
+from . import further  # adds its queries to those of .queries
 from .queries import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES"]
+__all__ = ["ORACLE_SQL", "QUERIES", "further"]

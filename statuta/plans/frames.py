@@ -16,6 +16,7 @@ class Duck:
     add = staticmethod(lambda d, n: f"({d} + cast({n} as integer))")
     array = staticmethod(lambda *x: f"[{', '.join(x)}]")
     none = "cast([] as varchar[])"
+    extra = "text as body"
     table = staticmethod(lambda name: name)
 
 
@@ -23,6 +24,7 @@ class Spark:
     add = staticmethod(lambda d, n: f"date_add({d}, cast({n} as int))")
     array = staticmethod(lambda *x: f"array({', '.join(x)})")
     none = "cast(array() as array<string>)"
+    extra = "map('body', text) as extra"
     table = staticmethod(lambda name: "{" + name + "}")
 
 
@@ -60,12 +62,12 @@ def policy(d, old: bool = False) -> str:
 def raw_doc(d) -> str:
     return f"""select doc_id as seq, source as source_id, replace(substr(text, 1, cast(8 + doc_id % 40 as int)), chr(10), ' ') as title,
  concat('http://a.example/', source, '/', doc_id % 37, case when doc_id % 3 = 0 then '/d.html' else '' end) as url,
- case when doc_id % 4 = 0 then null else {d.add("date '2026-01-01'", "doc_id % 200")} end as published_on from {d.table("documents")}"""
+ case when doc_id % 4 = 0 then null else {d.add("date '2026-01-01'", "doc_id % 200")} end as published_on, {d.extra} from {d.table("documents")}"""
 
 
 def registry(d) -> str:
     return f"""select id, 'iss1' as issuer_code, id <> 'src3' as enabled, 'html_list' as fetcher, concat('http://a.example/', id, '/') as list_url,
- {d.array("'a'", "'th'", "' '")} as include_keywords, {d.array("'nd'", "'una'", "''")} as exclude_keywords from (select distinct source as id from {d.table("documents")}) s
+ {d.array("'ción'", "'th'", "' '")} as include_keywords, {d.array("'ñ'", "'xt'", "''")} as exclude_keywords from (select distinct source as id from {d.table("documents")}) s
  union all select 'src_none', 'iss99', true, 'html_list', '', {d.none}, {d.none} union all select 'src_manual', 'iss2', true, 'manual', null, {d.none}, {d.none}"""
 
 
@@ -82,8 +84,7 @@ def penalty(d) -> str:
  case when l_partkey % 6 < 3 then {d.array("n_name")} else {d.none} end as domain, concat('罚款', l_partkey % 6, '万元') as penalty_content,
  {d.array("concat('ord-', l_orderkey)", "concat('ord-', l_orderkey + 1)")} as related_policies, case when l_partkey % 6 = 1 then '第五条' end as legal_basis,
  case l_orderkey % 3 when 0 then '抄自原文' when 1 then '' end as notes, case when l_orderkey % 4 = 0 then 'human' else 'automated' end as verified_by, l_partkey % 6 as kind, l_orderkey as order_key
- from {d.table("lineitem")} join {d.table("supplier")} on l_suppkey = s_suppkey join {d.table("nation")} on s_nationkey = n_nationkey
- where l_orderkey % 10 = 0 group by l_orderkey, s_name, n_name, l_partkey % 6"""
+ from {d.table("lineitem")} join {d.table("supplier")} on l_suppkey = s_suppkey join {d.table("nation")} on s_nationkey = n_nationkey group by l_orderkey, s_name, n_name, l_partkey % 6"""
 
 
 def versions(d) -> str:

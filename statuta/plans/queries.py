@@ -40,7 +40,7 @@ change, penalty, versions, evidence_pages = frame("change"), frame("penalty"), f
 # ---- cleaning ----------------------------------------------------------------------------
 MARKED = f"""with raw as ({RAW}), reg as ({REG}), dedup as (select * from (select *, row_number() over (partition by source_id, url order by seq) rn from raw) where rn = 1),
  marked as (select d.seq, d.source_id, d.title, d.url, d.published_on, case when d.published_on is null and len(list_filter(string_split(regexp_replace(d.url, '^[a-z]+://[^/]*', ''), '/'), lambda x: x <> '')) <= len(list_filter(string_split(regexp_replace(r.list_url, '^[a-z]+://[^/]*', ''), '/'), lambda x: x <> '')) and length(d.title) <= 12 then 'navigation'
- when contains(d.title, 'nd') or contains(d.title, 'una') then 'excluded' when contains(d.title, 'a') or contains(d.title, 'th') then null else 'not_matched' end as drop_reason from dedup d join reg r on d.source_id = r.id) """
+ when contains(concat(d.title, chr(10), d.body), 'ñ') or contains(concat(d.title, chr(10), d.body), 'xt') then 'excluded' when contains(concat(d.title, chr(10), d.body), 'ción') or contains(concat(d.title, chr(10), d.body), 'th') then null else 'not_matched' end as drop_reason from dedup d join reg r on d.source_id = r.id) """
 
 
 def marked(spark, sf):
@@ -98,11 +98,11 @@ def url_depth(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", S.url_path_depth(url).alias("depth"))
 
 
-@query("select event_id, case when event_id % 32 between 1 and 28 then make_date(cast(2000 + event_id % 30 as int), cast(event_id % 12 + 1 as int), cast(event_id % 32 as int)) end as parsed from events where event_id % 32 < 29")
+@query("select event_id, try_cast(concat(2000 + event_id % 30, '-', lpad(cast(event_id % 12 + 1 as varchar), 2, '0'), '-', lpad(cast(event_id % 32 as varchar), 2, '0')) as date) as parsed from events")
 def parse_dates(spark, sf):
     y, m, d = (f"cast({x} as string)" for x in ("2000 + event_id % 30", "event_id % 12 + 1", "event_id % 32"))
     text = F.expr(f"case event_id % 3 when 0 then concat('发布于 ', {y}, ' 年', {m}, '月 ', {d}, '日') when 1 then concat('x ', {y}, '-', {m}, '/', {d}, ' 10:00') else concat('[', substr({y}, 3), '.', {m}, '.', {d}, ']') end")
-    return spark.read.parquet(f"{sf}/events.parquet").filter("event_id % 32 < 29").select("event_id", S.parse_date(text).alias("parsed"))
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", S.parse_date(text).alias("parsed"))
 
 
 @query("select o_orderkey, concat('Rules ', o_orderkey) as title from orders")
@@ -123,9 +123,9 @@ def url_templates(spark, sf):
     return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", S.render_template(F.lit("http://x/?id={id}&c={c}"), item).alias("url"))
 
 
-@query(r"select doc_id, concat('sha256:', sha256(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> ''), chr(10)))) as hash from documents where not regexp_matches(text, '[\r\v\f\x{85}\x{2028}\x{2029}\x1c-\x1e\x{a0}\x{3000}]')")
+@query(r"select doc_id, concat('sha256:', sha256(array_to_string(list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(x, '^[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g')), lambda x: x <> ''), chr(10)))) as hash from documents")
 def normalize_and_hash(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("not text rlike '[\\\\r\\\\x0b\\\\f\\\\x85\\\\u2028\\\\u2029\\\\x1c-\\\\x1e\\\\xa0\\\\u3000]'")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     return docs.select("doc_id", S.content_hash(S.normalize_text(F.col("text"))).alias("hash"))
 
 
@@ -328,7 +328,12 @@ def repository_errors(spark, sf):
     return validation.policy_issues(_with_versions(spark, sf)).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+REPORT = f"""select record_id, rule, severity from ({ORACLE_SQL["validate_policies"]}) union all select record_id, rule, severity from ({ORACLE_SQL["validate_penalties"]})
+ union all select id, 'dangling_reference', 'error' from ({ORACLE_SQL["dangling_refs"]}) union all select id, 'unclosed_reference', 'error' from ({ORACLE_SQL["unclosed_links"]})
+ union all select id, 'self_reference', 'error' from ({ORACLE_SQL["self_refs"]}) union all select id, 'penalty_reference', 'error' from (with p as ({P}), x as (select id, unnest(related_policies) as target from ({PEN})) select id from x where target not in (select id from p)) union all select id, 'stale', 'stale' from ({ORACLE_SQL["stale_records"]})"""
+
+
+@query(f"select severity, rule, count(*) as n from ({REPORT}) group by all")
 def repository_report(spark, sf):
     report = validation.repository_report(_with_versions(spark, sf), penalty(spark, sf), fr.AS_OF)
     return report.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
@@ -380,10 +385,9 @@ def latest_versions(spark, sf):
     return catalog.latest_version(_version_lists(spark, sf))
 
 
-@query(f"with v as ({VER}), s as (select id, version, concat(strftime(effective_from, '%Y-%m-%d'), ' – ', coalesce(strftime(effective_until, '%Y-%m-%d'), '')) as span, row_number() over (partition by id order by version) as rn, count(*) over (partition by id, version) as c from v) select id, version, span from s where c = 1")
+@query(f"with v as ({VER}) select id, version, concat(strftime(effective_from, '%Y-%m-%d'), ' – ', coalesce(strftime(effective_until, '%Y-%m-%d'), '')) as span, cast(row_number() over (partition by id order by version, effective_from, coalesce(effective_until, date '9999-12-31'), status) - 1 as int) as place from v")
 def timeline(spark, sf):
-    single = versions(spark, sf).groupBy("id", "version").agg(F.count(F.lit(1)).alias("c")).filter("c = 1").select("id", "version")
-    return catalog.timeline(_version_lists(spark, sf)).join(single, ["id", "version"]).select("id", "version", "span")
+    return catalog.timeline(_version_lists(spark, sf)).select("id", "version", "span", "place")
 
 
 @query(f"with v as ({VER}), d as (select id, version, max(status) as status, min(effective_from) as effective_from, count(*) c, max(effective_until) as effective_until from v group by id, version), a as (select * from d where effective_from <= date '{fr.AS_OF}' and (effective_until is null or effective_until > date '{fr.AS_OF}')) select id, version from (select *, row_number() over (partition by id order by version desc) rn from a) where rn = 1")
@@ -586,6 +590,8 @@ _OWN: dict[str, str] = {}
 def _folder(spark) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get("dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = _OWN["dir"] = tempfile.mkdtemp(prefix="spark-statuta-", dir="/tmp")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"

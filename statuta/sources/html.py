@@ -94,6 +94,13 @@ def page_contents(pages: DataFrame) -> DataFrame:
     return out.withColumns({"page_title": F.col("page.title"), "body_text": body, "usable": F.length(body) >= LEAST_BODY, "links": F.col("page.links"), "cells": F.col("page.cells")}).drop("page")
 
 
+def site_check(pages: DataFrame, name: str = "SiteName") -> DataFrame:
+    """pages (html, expected) with site and status: failed where the page's meta tag of that name lacks the expected word."""
+    tag = F.regexp_extract("html", rf"(?i)<meta\s[^>]*name\s*=\s*[\"']?{name}[\"']?[^>]*>", 0)
+    site = F.regexp_extract(tag, r"(?i)content\s*=\s*[\"']([^\"']*)", 1)
+    return pages.withColumns({"site": site, "status": F.when(F.contains(site, F.col("expected")), "ok").otherwise("failed")})
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """A row per link in page order, absolute; other schemes than http are left out."""
     links = page_contents(pages).select("url", F.posexplode("links").alias("at", "l")).select("url", "at", "l.text", joined("url", "l.href").alias("href"))

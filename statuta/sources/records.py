@@ -68,6 +68,16 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.LEDGER).json(path)
 
 
+def write_records(records: DataFrame, path: str) -> None:
+    """One JSON object per record, dates in ISO form, nulls kept; the folder is replaced as a whole."""
+    records.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def persist_cards(cards: DataFrame, path: str, day: str) -> None:
+    """Cards added to those kept, with the day; a roll-back removes none."""
+    cards.withColumn("promoted_on", F.lit(day)).write.mode("append").partitionBy("promoted_on").json(path)
+
+
 def write_site(policies: DataFrame, changes: DataFrame, path: str) -> None:
     policies.write.mode("overwrite").json(f"{path}/policies")
     changes.write.mode("overwrite").json(f"{path}/changes")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.diffing import merge_changes
+from ..sources import schemas
 
 
 def first_seen(spark: SparkSession, landed: str, schema: str, table: str, checkpoint: str):
@@ -18,13 +19,35 @@ def first_seen(spark: SparkSession, landed: str, schema: str, table: str, checkp
         new = batch.groupBy("url").agg(F.min_by(F.struct(*batch.columns), "seq").alias("r")).select("r.*")
         known = _known(spark, table, number)
         if known is not None:
-            new = new.join(known.select("url"), "url", "left_anti").select(*batch.columns)
+            new = new.join(known.select(F.col("url").alias("seen")).distinct(), F.col("url").eqNullSafe(F.col("seen")), "left_anti").select(*batch.columns)
         new.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     stream = spark.readStream.schema(schema).parquet(landed)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_ledger(spark: SparkSession, landed: str, ledger: str, checkpoint: str):
+    """Landed ledger lines (JSON) go to the ledger, a folder a day, each once; nothing there is changed."""
+    stream = spark.readStream.schema(schemas.LEDGER).json(landed).withColumn("day", F.substring("ts", 1, 10))
+    return stream.writeStream.format("json").option("path", ledger).option("checkpointLocation", checkpoint).partitionBy("day").outputMode("append").trigger(availableNow=True).start()
+
+
+def change_files(spark: SparkSession, landed: str, table: str, problems: str, checkpoint: str):
+    """Landed change days, a JSON document a file: changes go to the table, files that can't be read to the problems.
+
+    A corrupt day names no known url, so its documents are discovered again.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        days = batch.select("file", F.from_json("value", schemas.DAY).alias("d"))
+        readable = F.coalesce(F.col("d.detected_on").isNotNull(), F.lit(False))
+        days.filter(readable).select(F.col("d.detected_on").alias("day"), F.inline("d.changes")).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        days.filter(~readable).select("file", F.lit("unreadable").alias("error")).write.mode("overwrite").parquet(f"{problems}/batch={number}")
+
+    stream = spark.readStream.option("wholetext", "true").text(landed).select(F.col("_metadata.file_path").alias("file"), "value")
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _known(spark: SparkSession, table: str, number: int) -> DataFrame | None:
     try:
         return spark.read.parquet(table).filter(F.col("batch") != number)
@@ -45,7 +68,7 @@ def upsert_changes(spark: SparkSession, landed: str, schema: str, table: str, ch
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             before = batch.limit(0)
-        latest = batch.groupBy("detected_on", "change_type", "policy_id", "url").agg(F.max_by(F.struct(*batch.columns), "event_id").alias("r")).select("r.*")
+        latest = batch.groupBy("detected_on", "change_type", "policy_id", F.coalesce("url", F.lit("")).alias("url_key")).agg(F.max_by(F.struct(*batch.columns), "event_id").alias("r")).select("r.*")
         merged = merge_changes(before, latest).drop("kept")
         # the merged days are written beside the table first: a table can't be read and overwritten at once
         side = f"{checkpoint}/merged-{number}"
