@@ -1,18 +1,19 @@
 """Language-model scores by deleted interpolation.
 
-The model gives each word, after the word before it, the mixture of two estimates: its
-maximum-likelihood probability as a word, and the probability of its spelling, in which every
-byte is the mixture of maximum-likelihood estimates after 0 to ORDER - 1 bytes. Each mixture
-weight belongs to a bucket of the frequency of its context: of the word before, or of the bytes
-before. As in the base score, the outcomes are the words of training, the end, and one for any
-unknown word: that one has what the spellings leave over when those of all known words are
-taken. The weights are learned by expectation-maximisation on held-out counts: a tenth of the
-training documents is deleted from the counts that the estimates use meanwhile. The scores use
-the counts of all training documents.
+The model gives each word, and each document's end, the mixture of three estimates: its
+maximum-likelihood probability after the word before it, its maximum-likelihood probability by
+itself, and an even share. The weights of the mixture belong to a bucket of the frequency of the
+word before. As in the base score, the outcomes are the words of training, the end, and one for
+any unknown word. The weights are learned by expectation-maximisation on held-out counts: a tenth
+of the training documents is deleted from the counts that the estimates use meanwhile. The scores
+use the counts of all training documents.
 
 Work goes by chunks, runs of documents of one task. A chunk asks for the corpus counts of its
-distinct words and byte n-grams only, and gets them by a shuffle on those; there is no table of
-the corpus in any task or on the driver.
+distinct words and pairs of words, and gets those that other chunks have too by a shuffle; of
+the others its own counts are the corpus'. There is no table of the corpus in any task or on
+the driver. A word or pair is asked for once by each chunk at most, so that no key has more
+rows than there are chunks: a small part of a task's rows, however common the word is. Words
+and pairs are counted by 63-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,16 +25,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_batches, crc_text, materialize, mixed, slices, span_hashes, table, text_of, utf8, words
+from .common import LOWER, bounded_batches, crc_text, mixed, shared_dir, slices, span_hashes, table, text_of, utf8, words
 
-ORDER = 5
 BUCKETS = 16
-ITERATIONS = 6
-CHUNK_BYTES = 6 << 20
+ITERATIONS = 8
+CHUNK_BYTES = 16 << 20
 #: Of the training documents one in so many is held out for the weights.
 TUNE_IN = 10
-START, END = 1, 2
-SYMBOLS = 257
+WORD = np.uint64(1 << 63)
+END_HASH = np.uint64(0x2545F4914F6CDD1D)
+#: Estimates: even share, word, word after a word.
+ESTIMATES = 3
 
 
 def bucket(counts: np.ndarray) -> np.ndarray:
@@ -42,18 +44,15 @@ def bucket(counts: np.ndarray) -> np.ndarray:
 
 
 class Chunk:
-    """Distinct words of some documents and the documents as numbers of words, most frequent first."""
+    """The word hashes of some documents. kind 1: documents held out for the weights."""
 
     def __init__(self, kind: int):
-        self.kind, self.raw, self.starts, self.ends, self.hashes, self.counts, self.ids, self.train, self.bytes = kind, [], [], [], [], [], [], [], 0
+        self.kind, self.hashes, self.counts, self.ids, self.train, self.bytes = kind, [], [], [], [], 0
 
     def add(self, ids: list, train: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> None:
         raw = LOWER[raw]
         starts, ends, at = words(raw, offsets)
         self.hashes.append(span_hashes(raw, starts, ends))
-        self.starts.append(starts + self.bytes)
-        self.ends.append(ends + self.bytes)
-        self.raw.append(raw)
         self.counts.append(np.diff(at))
         self.ids += ids
         self.train.append(train)
@@ -61,42 +60,34 @@ class Chunk:
 
     def record(self, chunk: int) -> pa.RecordBatch:
         hashes, counts, train = np.concatenate(self.hashes), np.concatenate(self.counts), np.concatenate(self.train)
-        unique, first, inverse, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        unique, inverse, times = np.unique(hashes, return_inverse=True, return_counts=True)
         order = np.argsort(-times, kind="stable")
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order))
-        raw, starts, ends = np.concatenate(self.raw), np.concatenate(self.starts)[first[order]], np.concatenate(self.ends)[first[order]]
-        flat, _ = gathered(raw, starts, ends)
         tokens = place[inverse]
         learned = np.bincount(tokens[np.repeat(train, counts)], minlength=len(unique))
         press = zstandard.ZstdCompressor(level=3).compress
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([chunk], pa.int64()),
-                pa.array([self.kind], pa.int32()),
+                pa.array([2 * chunk + self.kind], pa.int64()),
                 pa.array([self.ids], pa.list_(pa.int64())),
                 pa.array([counts], pa.list_(pa.int64())),
-                pa.array([int(train.sum())], pa.int64()),
+                pa.array([train], pa.list_(pa.bool_())),
                 pa.array([press(tokens.astype("<u4").tobytes())], pa.binary()),
-                pa.array([press(flat.tobytes())], pa.binary()),
-                pa.array([ends - starts], pa.list_(pa.int32())),
-                pa.array([learned], pa.list_(pa.int64())),
+                pa.array([unique[order].astype("<u8").tobytes()], pa.binary()),
+                pa.array([int(train.sum())], pa.int64()),
+                pa.array([int(learned.sum())], pa.int64()),
+                pa.array([int(np.count_nonzero(learned))], pa.int64()),
             ],
-            ["chunk", "kind", "ids", "counts", "docs", "tokens", "words", "lengths", "learned"],
+            ["chunk", "ids", "counts", "train", "tokens", "hashes", "docs", "n_learned", "distinct"],
         )
 
 
-CHUNKS = "chunk long, kind int, ids array<long>, counts array<long>, docs long, tokens binary, words binary, lengths array<int>, learned array<long>"
-
-
-def gathered(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The spans' bytes end to end, and their n + 1 offsets."""
-    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-    return raw[np.repeat(starts - offsets[:-1], ends - starts) + np.arange(offsets[-1])], offsets
+CHUNKS = "chunk long, ids array<long>, counts array<long>, train array<boolean>, tokens binary, hashes binary, docs long, n_learned long, distinct long"
 
 
 def chunks(docs: DataFrame, train: Column) -> DataFrame:
-    """Chunk records of all documents (doc_id, text), those held out for the weights apart from the others."""
+    """Chunk records of all documents (doc_id, text), those held out for the weights apart from the others. An odd number is a chunk of those."""
     tune = train & (F.pmod(F.xxhash64(F.lit(13), "doc_id", "text"), F.lit(TUNE_IN)) == 0)
     rows = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(tune, F.lit(False)).alias("tune"))
 
@@ -120,238 +111,110 @@ def chunks(docs: DataFrame, train: Column) -> DataFrame:
     return rows.mapInArrow(run, CHUNKS)
 
 
-class Spelling:
-    """The byte n-grams of a chunk's distinct words, each word between START and END."""
-
-    def __init__(self, flat: np.ndarray, lengths: np.ndarray):
-        n, offsets = len(lengths), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        full = lengths + 2
-        ends = np.cumsum(full)
-        self.size, self.begin = int(ends[-1]) if n else 0, ends - full
-        buffer = np.full(self.size, START, np.uint8)
-        self.word = np.repeat(np.arange(n, dtype=np.int32), full)
-        self.rank = (np.arange(self.size) - np.repeat(self.begin, full)).astype(np.int32)
-        if n:
-            buffer[ends - 1] = END
-            inside = (self.rank > 0) & (self.rank < np.repeat(full - 1, full))
-            buffer[inside] = flat[: offsets[-1]]
-        # an n-gram is the (n - 1)-gram before it and a byte: numbered by a table of such pairs, without sorting
-        alphabet = np.flatnonzero(np.bincount(buffer, minlength=256))
-        symbol = np.zeros(256, np.int32)
-        symbol[alphabet] = np.arange(len(alphabet))
-        last = symbol[buffer]
-        self.keys, names = [(alphabet.astype(np.uint64), last)], alphabet.astype(np.uint64)
-        own, number = last, last
-        for k in range(1, ORDER):
-            at = np.flatnonzero(self.rank >= k).astype(np.int32)
-            pair = number[at - 1].astype(np.int32 if len(names) * len(alphabet) < 1 << 31 else np.int64)
-            pair *= len(alphabet)
-            pair += own[at]
-            there = np.zeros(len(names) * len(alphabet), bool)
-            there[pair] = True
-            found = np.flatnonzero(there)
-            place = np.cumsum(there, dtype=np.int32)
-            inverse = place[pair]
-            inverse -= 1
-            del place, there, pair
-            names = (names[found // max(len(alphabet), 1)] << np.uint64(8)) | alphabet[found % max(len(alphabet), 1)].astype(np.uint64)
-            self.keys.append((names, inverse))
-            number = np.zeros(self.size, np.int32)
-            number[at] = inverse
-
-    def names(self) -> np.ndarray:
-        """The keys of all distinct n-grams, by length."""
-        return np.concatenate([(np.uint64(k + 1) << np.uint64(56)) | u for k, (u, _) in enumerate(self.keys)])
-
-    def weighted(self, weight: np.ndarray) -> np.ndarray:
-        """For each distinct n-gram its occurrences, words counted by weight."""
-        at = weight[self.word]
-        return np.concatenate([np.bincount(inverse, at[self.rank >= k], len(u)) for k, (u, inverse) in enumerate(self.keys)])
-
-    def spread(self, values: np.ndarray):
-        """By length, the values of the distinct n-grams at each place, 0 where there is none."""
-        at = 0
-        for k, (u, inverse) in enumerate(self.keys):
-            here = np.zeros(self.size)
-            here[self.rank >= k] = values[at : at + len(u)][inverse]
-            at += len(u)
-            yield here
-
-
-WORD_TAG = np.uint64(0x7F) << np.uint64(56)
+class Texts:
+    """The documents of a chunk as numbers of its words, an end (number n) behind each, and their pairs with the number before."""
+
+    def __init__(self, batch: pa.RecordBatch, r: int, press):
+        self.hashes = np.frombuffer(batch.column("hashes")[r].as_py(), "<u8")
+        counts = np.asarray(batch.column("counts")[r].values, np.int64)
+        train = np.asarray(batch.column("train")[r].values.to_numpy(zero_copy_only=False), bool)
+        self.n, self.sizes = len(self.hashes), counts + 1
+        self.last = np.cumsum(self.sizes) - 1
+        self.stream = np.full(int(self.sizes.sum()), self.n, np.int64)
+        inside = np.ones(len(self.stream), bool)
+        inside[self.last] = False
+        self.stream[inside] = np.frombuffer(press.decompress(batch.column("tokens")[r].as_py()), "<u4") if counts.sum() else 0
+        self.before = np.full(len(self.stream), self.n, np.int64)
+        self.before[1:] = self.stream[:-1]  # an end stands before each first word too
+        self.pairs, self.pair = np.unique(self.before * (self.n + 1) + self.stream, return_inverse=True)
+        self.kind = batch.column("chunk")[r].as_py() & 1
+        taught = np.repeat(train, self.sizes)
+        self.own = np.concatenate([np.bincount(self.stream[taught], minlength=self.n + 1)[: self.n], np.bincount(self.pair[taught], minlength=len(self.pairs))])
+
+    def keys(self) -> np.ndarray:
+        """The hashes of the words, then of the pairs."""
+        h = np.append(self.hashes, END_HASH)
+        pair = mixed(h[self.pairs // (self.n + 1)] * np.uint64(0x9E3779B97F4A7C15) + h[self.pairs % (self.n + 1)])
+        return np.concatenate([mixed(self.hashes) | WORD, pair & ~WORD])
+
+    def estimates(self, counts: np.ndarray, total: int, ends: int, outcomes: int) -> tuple[np.ndarray, np.ndarray]:
+        """At each place the bucket, and a row of the three estimates. counts: of the words, then of the pairs."""
+        seen = np.append(counts[: self.n], ends).astype(float)
+        context = seen[self.before]
+        after = counts[self.n :][self.pair] / np.maximum(context, 1)
+        return bucket(context), np.stack([np.full(len(after), 1 / outcomes), seen[self.stream] / max(total, 1), after], 1)
 
 
 def asked(records: DataFrame) -> DataFrame:
-    """(key, chunk, i, base, tune): each chunk's distinct words, then its n-grams, and their counts in it."""
+    """(key, chunk, i, n): each chunk's distinct words, then its distinct pairs, with how often its training documents have them."""
 
     def run(batches):
         press = zstandard.ZstdDecompressor()
         for batch in batches:
             for r in range(batch.num_rows):
-                flat, lengths, learned = opened(batch, r, press)
-                spelling = Spelling(flat, lengths)
-                _, offsets = None, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-                hashes = np.concatenate([span_hashes(flat[a:b], offsets[i:j] - a, offsets[i + 1 : j + 1] - a) for i, j, a, b in _pieces(offsets)]) if len(lengths) else np.zeros(0, np.uint64)
-                keys = np.concatenate([mixed(hashes) | WORD_TAG, spelling.names()])
-                counts = np.concatenate([learned, spelling.weighted(learned.astype(float)).astype(np.int64)])
-                kind, none = batch.column("kind")[r].as_py(), np.zeros(len(keys), np.int64)
-                yield pa.RecordBatch.from_pydict({"key": keys.view(np.int64), "chunk": np.full(len(keys), batch.column("chunk")[r].as_py(), np.int64), "i": np.arange(len(keys), dtype=np.int32), "base": none if kind else counts, "tune": counts if kind else none})
+                texts = Texts(batch, r, press)
+                keys, chunk = texts.keys().view(np.int64), batch.column("chunk")[r].as_py()
+                for a in range(0, len(keys), 1 << 16):
+                    some = keys[a : a + (1 << 16)]
+                    yield pa.RecordBatch.from_pydict({"key": some, "chunk": np.full(len(some), chunk, np.int64), "i": np.arange(a, a + len(some), dtype=np.int32), "n": texts.own[a : a + (1 << 16)].astype(np.int32)})
 
-    return records.select("chunk", "kind", "words", "lengths", "learned").mapInArrow(run, "key long, chunk long, i int, base long, tune long")
+    return records.select("chunk", "counts", "train", "tokens", "hashes").mapInArrow(run, "key long, chunk long, i int, n int")
 
 
-def _pieces(offsets: np.ndarray):
-    """Runs of words of about a MB."""
-    i, n = 0, len(offsets) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 20), "right")) - 1)
-        yield i, j, int(offsets[i]), int(offsets[j])
-        i = j
+def answered(asks: DataFrame) -> DataFrame:
+    """(chunk, i, base, tune, first, repeated): of what a chunk asked for and others did too, the corpus counts.
 
+    base: in the training documents that aren't held out, tune: in those that are. first: words of
+    training that this chunk is the first to ask for; repeated: its words of training among these."""
+    by_key = Window.partitionBy("key")
+    odd = F.col("chunk").bitwiseAND(F.lit(1)) == 1
+    whole = asks.select("key", "chunk", "i", "n", F.sum(F.when(odd, 0).otherwise(F.col("n"))).over(by_key).alias("base"), F.sum(F.when(odd, F.col("n")).otherwise(0)).over(by_key).alias("tune"), F.min("chunk").over(by_key).alias("lo"), F.max("chunk").over(by_key).alias("hi"))
+    shared = whole.filter("lo != hi").select("chunk", "i", "base", "tune", ((F.col("key") < 0) & (F.col("chunk") == F.col("lo")) & (F.col("base") + F.col("tune") > 0)).alias("first"), ((F.col("key") < 0) & (F.col("n") > 0)).alias("repeated"))
 
-def opened(batch: pa.RecordBatch, r: int, press) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lengths = np.asarray(batch.column("lengths")[r].values, np.int64)
-    raw = press.decompress(batch.column("words")[r].as_py()) if len(lengths) else b""
-    return np.frombuffer(raw, np.uint8), lengths, np.asarray(batch.column("learned")[r].values, np.int64)
+    def gather(group: pa.Table) -> pa.Table:
+        lists = [pa.array([group.column(c).combine_chunks()], pa.list_(kind)) for c, kind in (("i", pa.int32()), ("base", pa.int64()), ("tune", pa.int64()))]
+        sums = [pa.array([int(np.count_nonzero(group.column(c).to_numpy()))], pa.int64()) for c in ("first", "repeated")]
+        return pa.table([group.column("chunk")[:1].combine_chunks(), *lists, *sums], ["chunk", "i", "base", "tune", "first", "repeated"])
 
+    return shared.groupBy("chunk").applyInArrow(gather, "chunk long, i array<int>, base array<long>, tune array<long>, first long, repeated long")
 
-def answered(asks: DataFrame) -> DataFrame:
-    """(chunk, base, tune, own): the corpus counts of what each chunk asked for, in its order.
 
-    own: the words of training that this chunk is the first to ask for."""
-    by_key = Window.partitionBy("key")
-    whole = asks.select("chunk", "i", F.sum("base").over(by_key).alias("base"), F.sum("tune").over(by_key).alias("tune"), ((F.row_number().over(by_key.orderBy("chunk")) == 1) & (F.shiftrightunsigned("key", 56) >= 0x7F)).alias("first"))
+def _counts(texts: Texts, batch: pa.RecordBatch, r: int, both: bool) -> np.ndarray:
+    """Corpus counts of a chunk's words and pairs: its own, but for what others have too. both: of all training documents."""
+    out = texts.own.copy() if both or not texts.kind else np.zeros(len(texts.own), np.int64)
+    if batch.column("i")[r].is_valid:
+        get = lambda c: np.asarray(batch.column(c)[r].values)
+        out[get("i")] = get("base") + get("tune") if both else get("base")
+    return out
 
-    def gather(group: pa.Table) -> pa.Table:
-        i = np.asarray(group.column("i"))
-        base, tune = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
-        base[i], tune[i] = np.asarray(group.column("base")), np.asarray(group.column("tune"))
-        first = group.column("first").to_numpy(zero_copy_only=False).astype(bool)
-        own = np.sort(i[first & (np.asarray(group.column("base")) + np.asarray(group.column("tune")) > 0)])
-        return pa.table({"chunk": group.column("chunk")[:1], "base": pa.array([base], pa.list_(pa.int64())), "tune": pa.array([tune], pa.list_(pa.int64())), "own": pa.array([own], pa.list_(pa.int32()))})
-
-    return whole.groupBy("chunk").applyInArrow(gather, "chunk long, base array<long>, tune array<long>, own array<int>")
-
-
-class Weights:
-    """Mixture weights: of the byte estimates by order and bucket, of the word estimate by bucket."""
-
-    def __init__(self):
-        self.bytes, self.word = np.full((ORDER, BUCKETS), 0.5), np.full(BUCKETS, 0.5)
-        self.bytes[:, 0] = self.word[0] = 0.0
-
-    def update(self, sums: np.ndarray) -> None:
-        """sums: expected uses and chances of each weight; one without chances stays."""
-        used, chances = sums.reshape(2, ORDER + 1, BUCKETS)
-        new = np.clip(used / np.maximum(chances, 1e-300), 1e-4, 1 - 1e-4)
-        new = np.where(chances > 0, new, np.vstack([self.bytes, self.word]))
-        new[:ORDER, 0] = 0.0  # an unseen context has no estimate
-        self.bytes, self.word = new[:ORDER], new[ORDER]
-
-
-class Scorer:
-    """Probabilities of a chunk's words under counts of the corpus and mixture weights."""
-
-    def __init__(self, spelling: Spelling, n_words: int, counts: np.ndarray, total: int, ends: int):
-        self.spelling, self.words = spelling, counts[:n_words].astype(float)
-        self.total, self.ends = max(total, 1), ends
-        self.grams = counts[n_words:].astype(float)
-
-    def mixtures(self, weights: Weights):
-        """By length: at each place the bucket, the weight, the estimate and the mixture so far; the last mixture is the probability."""
-        s, before = self.spelling, None
-        p = np.full(s.size, 1 / SYMBOLS)
-        for k, grams in enumerate(s.spread(self.grams)):
-            if k == 0:
-                context = np.full(s.size, float(self.all_bytes))
-            else:
-                context = np.zeros(s.size)
-                context[1:] = before[:-1]
-                context[s.rank < k] = 0
-            b = bucket(context).astype(np.uint8)
-            weight = weights.bytes[k][b] * (context > 0)
-            estimate = grams / np.maximum(context, 1)
-            p = weight * estimate + (1 - weight) * p
-            before = grams
-            yield b, weight, estimate, p
-
-    all_bytes = 1.0
-
-    def spelled(self, p: np.ndarray) -> np.ndarray:
-        """Probability of each word's spelling; one outcome of SYMBOLS is left to the end token."""
-        s = self.spelling
-        if not s.size:
-            return np.zeros(0)
-        logs = np.log(p)
-        logs[s.rank == 0] = 0
-        return np.exp(np.maximum(np.add.reduceat(logs, s.begin), -700)) * (1 - 1 / SYMBOLS)
-
-
-def token_probability(scorer: Scorer, weights: Weights, spelled: np.ndarray, tokens: np.ndarray, counts: np.ndarray):
-    """Over all tokens of a chunk, each document's end last: number of the word (or len(words) for an end), bucket, weight, estimate and probability."""
-    n = len(spelled)
-    sizes = counts + 1
-    last = np.cumsum(sizes) - 1
-    stream = np.full(int(sizes.sum()), n, np.int64)
-    inside = np.ones(len(stream), bool)
-    inside[last] = False
-    stream[inside] = tokens
-    seen, spelled = np.append(scorer.words, scorer.ends), np.append(spelled, 1 / SYMBOLS)
-    before = np.empty_like(stream)
-    before[1:] = stream[:-1]
-    if len(before):
-        before[0] = n
-    before[last[:-1] + 1] = n
-    b = bucket(seen[before])
-    weight = weights.word[b]
-    estimate = seen[stream] / scorer.total
-    return stream, b, weight, estimate, weight * estimate + (1 - weight) * spelled[stream], sizes
-
-
-def _expected(batch, r, press, weights: Weights, totals) -> np.ndarray:
-    """Expected uses and chances of each weight in one held-out chunk, estimates from the other training documents."""
-    flat, lengths, learned = opened(batch, r, press)
-    counts = np.asarray(batch.column("counts")[r].values, np.int64)
-    tokens = np.frombuffer(press.decompress(batch.column("tokens")[r].as_py()), "<u4").astype(np.int64) if counts.sum() else np.zeros(0, np.int64)
-    base = np.asarray(batch.column("base")[r].values, np.int64)
-    scorer = Scorer(Spelling(flat, lengths), len(lengths), base, totals["base"], totals["base_docs"])
-    scorer.all_bytes = totals["base_bytes"]
-    mixtures = [(b, w.astype(np.float32), e.astype(np.float32), p.astype(np.float32)) for b, w, e, p in scorer.mixtures(weights)]
-    spelled = scorer.spelled(mixtures[-1][3].astype(float))
-    stream, b, weight, estimate, p, _ = token_probability(scorer, weights, spelled, tokens, counts)
-    out = np.zeros((2, ORDER + 1, BUCKETS))
-    share = weight * estimate / p
-    out[0, ORDER], out[1, ORDER] = np.bincount(b, share, BUCKETS), np.bincount(b, minlength=BUCKETS)
-    rest = np.bincount(stream, 1 - share, len(lengths) + 1)[: len(lengths)]
-    s = scorer.spelling
-    left = rest[s.word] * (s.rank > 0)  # what the spelling has to explain, handed down from the longest context
-    for k in range(ORDER - 1, -1, -1):
-        b, weight, estimate, p = mixtures[k]
-        use = left * weight * estimate / p
-        chance = left * (weight > 0)
-        out[0, k], out[1, k] = np.bincount(b, use, BUCKETS), np.bincount(b, chance, BUCKETS)
-        left = left - use
-    return out.ravel()
-
-
-def learn_weights(held: DataFrame, totals: dict, iterations: int = ITERATIONS) -> Weights:
-    """Expectation-maximisation over the held-out chunks; each round sums 2 * (ORDER + 1) * BUCKETS numbers."""
-    weights = Weights()
+
+def learn_weights(held: DataFrame, total: int, ends: int, outcomes: int, iterations: int = ITERATIONS) -> np.ndarray:
+    """Weights by bucket and estimate, by expectation-maximisation over the held-out chunks; each round sums ESTIMATES * BUCKETS numbers."""
+    weights = np.full((BUCKETS, ESTIMATES), 1 / ESTIMATES)
+    weights[0] = [0.5, 0.5, 0.0]  # a word that wasn't seen has nothing after it
     for _ in range(iterations):
 
         def expect(batches, weights=weights):
-            press, sums = zstandard.ZstdDecompressor(), np.zeros(2 * (ORDER + 1) * BUCKETS)
+            press, sums = zstandard.ZstdDecompressor(), np.zeros((BUCKETS, ESTIMATES))
             for batch in batches:
                 for r in range(batch.num_rows):
-                    sums += _expected(batch, r, press, weights, totals)
-            yield pa.RecordBatch.from_pydict({"k": np.arange(len(sums)), "v": sums})
-
-        sums = np.zeros(2 * (ORDER + 1) * BUCKETS)
+                    texts = Texts(batch, r, press)
+                    b, estimates = texts.estimates(_counts(texts, batch, r, False), total, ends, outcomes)
+                    shares = weights[b] * estimates
+                    shares /= shares.sum(1, keepdims=True)
+                    for e in range(ESTIMATES):
+                        sums[:, e] += np.bincount(b, shares[:, e], BUCKETS)
+            yield pa.RecordBatch.from_pydict({"k": np.arange(sums.size), "v": sums.ravel()})
+
+        sums = np.zeros(ESTIMATES * BUCKETS)
         for row in held.mapInArrow(expect, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
             sums[row["k"]] = row["v"]
+        sums = sums.reshape(BUCKETS, ESTIMATES)
         if not sums.any():
             break
-        weights.update(sums)
+        # the even share keeps a little weight, so that no outcome is impossible
+        new = (sums + [1e-2, 1e-3, 0.0]) / (sums.sum(1, keepdims=True) + 1.1e-2)
+        weights = np.where(sums.sum(1, keepdims=True) > 0, new, weights)
     return weights
 
 
@@ -361,62 +224,49 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     train: which rows the model learns from; null is no. Tokens are words in lower case A-Z and
     one end per document; a null or empty text has the end alone. base_score: the unigram model
     with one added to each count; score: log10 of the model's probability of the text, never
-    infinite. Without training rows every word is unknown. Repeated rows are scored alike; no rows give no rows.
+    infinite. Without training rows every word is unknown. Keys of any type are kept; repeated
+    rows are scored alike; no rows give no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(docs, text).alias("text"), train.alias("__train"))
-    records = chunks(docs, F.col("__train"))
-    path = materialize_small(records)
-    answers = materialize(answered(asked(path)))
-    sums = path.agg(F.sum(F.when(F.col("kind") == 0, F.col("docs"))).alias("base_docs"), F.sum("docs").alias("docs"), *[F.sum(F.when(F.col("kind") == k, F.expr("aggregate(learned, 0L, (a, x) -> a + x)"))).alias(name) for k, name in ((0, "base_words"), (1, "tune_words"))], *[F.sum(F.when(F.col("kind") == k, F.expr("aggregate(zip_with(learned, lengths, (n, l) -> n * (l + 1)), 0L, (a, x) -> a + x)"))).alias(name) for k, name in ((0, "base_bytes"), (1, "tune_bytes"))]).first().asDict()
-    sums = {k: v or 0 for k, v in sums.items()}
-    known = answers.agg(F.sum(F.size("own"))).first()[0] or 0
-    train_tokens = sums["base_words"] + sums["tune_words"] + sums["docs"]
-    distinct = known + (sums["docs"] > 0)
-    base = {"base": sums["base_words"] + sums["base_docs"], "base_docs": sums["base_docs"], "base_bytes": sums["base_bytes"]}
-    held = materialize_small(path.filter("kind = 1").select("chunk", "counts", "tokens", "words", "lengths", "learned").join(answers.select("chunk", "base"), "chunk", "left").withColumn("base", _list("base", "bigint")))
-    weights = learn_weights(held, base)
-    letters, ends = sums["base_bytes"] + sums["tune_bytes"], sums["docs"]
+    docs = docs.select(F.col(key).alias("key"), text_of(docs, text).alias("text"), train.alias("__train"))
+    integral = docs.schema["key"].dataType.typeName() in ("byte", "short", "integer", "long")
+    # other keys come back by a hash of key and text
+    docs = docs.withColumn("doc_id", F.col("key").cast("long") if integral else F.xxhash64("key", "text"))
+    records = _with_small_groups(chunks(docs, F.col("__train")))
+    answers = _with_small_groups(answered(asked(records)))
+    odd = F.col("chunk").bitwiseAND(F.lit(1)) == 1
+    sums = records.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(name) for name, x in (("docs", F.col("docs")), ("words", F.col("n_learned")), ("distinct", F.col("distinct")), ("base_docs", F.when(odd, 0).otherwise(F.col("docs"))), ("base_words", F.when(odd, 0).otherwise(F.col("n_learned"))))]).first()
+    again = answers.agg(F.coalesce(F.sum(F.col("repeated") - F.col("first")), F.lit(0))).first()[0]
+    train_tokens, ends = sums["words"] + sums["docs"], sums["docs"]
+    distinct = sums["distinct"] - again + (ends > 0)
+    outcomes = distinct + 1  # one for unknown words
+    both = records.join(answers.select("chunk", "i", "base", "tune"), "chunk", "left")
+    held = _with_small_groups(both.filter(odd))
+    weights = learn_weights(held, sums["base_words"] + sums["base_docs"], sums["base_docs"], outcomes)
 
     def run(batches):
         press = zstandard.ZstdDecompressor()
         for batch in batches:
             for r in range(batch.num_rows):
-                flat, lengths, _ = opened(batch, r, press)
-                counts = np.asarray(batch.column("counts")[r].values, np.int64)
-                tokens = np.frombuffer(press.decompress(batch.column("tokens")[r].as_py()), "<u4").astype(np.int64) if counts.sum() else np.zeros(0, np.int64)
-                whole = np.asarray(batch.column("base")[r].values, np.int64) + np.asarray(batch.column("tune")[r].values, np.int64)
-                scorer = Scorer(Spelling(flat, lengths), len(lengths), whole, train_tokens, ends)
-                scorer.all_bytes = letters
-                for *_, p in scorer.mixtures(weights):
-                    pass  # the last one counts
-                spelled = scorer.spelled(p)
-                stream, _, weight, _, p, sizes = token_probability(scorer, weights, spelled, tokens, counts)
-                at = np.cumsum(sizes) - sizes
-                seen = np.append(scorer.words, ends)[stream]
-                unknown = (seen == 0) & (stream < len(lengths))
-                p = np.where(unknown, 1 - weight, p)
-                taken = np.zeros(len(sizes))
-                taken[0] = spelled[np.asarray(batch.column("own")[r].values)].sum()
-                base_log = np.log10((seen + 1) / (train_tokens + 1 * (distinct + 1)))
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("ids")[r].values, "n_tokens": sizes, "n_known": np.add.reduceat((seen > 0).astype(np.int64), at), "base_score": np.add.reduceat(base_log, at), "logs": np.add.reduceat(np.log10(p), at), "unknown": np.add.reduceat(unknown.astype(np.int64), at), "taken": taken})
-
-    out = path.select("chunk", "ids", "counts", "tokens", "words", "lengths", "learned").join(answers.select("chunk", "base", "tune", "own"), "chunk", "left")
-    out = out.withColumns({"base": _list("base", "bigint"), "tune": _list("tune", "bigint"), "own": _list("own", "int")})  # a chunk without words asks for nothing
-    out = materialize(out.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, logs double, unknown long, taken double"))
-    left = max(1 - 1 / SYMBOLS - (out.agg(F.sum("taken")).first()[0] or 0.0), 1e-9)
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", (F.col("logs") + F.col("unknown") * F.lit(float(np.log10(left)))).alias("score"))
-
-
-def _list(c: str, kind: str) -> Column:
-    return F.coalesce(c, F.array().cast(f"array<{kind}>"))
-
-
-def materialize_small(records: DataFrame) -> DataFrame:
+                texts = Texts(batch, r, press)
+                counts = _counts(texts, batch, r, True)
+                b, estimates = texts.estimates(counts, train_tokens, ends, outcomes)
+                logs, at = np.log10((weights[b] * estimates).sum(1)), np.cumsum(texts.sizes) - texts.sizes
+                seen = np.append(counts[: texts.n], ends)[texts.stream]
+                base = np.log10((seen + 1) / (train_tokens + 1 * (distinct + 1)))
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("ids")[r].values, "n_tokens": texts.sizes, "n_known": np.add.reduceat((seen > 0).astype(np.int64), at), "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(logs, at)})
+
+    scored = both.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    out = ["n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score"]
+    if integral:
+        return scored.select("doc_id", *out)
+    named = docs.select(F.col("doc_id").alias("__h"), "key")
+    return named.join(scored.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "__h"), "__h").select(F.col("key").alias("doc_id"), *out)
+
+
+def _with_small_groups(records: DataFrame) -> DataFrame:
     """Written with small row groups: a reader holds few of the large records at a time."""
-    from .common import shared_dir
-
     spark, path = records.sparkSession, shared_dir(records.sparkSession)
     records.write.option("parquet.block.size", str(16 << 20)).parquet(path)
     return spark.read.schema(records.schema).parquet(path)

@@ -53,19 +53,72 @@ def test_counts_and_base(scored):
     assert sum(r.score for r in out) > sum(r.base_score for r in out) and all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
-def test_outcomes_sum_to_one(spark, monkeypatch):
-    """The words of training, the end and the unknown word have all the probability after a known word."""
-    rows = [(i, t, 0) for i, (_, t, _) in enumerate(texts(60, 4)) if t and len(t) < 2000]
-    known = sorted({w for _, t, _ in rows for w in split(t)})
-    probe = [(-1 - k, f"the {w}", 1) for k, w in enumerate(known)] + [(-90_000, "the zzzqqq", 1), (-90_001, "the", 1)]
-    df = spark.createDataFrame(rows + probe, "doc_id long, text string, probe int")
-    got = {r.doc_id: r.score for r in lm.score_documents(df, F.col("probe") == 0).collect()}
-    # log P(the w) = P(the) + P(w after the) + P(end after w); words of one frequency share the last
-    c = Counter(w for _, t, _ in rows for w in split(t))
-    n, ends = sum(c.values()), len(rows)
-    assert n and all(v < 0 for v in got.values())
-    again = {r.doc_id: r.score for r in lm.score_documents(df.repartition(4), F.col("probe") == 0).collect()}
-    assert got.keys() == again.keys()
+class Brute:
+    """The same model from dictionaries: rows (text, is training, is held out for the weights)."""
+
+    def __init__(self, rows):
+        self.all, self.base = Counter(), Counter()
+        for text, train, tune in rows:
+            for counts, use in ((self.all, train), (self.base, train and not tune)):
+                if use:
+                    t = [*split(text), None]
+                    counts.update((w,) for w in t)
+                    counts.update(zip([None, *t[:-1]], t, strict=True))
+        self.outcomes = sum(len(k) == 1 for k in self.all) + 1
+        self.weights = np.full((16, 3), 1 / 3)
+        self.weights[0] = [0.5, 0.5, 0]
+        for _ in range(lm.ITERATIONS):
+            sums = np.zeros((16, 3))
+            for text, _, tune in rows:
+                if tune:
+                    for v, w in self.steps(text):
+                        b, e = self.estimates(v, w, self.base)
+                        sums[b] += self.weights[b] * e / (self.weights[b] * e).sum()
+            for b in range(16):
+                if sums[b].sum():
+                    self.weights[b] = (sums[b] + [1e-2, 1e-3, 0]) / (sums[b].sum() + 1.1e-2)
+
+    def steps(self, text):
+        t = [*split(text), None]
+        return zip([None, *t[:-1]], t, strict=True)
+
+    def estimates(self, v, w, c):
+        total = sum(n for k, n in c.items() if len(k) == 1) if not hasattr(self, "totals") else self.totals[c is self.all]
+        return min(math.ceil(math.log2(c[(v,)] + 1)), 15), np.array([1 / self.outcomes, c[(w,)] / total, c[(v, w)] / max(c[(v,)], 1)])
+
+    def probability(self, v, w):
+        b, e = self.estimates(v, w, self.all)
+        return (self.weights[b] * e).sum()
+
+    def score(self, text):
+        return sum(math.log10(self.probability(v, w)) for v, w in self.steps(text))
+
+
+def test_scores_match_brute_force_and_sum_to_one(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 3000)  # several chunks in a task
+    rows = [(i, t, i % 7 != 2) for i, (_, t, _) in enumerate(texts(150, 4)) if t is None or len(t) < 2000]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3)
+    tuned = {r.doc_id for r in df.filter(F.col("train") & (F.pmod(F.xxhash64(F.lit(13), "doc_id", F.coalesce("text", F.lit(""))), F.lit(lm.TUNE_IN)) == 0)).collect()}
+    assert tuned
+    brute = Brute([(t, train, i in tuned) for i, t, train in rows])
+    got = lm.score_documents(df, F.col("train")).collect()
+    text = {i: t for i, t, _ in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.score == pytest.approx(brute.score(text[r.doc_id]), rel=1e-9)
+    words = [k[0] for k in brute.all if len(k) == 1]
+    for v in ("the", None, words[5], words[-1]):
+        assert sum(brute.probability(v, w) for w in words) + brute.probability(v, "zzz unseen") == pytest.approx(1.0)
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+    # the order of words matters
+    shuffled = spark.createDataFrame([*rows, (900, "the of and the of", False), (901, "of of the the and", False)], df.schema)
+    again = {r.doc_id: r.score for r in lm.score_documents(shuffled, F.col("train")).collect()}
+    assert again[900] != again[901]
+
+
+def test_keys_of_other_types(spark):
+    df = spark.createDataFrame([("a", "x y z"), ("b", "x y"), (None, "x"), ("a", "x y z")], "doc_id string, text string")
+    assert sorted(((r.doc_id, r.n_tokens) for r in lm.score_documents(df, F.lit(True)).collect()), key=str) == [("a", 4), ("a", 4), ("b", 3), (None, 2)]
 
 
 def test_no_training_and_no_rows(spark):
