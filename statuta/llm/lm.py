@@ -8,31 +8,36 @@ any unknown word. The weights are learned by expectation-maximisation on held-ou
 of the training documents is deleted from the counts that the estimates use meanwhile. The scores
 use the counts of all training documents.
 
-Work goes by chunks, runs of documents of one task. A chunk asks for the corpus counts of its
-distinct words and pairs of words, and gets those that other chunks have too by a shuffle; of
-the others its own counts are the corpus'. There is no table of the corpus in any task or on
-the driver. A word or pair is asked for once by each chunk at most, so that no key has more
-rows than there are chunks: a small part of a task's rows, however common the word is. Words
-and pairs are counted by 63-bit hashes.
+Work goes by chunks, runs of documents of one task. A chunk sends the 63-bit hashes of its
+distinct words and pairs of words with its counts to ranges of hashes, sorted and packed, and
+gets the corpus counts of those back that other chunks have too; of the others its own counts
+are the corpus'. The ranges are as many as the corpus asks for, so that one fits a task. There
+is no table of the corpus in any task or on the driver. A word or pair is sent once by each
+chunk at most: a range's keys are spread evenly, however common a word is.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_batches, crc_text, mixed, shared_dir, slices, span_hashes, table, text_of, utf8, words
+from .common import LOWER, bounded_batches, crc_text, materialize, mixed, shared_dir, slices, span_hashes, table, text_of, utf8, words
 
 BUCKETS = 16
 ITERATIONS = 8
 CHUNK_BYTES = 16 << 20
 #: Of the training documents one in so many is held out for the weights.
 TUNE_IN = 10
-WORD = np.uint64(1 << 63)
+#: Of the keys of one range, about.
+RANGE_KEYS = 2_000_000
+#: The lowest bit of a word's key; those of pairs lack it.
+WORD = np.uint64(1)
 END_HASH = np.uint64(0x2545F4914F6CDD1D)
 #: Estimates: even share, word, word after a word.
 ESTIMATES = 3
@@ -77,13 +82,12 @@ class Chunk:
                 pa.array([unique[order].astype("<u8").tobytes()], pa.binary()),
                 pa.array([int(train.sum())], pa.int64()),
                 pa.array([int(learned.sum())], pa.int64()),
-                pa.array([int(np.count_nonzero(learned))], pa.int64()),
             ],
-            ["chunk", "ids", "counts", "train", "tokens", "hashes", "docs", "n_learned", "distinct"],
+            ["chunk", "ids", "counts", "train", "tokens", "hashes", "docs", "n_learned"],
         )
 
 
-CHUNKS = "chunk long, ids array<long>, counts array<long>, train array<boolean>, tokens binary, hashes binary, docs long, n_learned long, distinct long"
+CHUNKS = "chunk long, ids array<long>, counts array<long>, train array<boolean>, tokens binary, hashes binary, docs long, n_learned long"
 
 
 def chunks(docs: DataFrame, train: Column) -> DataFrame:
@@ -145,50 +149,88 @@ class Texts:
         return bucket(context), np.stack([np.full(len(after), 1 / outcomes), seen[self.stream] / max(total, 1), after], 1)
 
 
-def asked(records: DataFrame) -> DataFrame:
-    """(key, chunk, i, n): each chunk's distinct words, then its distinct pairs, with how often its training documents have them."""
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as bytes, byte by byte of all, and compressed."""
+    raw = np.ascontiguousarray(values)
+    return zstandard.ZstdCompressor(level=1).compress(raw.view(np.uint8).reshape(len(raw), raw.itemsize).T.tobytes())
 
-    def run(batches):
-        press = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for r in range(batch.num_rows):
-                texts = Texts(batch, r, press)
-                keys, chunk = texts.keys().view(np.int64), batch.column("chunk")[r].as_py()
-                for a in range(0, len(keys), 1 << 16):
-                    some = keys[a : a + (1 << 16)]
-                    yield pa.RecordBatch.from_pydict({"key": some, "chunk": np.full(len(some), chunk, np.int64), "i": np.arange(a, a + len(some), dtype=np.int32), "n": texts.own[a : a + (1 << 16)].astype(np.int32)})
 
-    return records.select("chunk", "counts", "train", "tokens", "hashes").mapInArrow(run, "key long, chunk long, i int, n int")
+def unpacked(raw: bytes, kind: str) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(flat.reshape(size, len(flat) // size).T).view(kind).ravel()
 
 
-def answered(asks: DataFrame) -> DataFrame:
-    """(chunk, i, base, tune, first, repeated): of what a chunk asked for and others did too, the corpus counts.
+def in_ranges(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys, and in it where each range begins, with the end."""
+    order = np.argsort(keys)
+    of = ((keys[order] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    return order, np.searchsorted(of, np.arange(ranges + 1))
 
-    base: in the training documents that aren't held out, tune: in those that are. first: words of
-    training that this chunk is the first to ask for; repeated: its words of training among these."""
-    by_key = Window.partitionBy("key")
-    odd = F.col("chunk").bitwiseAND(F.lit(1)) == 1
-    whole = asks.select("key", "chunk", "i", "n", F.sum(F.when(odd, 0).otherwise(F.col("n"))).over(by_key).alias("base"), F.sum(F.when(odd, F.col("n")).otherwise(0)).over(by_key).alias("tune"), F.min("chunk").over(by_key).alias("lo"), F.max("chunk").over(by_key).alias("hi"))
-    shared = whole.filter("lo != hi").select("chunk", "i", "base", "tune", ((F.col("key") < 0) & (F.col("chunk") == F.col("lo")) & (F.col("base") + F.col("tune") > 0)).alias("first"), ((F.col("key") < 0) & (F.col("n") > 0)).alias("repeated"))
 
-    def gather(group: pa.Table) -> pa.Table:
-        lists = [pa.array([group.column(c).combine_chunks()], pa.list_(kind)) for c, kind in (("i", pa.int32()), ("base", pa.int64()), ("tune", pa.int64()))]
-        sums = [pa.array([int(np.count_nonzero(group.column(c).to_numpy()))], pa.int64()) for c in ("first", "repeated")]
-        return pa.table([group.column("chunk")[:1].combine_chunks(), *lists, *sums], ["chunk", "i", "base", "tune", "first", "repeated"])
+def asked(records: DataFrame, ranges: int) -> DataFrame:
+    """(range, chunk, keys, n): of each chunk and range the keys in order, as differences, and how often its training documents have them."""
 
-    return shared.groupBy("chunk").applyInArrow(gather, "chunk long, i array<int>, base array<long>, tune array<long>, first long, repeated long")
+    def run(batches):
+        press = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for r in range(batch.num_rows):
+                texts, chunk, rows = Texts(batch, r, press), batch.column("chunk")[r].as_py(), []
+                keys = texts.keys()
+                order, at = in_ranges(keys, ranges)
+                keys, own = keys[order], texts.own[order].astype("<u4")
+                for k in np.flatnonzero(np.diff(at)).tolist():
+                    a, b = at[k], at[k + 1]
+                    rows.append((k, chunk, packed(np.diff(keys[a:b], prepend=np.uint64(0))), packed(own[a:b])))
+                if rows:
+                    yield pa.RecordBatch.from_pydict(dict(zip(("range", "chunk", "keys", "n"), zip(*rows, strict=True), strict=True)), schema)
+
+    schema = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
+    return records.select("chunk", "counts", "train", "tokens", "hashes").mapInArrow(run, "range int, chunk long, keys binary, n binary")
 
 
-def _counts(texts: Texts, batch: pa.RecordBatch, r: int, both: bool) -> np.ndarray:
+def answered(asks: DataFrame) -> DataFrame:
+    """(range, chunk, at, base, tune, known): which of a chunk's keys in the range other chunks have too, and their corpus counts.
+
+    base: in the training documents that aren't held out, tune: in those that are. known: in one
+    row of each range, how many words of training it has."""
+    schema = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("at", pa.binary()), ("base", pa.binary()), ("tune", pa.binary()), ("known", pa.int64())])
+
+    def merge(group: pa.Table) -> pa.Table:
+        chunks, keys = group.column("chunk").to_pylist(), [np.cumsum(unpacked(x, "<u8"), dtype=np.uint64) for x in group.column("keys").to_pylist()]
+        n = np.concatenate([unpacked(x, "<u4") for x in group.column("n").to_pylist()]).astype(np.int64)
+        sizes = np.array([len(k) for k in keys])
+        whole, odd = np.concatenate(keys), np.repeat(np.array(chunks) & 1, sizes).astype(bool)
+        order = np.argsort(whole, kind="stable")
+        fresh = np.ones(len(whole), bool)
+        fresh[1:] = whole[order][1:] != whole[order][:-1]
+        starts, number = np.flatnonzero(fresh), np.empty(len(whole), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        base, tune = (np.add.reduceat(np.where(odd == side, n, 0)[order], starts) for side in (False, True))
+        shared = np.diff(np.append(starts, len(whole))) > 1
+        known = int(np.count_nonzero((whole[order][starts] & WORD == WORD) & (base + tune > 0)))
+        rows, upto = [], np.cumsum(sizes)
+        for k, chunk in enumerate(chunks):
+            mine = number[upto[k] - sizes[k] : upto[k]]
+            at = np.flatnonzero(shared[mine])
+            rows.append((group.column("range")[0].as_py(), chunk, packed(np.diff(at, prepend=0).astype("<u4")), packed(base[mine[at]].astype("<u8")), packed(tune[mine[at]].astype("<u8")), 0 if k else known))
+        return pa.Table.from_pydict(dict(zip(schema.names, zip(*rows, strict=True), strict=True)), schema)
+
+    return asks.groupBy("range").applyInArrow(merge, "range int, chunk long, at binary, base binary, tune binary, known long")
+
+
+def _counts(texts: Texts, batch: pa.RecordBatch, r: int, both: bool, ranges: int) -> np.ndarray:
     """Corpus counts of a chunk's words and pairs: its own, but for what others have too. both: of all training documents."""
     out = texts.own.copy() if both or not texts.kind else np.zeros(len(texts.own), np.int64)
-    if batch.column("i")[r].is_valid:
-        get = lambda c: np.asarray(batch.column(c)[r].values)
-        out[get("i")] = get("base") + get("tune") if both else get("base")
+    order, begin = in_ranges(texts.keys(), ranges)
+    for x in batch.column("answers")[r].as_py() or ():
+        at = order[begin[x["range"]] + np.cumsum(unpacked(x["at"], "<u4"), dtype=np.int64)]
+        base = unpacked(x["base"], "<u8").astype(np.int64)
+        out[at] = base + unpacked(x["tune"], "<u8").astype(np.int64) if both else base
     return out
 
 
-def learn_weights(held: DataFrame, total: int, ends: int, outcomes: int, iterations: int = ITERATIONS) -> np.ndarray:
+def learn_weights(held: DataFrame, ranges: int, total: int, ends: int, outcomes: int, iterations: int = ITERATIONS) -> np.ndarray:
     """Weights by bucket and estimate, by expectation-maximisation over the held-out chunks; each round sums ESTIMATES * BUCKETS numbers."""
     weights = np.full((BUCKETS, ESTIMATES), 1 / ESTIMATES)
     weights[0] = [0.5, 0.5, 0.0]  # a word that wasn't seen has nothing after it
@@ -199,7 +241,7 @@ def learn_weights(held: DataFrame, total: int, ends: int, outcomes: int, iterati
             for batch in batches:
                 for r in range(batch.num_rows):
                     texts = Texts(batch, r, press)
-                    b, estimates = texts.estimates(_counts(texts, batch, r, False), total, ends, outcomes)
+                    b, estimates = texts.estimates(_counts(texts, batch, r, False, ranges), total, ends, outcomes)
                     shares = weights[b] * estimates
                     shares /= shares.sum(1, keepdims=True)
                     for e in range(ESTIMATES):
@@ -234,23 +276,26 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     # other keys come back by a hash of key and text
     docs = docs.withColumn("doc_id", F.col("key").cast("long") if integral else F.xxhash64("key", "text"))
     records = _with_small_groups(chunks(docs, F.col("__train")))
-    answers = _with_small_groups(answered(asked(records)))
     odd = F.col("chunk").bitwiseAND(F.lit(1)) == 1
-    sums = records.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(name) for name, x in (("docs", F.col("docs")), ("words", F.col("n_learned")), ("distinct", F.col("distinct")), ("base_docs", F.when(odd, 0).otherwise(F.col("docs"))), ("base_words", F.when(odd, 0).otherwise(F.col("n_learned"))))]).first()
-    again = answers.agg(F.coalesce(F.sum(F.col("repeated") - F.col("first")), F.lit(0))).first()[0]
+    names = (("docs", F.col("docs")), ("words", F.col("n_learned")), ("base_docs", F.when(odd, 0).otherwise(F.col("docs"))), ("base_words", F.when(odd, 0).otherwise(F.col("n_learned"))), ("tokens", F.expr("aggregate(counts, 0L, (a, x) -> a + x + 1)")))
+    sums = records.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(name) for name, x in names]).first()
+    # of each token a word and a pair at most; ranges are joined to tasks by their sizes
+    ranges = max(16, math.ceil(sums["tokens"] / RANGE_KEYS))
+    answers = materialize(answered(asked(records, ranges).repartition(ranges, "range")))
     train_tokens, ends = sums["words"] + sums["docs"], sums["docs"]
-    distinct = sums["distinct"] - again + (ends > 0)
+    distinct = (answers.agg(F.sum("known")).first()[0] or 0) + (ends > 0)
     outcomes = distinct + 1  # one for unknown words
-    both = records.join(answers.select("chunk", "i", "base", "tune"), "chunk", "left")
+    of_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("range", "at", "base", "tune")).alias("answers"))  # no more than it asked for
+    both = records.join(of_chunk, "chunk", "left")
     held = _with_small_groups(both.filter(odd))
-    weights = learn_weights(held, sums["base_words"] + sums["base_docs"], sums["base_docs"], outcomes)
+    weights = learn_weights(held, ranges, sums["base_words"] + sums["base_docs"], sums["base_docs"], outcomes)
 
     def run(batches):
         press = zstandard.ZstdDecompressor()
         for batch in batches:
             for r in range(batch.num_rows):
                 texts = Texts(batch, r, press)
-                counts = _counts(texts, batch, r, True)
+                counts = _counts(texts, batch, r, True, ranges)
                 b, estimates = texts.estimates(counts, train_tokens, ends, outcomes)
                 logs, at = np.log10((weights[b] * estimates).sum(1)), np.cumsum(texts.sizes) - texts.sizes
                 seen = np.append(counts[: texts.n], ends)[texts.stream]
