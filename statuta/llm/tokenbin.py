@@ -46,6 +46,39 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Known:
+    """Strings with their ids."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def add(self, new: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        at = len(self.number)
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
+        if at + len(new) > len(self.starts):
+            more = np.zeros(max(len(self.starts), len(new)), np.int64)
+            self.starts, self.lengths = np.concatenate([self.starts, more]), np.concatenate([self.lengths, more])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[at : at + len(new)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[at : at + len(new)] = lengths
+        self.used += len(ids)
+        self.number.update(zip(new, range(at, at + len(new)), strict=True))
+
+    def numbers(self, names: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, names), np.int64, len(names))
+
+    def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Their ids end to end, and each one's count."""
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths)
+        places = np.repeat(self.starts[numbers] - (ends - lengths), lengths)
+        places += np.arange(len(places))
+        return self.ids[places], lengths
+
+
 class Encoder:
     """Ids of whole texts, word by word.
 
@@ -68,73 +101,61 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {"": 0}
-        self.runs: dict[str, list[int]] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.words, self.runs = Known(), Known()
+        self.words.add([""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
     def learn(self, new: list[str]) -> None:
         plain = [w for w in new if w.isascii() and "<|" not in w]
-        cut = [RUNS.findall(w.lower()) for w in plain]
-        known = self.runs
-        if fresh := list({r for c in cut for r in c if r not in known}):
-            known.update(zip(fresh, self._of_runs(fresh), strict=True))
-        of_word = [known[c[0]] if len(c) == 1 else [i for r in c for i in known[r]] for c in cut]
         if len(plain) < len(new):
             other = [w for w in new if not w.isascii() or "<|" in w]
-            plain, of_word = plain + other, of_word + self._of_words(other)
-        lengths = np.fromiter(map(len, of_word), np.int64, len(of_word))
-        at, total = len(self.number), int(lengths.sum())
-        if self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), total), np.uint32)])
-        if at + len(plain) > len(self.starts):
-            more = np.zeros(max(len(self.starts), len(plain)), np.int64)
-            self.starts, self.lengths = np.concatenate([self.starts, more]), np.concatenate([self.lengths, more])
-        self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(of_word), np.uint32, total)
-        self.starts[at : at + len(plain)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[at : at + len(plain)] = lengths
-        self.used += total
-        self.number.update(zip(plain, range(at, at + len(plain)), strict=True))
-
-    def _of_runs(self, runs: list[str]) -> list[list[int]]:
-        """Ids of runs: many in one call, parted behind each id that ends a run."""
-        out = []
+            self.words.add(other, *self._of_words(other))
+        if not plain:
+            return
+        cut = [RUNS.findall(w.lower()) for w in plain]
+        flat = list(itertools.chain.from_iterable(cut))
+        if fresh := list(set(flat).difference(self.runs.number)):
+            self.runs.add(fresh, *self._of_runs(fresh))
+        ids, lengths = self.runs.ids_of(self.runs.numbers(flat))
+        ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        self.words.add(plain, ids, np.diff(upto[ends], prepend=0))
+
+    def _of_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs, end to end, and each one's count: many in one call, parted behind each id that ends a run."""
+        ids, lengths = [], []
         for i in range(0, len(runs), 2048):
             some = runs[i : i + 2048]
-            ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            if len(ends) != len(some) or ends[-1] != len(ids):  # another tokenizer, which parts words otherwise
-                out += self._of_words(some)
-                continue
-            out += [ids[a:b] for a, b in zip([0, *ends], ends)]
-        return out
-
-    def _of_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of any words: each id tells by its offset which word it is of."""
-        out = []
+            got = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[got]) + 1
+            sizes = np.diff(ends, prepend=0)
+            if len(ends) != len(some) or ends[-1] != len(got):  # another tokenizer, which parts words otherwise
+                got, sizes = self._of_words(some)
+            ids.append(got)
+            lengths.append(sizes)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of any words: each id tells by its offset which word it is of."""
+        ids, lengths = [], []
         for i in range(0, len(words), 512):
             some = words[i : i + 512]
             encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, ends = encoded.ids, np.cumsum([len(w) + 1 for w in some])
-            upto = np.searchsorted([o[0] for o in encoded.offsets], ends).tolist()
-            out += [ids[a:b] for a, b in zip([0, *upto], upto)]
-        return out
+            ids.append(np.array(encoded.ids, np.uint32))
+            upto = np.searchsorted([o[0] for o in encoded.offsets], np.cumsum([len(w) + 1 for w in some]))
+            lengths.append(np.diff(upto, prepend=0))
+        return np.concatenate(ids), np.concatenate(lengths)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, without end ids, and each text's count."""
-        if len(self.number) > KEPT_WORDS:
+        if len(self.words.number) > KEPT_WORDS:
             self.clear()
         split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         coded = split.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if new := [w for w in distinct if w not in self.number]:
+        if new := list(set(distinct).difference(self.words.number)):
             self.learn(new)
-        number = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))
-        which = number[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.int64)
-        lengths, starts = self.lengths[which], self.starts[which]
+        ids, lengths = self.words.ids_of(self.words.numbers(distinct)[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.int64))
         ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
         upto = np.concatenate([[0], ends])
         bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(split)))]).astype(np.int64)
         return ids, upto[bounds[1:]] - upto[bounds[:-1]]
@@ -198,7 +219,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(docs, text).alias("text")).withColumn("tie", F.xxhash64("text"))
 
     def encode(batches):
-        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary, kind), write_content_size=True, write_checksum=False, write_dict_id=False)
+        shared = _dictionary(dictionary, kind)
+        if shared:
+            shared.precompute_compress(level=LEVEL)  # once, not for each frame
+        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True, write_checksum=False, write_dict_id=False)
         for batch in batches:
             for piece in slices(batch, "text", 4 << 20):
                 raw = _serialized(piece.column("text"), path)
