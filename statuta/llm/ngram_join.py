@@ -182,33 +182,26 @@ def probably_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     return there.filter(bit == 1).select(*df.columns)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(row, set) of the documents whose row is wanted, and of few others; no other texts are hashed."""
-
-    def run(batches):
-        for batch in batches:
-            for piece in slices(batch, "text", PIECE_BYTES):
-                values, at = shingles(*utf8(piece.column("text")))
-                yield pa.RecordBatch.from_arrays([piece.column("row"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))], ["row", "set"])
-
-    return probably_in(docs.select("row", "text"), "row", wanted).mapInArrow(run, "row long, set array<long>")
-
-
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity, by exact intersection."""
+    """The pairs (a, b) whose sets have the similarity, by exact intersection.
+
+    The texts are shuffled, which take half the bytes of their sets; no other texts are hashed.
+    """
     wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    sets = sets_of(docs, wanted).join(wanted, "row", "left_semi").dropDuplicates(["row"])
-    left = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("set_a")), "a")
-    both = left.join(sets.select(F.col("row").alias("b"), F.col("set").alias("set_b")), "b")
+    texts = probably_in(docs.select("row", "text"), "row", wanted).join(wanted, "row", "left_semi").dropDuplicates(["row"])
+    left = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
-                x, y = np.asarray(x.values).view(np.uint64), np.asarray(y.values).view(np.uint64)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = DOWN * same >= UP * (len(x) + len(y) - same)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+            for piece in slices(batch, "text_a", PIECE_BYTES):
+                (x, x_at), (y, y_at) = (shingles(*utf8(piece.column(c))) for c in ("text_a", "text_b"))
+                keep = np.zeros(piece.num_rows, bool)
+                for i in range(piece.num_rows):
+                    one, other = x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]]
+                    same = len(np.intersect1d(one, other, assume_unique=True))
+                    keep[i] = DOWN * same >= UP * (len(one) + len(other) - same)
+                yield pa.RecordBatch.from_arrays([piece.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
