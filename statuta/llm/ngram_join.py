@@ -229,8 +229,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     edges = materialize(verified(docs, _sharing(_possible(tokens.join(pivots, "token").filter("row != row_b")), classes)))
     roots = materialize(components(edges))
     # where what isn't a pivot belongs to several components, the others are compared too
-    placed = tokens.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    rest = materialize(_unsettled(placed.join(pivots.select("token", "row_b"), "token").filter("row != row_b").drop("row_b")))
+    rest = materialize(_unsettled(tokens, roots, pivots))
     for _ in range(MORE_PIVOTS):
         size = rest.groupBy("token").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.expr("n * (n - 1) / 2")).alias("pairs")).first()
         if (size["pairs"] or 0) <= FEW_PAIRS * (size["rows"] or 0):
@@ -240,8 +239,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         found = materialize(verified(docs, _sharing(_possible(links), classes)))
         edges = edges.union(found)
         roots = materialize(components(edges))
-        placed = rest.drop("root").join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-        rest, old = materialize(_unsettled(placed.join(pivots.select("token", "row_b"), "token").filter("row != row_b").drop("row_b"))), rest
+        rest, old = materialize(_unsettled(rest.drop("root"), roots, pivots)), rest
         discard(old)
     # all that are left of one shingle and of different components, if their bits don't tell them apart
     rest = rest.join(classes.select("row", *[F.get("bits", F.lit(k)).alias(f"w{k}") for k in range(PARITY_WORDS)]), "row")
@@ -287,10 +285,16 @@ def _pivots(tokens: DataFrame) -> DataFrame:
     return best.select("token", *[F.col(f"p.{c}").alias(f"{c}_b") for c in fields])
 
 
-def _unsettled(placed: DataFrame) -> DataFrame:
-    """The rows of shingles that stand in several components."""
-    several = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
-    return placed.join(several, "token")
+def _unsettled(tokens: DataFrame, roots: DataFrame, pivots: DataFrame) -> DataFrame:
+    """The rows, with their root, that aren't pivots, of shingles where those belong to several components."""
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+        return rows.join(pivots.select("token", "row_b"), "token").filter("row != row_b").drop("row_b")
+
+    several = placed(tokens.select("token", "row")).groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    several = materialize(several.filter("lo != hi").select("token"))
+    return placed(probably_in(tokens, "token", several)).join(several, "token")
 
 
 def _least(n: Column) -> Column:
