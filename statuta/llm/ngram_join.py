@@ -243,10 +243,13 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         discard(old)
     # all that are left of one shingle and of different components, if their bits don't tell them apart
     rest = rest.join(classes.select("row", *[F.get("bits", F.lit(k)).alias(f"w{k}") for k in range(PARITY_WORDS)]), "row")
-    other = rest.select("token", *[F.col(c).alias(f"{c}_b") for c in rest.columns if c != "token"])
+    # both sides as one struct each, so that Spark shuffles the rows once and reads them twice
+    fields = [c for c in rest.columns if c not in ("token", "cost")]
+    one, other = (rest.select("token", F.struct(*fields).alias(side)) for side in ("one", "other"))
     ahead = (F.col("last") < F.col("last_b")) | ((F.col("last") == F.col("last_b")) & (F.col("row") < F.col("row_b")))  # each pair once
     words = [(F.col(f"w{k}"), F.col(f"w{k}_b")) for k in range(PARITY_WORDS)]
-    links = rest.join(other, "token").filter(ahead & (F.col("root") != F.col("root_b")) & (F.col("rank") <= F.col("live") - F.least("matches", "matches_b")))
+    both = one.join(other, "token").select("token", *[F.col(f"one.{c}") for c in fields], *[F.col(f"other.{c}").alias(f"{c}_b") for c in fields])
+    links = both.filter(ahead & (F.col("root") != F.col("root_b")) & (F.col("rank") <= F.col("live") - F.least("matches", "matches_b")))
     edges = edges.union(materialize(verified(docs, _sharing(_possible(links, words), classes))))
     roots = components(edges)
     ends = all_rows.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class"))
