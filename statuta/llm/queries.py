@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, embed_dedup, html_extract, langid, lm, mixing, ngram_join, sharding, tokenbin, toxicity
+from . import chat, decontam, embed_dedup, html_extract, langid, lm, mixing, ngram_join, periodic, sharding, tokenbin, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_extraction": html_extract.op8_html_extraction,
     "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
     "op10_pfair_mixing": mixing.op10_pfair_mixing,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
     "op13_chat_formatting": chat.op13_chat_formatting,
 }
 
