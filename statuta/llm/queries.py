@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, embed_dedup, html_extract, langid, lm, mixing, ngram_join, periodic, sharding, tokenbin, toxicity
+from . import chat, decontam, embed_dedup, html_extract, langid, lm, mixing, ngram_join, periodic, prefix_trie, sharding, tokenbin, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,7 +16,8 @@ QUERIES = {
     "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
     "op10_pfair_mixing": mixing.op10_pfair_mixing,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_chat_formatting": chat.op13_chat_formatting,
 }
 
-ORACLE_SQL: dict[str, str] = {"op13_chat_formatting": chat.SQL}
+ORACLE_SQL: dict[str, str] = {"op12_prefix_trie": prefix_trie.SQL, "op13_chat_formatting": chat.SQL}
