@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import validation
+from ..tables import written
+from . import reach, validation
 
 
 def last_decisions(decisions: DataFrame) -> DataFrame:
@@ -67,18 +68,19 @@ def promote_into(candidates: DataFrame, published: DataFrame) -> DataFrame:
     back, and for references to a candidate that is rolled back. Errors that the published
     records had before count for nothing.
     """
+    pointers = ["superseded_by", "supersedes", "amends", "amended_by"]
+    whole = written(published.select("id", *pointers).withColumn("new", F.lit(False)).unionByName(candidates.select("id", *pointers).withColumn("new", F.lit(True))))
+    ids = written(whole.groupBy("id").agg(F.max("new").alias("new")))
+    edges = written(validation.edges(whole))
+    known = edges.join(ids.select(F.col("id").alias("target"), F.col("new").alias("to_new")), "target", "left")
+    known = written(known.join(ids.withColumnRenamed("new", "from_new"), "id"))
     own = validation.policy_issues(candidates).filter("severity = 'error'").select(F.col("record_id").alias("id"))
-    whole = published.unionByName(candidates, allowMissingColumns=True)
-    ids = candidates.select("id").distinct()
-    unclosed = validation.unclosed(whole)
-    caused = validation.dangling(whole).select("id").union(validation.self_references(whole).select("id")).union(unclosed.select("id")).union(unclosed.join(ids.select(F.col("id").alias("target")), "target", "left_semi").join(ids, "id", "left_anti").select("target"))
-    bad = own.union(caused).join(ids, "id", "left_semi").distinct().persist()
-    links = validation.edges(candidates).join(ids.select(F.col("id").alias("target")), "target", "left_semi").select("id", "target").distinct()
-    while True:  # as long as the longest chain of references among candidates
-        more = links.join(bad.select(F.col("id").alias("target")), "target", "left_semi").select("id").distinct().join(bad, "id", "left_anti").persist()
-        if more.isEmpty():
-            break
-        bad = bad.union(more).persist()
+    lost = known.filter("from_new and (to_new is null or (id = target and kind in ('superseded_by', 'supersedes')))").select("id")
+    back = edges.filter("kind = 'supersedes'").select(F.col("id").alias("target"), F.col("target").alias("id")).distinct()
+    unclosed = known.filter("kind = 'superseded_by' and to_new is not null").join(back, ["id", "target"], "left_anti")
+    # the candidate at either end is to blame; the one that points, if both are
+    blamed = unclosed.filter("from_new or to_new").select(F.when(F.col("from_new"), F.col("id")).otherwise(F.col("target")).alias("id"))
+    bad = reach.leading_to(known.filter("from_new and to_new"), own.union(lost).union(blamed).distinct())
     return candidates.select("id").join(bad.withColumn("bad", F.lit(True)), "id", "left").select("id", F.when(F.col("bad"), "rolled_back").otherwise("promoted").alias("outcome"))
 
 
