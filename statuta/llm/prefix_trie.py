@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 #: Turns at or below the top of a component that one task decomposes; more, the root of all turns, in larger tables.
-COMPONENT_TURNS = 20_000
+COMPONENT_TURNS = 2_000
 #: Rows of a running sum that one task takes in order, and ids that one row of members holds.
 STRETCH = 4096
 KEY = ["depth", "k1", "k2"]
