@@ -7,23 +7,29 @@ from pyspark.sql import functions as F
 
 from ..operators.diffing import merge_changes
 from ..sources import schemas
+from ..tables import missing
+from . import seen
 
 
-def first_seen(spark: SparkSession, landed: str, schema: str, table: str, checkpoint: str):
+def first_seen(spark: SparkSession, landed: str, schema: str, table: str, checkpoint: str, buckets: int = seen.BUCKETS):
     """Documents whose url no earlier batch had go to the table, each url once ever.
 
-    The table is the state: a batch that is run again overwrites its own folder.
+    The table is the state, in hash buckets: a batch reads the buckets of its own urls alone, and
+    of those only what their filters can't rule out. A batch that is run again replaces its own
+    folders. The number of buckets stays with the table.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        new = batch.groupBy("url").agg(F.min_by(F.struct(*batch.columns), "seq").alias("r")).select("r.*")
-        known = _known(spark, table, number)
-        if known is not None:
-            new = new.join(known.select(F.col("url").alias("seen")).distinct(), F.col("url").eqNullSafe(F.col("seen")), "left_anti").select(*batch.columns)
-        new.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        first = batch.groupBy("url").agg(F.min_by(F.struct(*batch.columns), "seq").alias("r")).select("r.*")
+        side = f"{checkpoint}/new-{number}"
+        first.withColumn("bucket", seen.bucket(F.col("url"), buckets)).write.mode("overwrite").parquet(side)
+        rows = spark.read.parquet(side)
+        fresh = f"{checkpoint}/fresh-{number}"
+        seen.new_rows(spark, rows, table, number).write.mode("overwrite").parquet(fresh)
+        seen.add(spark.read.schema(rows.schema).parquet(fresh), table, number)
 
     stream = spark.readStream.schema(schema).parquet(landed)
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()
 
 
 def append_ledger(spark: SparkSession, landed: str, ledger: str, checkpoint: str):
@@ -48,15 +54,6 @@ def change_files(spark: SparkSession, landed: str, table: str, problems: str, ch
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _known(spark: SparkSession, table: str, number: int) -> DataFrame | None:
-    try:
-        return spark.read.parquet(table).filter(F.col("batch") != number)
-    except Exception as e:  # before the first batch there is no table
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return None
-
-
 def upsert_changes(spark: SparkSession, landed: str, schema: str, table: str, checkpoint: str):
     """Landed changes merged into the feed day by day; days that a batch doesn't touch aren't rewritten."""
 
@@ -65,7 +62,7 @@ def upsert_changes(spark: SparkSession, landed: str, schema: str, table: str, ch
         try:
             before = spark.read.parquet(table).join(F.broadcast(days) if days.count() < 10_000 else days, "detected_on", "left_semi").select(*batch.columns)
         except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            if not missing(e):
                 raise
             before = batch.limit(0)
         latest = batch.groupBy("detected_on", "change_type", "policy_id", F.coalesce("url", F.lit("")).alias("url_key")).agg(F.max_by(F.struct(*batch.columns), "event_id").alias("r")).select("r.*")
