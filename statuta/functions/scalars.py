@@ -22,6 +22,7 @@ TITLE_SEPARATORS = ("_", "—", "-", "|", "－")
 CHINESE_NUMBER = "(?:[0-9]{1,2}|十?[一二三四五六七八九]|[一二三]?十[一二三四五六七八九]?)"
 EFFECTIVE_DATE = f"自\\s*([0-9]{{4}}|[〇零一二三四五六七八九]{{4}})\\s*年\\s*({CHINESE_NUMBER})\\s*月\\s*({CHINESE_NUMBER})\\s*日\\s*起?\\s*(?:施行|生效)"
 NEXT_CLAUSE = "第\\s*[0-9一二三四五六七八九十]+\\s*条"
+CLAUSE_HEAD = "(?:第\\s*(?:[0-9]+|[一二三四五六七八九十]+)\\s*条|（\\s*(?:[0-9]+|[一二三四五六七八九十]+)\\s*）)"
 DOC_NUMBER = "〔[^〕]*〕\\s*第?\\s*[0-9]+\\s*号?"
 TITLE_NOISE = "(\\[?附件[0-9]*\\]?|【.*?】|\\(.*?\\)|（.*?）)$"
 
@@ -217,11 +218,15 @@ def title_candidates(c: Column) -> Column:
     return F.array_distinct(F.filter(F.array(*forms), lambda x: x != ""))
 
 
+def clause_number(c: Column) -> Column:
+    """The number that a clause names: its first in digits, else its Chinese one; null if it has none."""
+    arabic = F.regexp_extract(c, "([0-9]+)", 1)
+    return F.when(arabic != "", arabic.try_cast("int")).otherwise(chinese_to_int(F.regexp_replace(c, r"(?U)[第条\s（）()]", "")))
+
+
 def clause_pattern(c: Column) -> Column:
     """A pattern for the clause in either script; null if the clause has no number."""
-    arabic = F.regexp_extract(c, "([0-9]+)", 1)
-    n = F.when(arabic != "", arabic.try_cast("int")).otherwise(chinese_to_int(F.regexp_replace(c, r"(?U)[第条\s（）()]", "")))
-    forms = bound(n, lambda k: F.when(k.isNotNull(), F.concat_ws("|", k.cast("string"), int_to_chinese(k))))
+    forms = bound(clause_number(c), lambda k: F.when(k.isNotNull(), F.concat_ws("|", k.cast("string"), int_to_chinese(k))))
     return bound(forms, lambda f: F.concat(F.lit("第\\s*(?:"), f, F.lit(")\\s*条|（\\s*(?:"), f, F.lit(")\\s*）")))
 
 

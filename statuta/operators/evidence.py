@@ -21,19 +21,40 @@ OPTION = "struct<key:string,kind:string,field:string,value:string,index:int>"
 
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity by longest matching blocks; the order of the arguments matters."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Similarity by longest matching blocks; the order of the arguments matters. Null for null."""
+    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
 def best_ratio(candidates: pd.Series, core: pd.Series) -> pd.Series:
-    return pd.Series([max((difflib.SequenceMatcher(None, c, core_).ratio() for c in cs), default=0.0) for cs, core_ in zip(candidates, core, strict=True)], dtype="float64")
+    return pd.Series([None if cs is None else max((difflib.SequenceMatcher(None, c, core_).ratio() for c in cs), default=0.0) for cs, core_ in zip(candidates, core, strict=True)], dtype="float64")
 
 
 # a filter over their results must not be moved below them
 ratio, best_ratio = ratio.asNondeterministic(), best_ratio.asNondeterministic()
 
 
+def ratio_bounds(a: Column, b: Column, threshold: float) -> tuple[Column, Column]:
+    """Whether the ratio is surely under the threshold, and whether it surely reaches it.
+
+    Matching blocks hold no more characters than the texts have in common, each character as
+    often as in the text that has it less often. And where b is too short for frequent
+    characters to be passed over, the longest block is as long as any stretch of a within b.
+    Both are exact; what neither decides is compared block by block.
+    """
+    sizes = F.length(a) + F.length(b)
+    times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    letters = F.array_distinct(F.filter(F.split(a, ""), lambda c: c != ""))
+    common = F.aggregate(letters, F.lit(0), lambda n, c: n + F.least(times(a, c), times(b, c)))
+    # 2 * common / sizes < threshold, with a margin for the rounding of the quotient
+    under = F.when(sizes > 0, 2.0 * F.least(F.length(a), F.length(b)) < threshold * sizes - 1e-6) | (F.when(sizes > 0, 2.0 * common < threshold * sizes - 1e-6))
+    need = F.ceil((threshold * sizes + 1e-6) / 2).cast("int")
+    starts = F.sequence(F.lit(1), F.length(a) - need + 1)
+    inside = F.when((need >= 1) & (need <= F.length(a)), F.exists(starts, lambda i: F.contains(b, F.substring(a, i, need))))
+    reaches = (F.length(b) < 200) & F.coalesce(inside, F.lit(False))
+    return F.coalesce(under, F.lit(False)), F.coalesce(reaches, F.lit(False))
+
+
 def option(key, kind, field=None, value=None, index=None) -> Column:
     lit = lambda x, t: x if isinstance(x, Column) else F.lit(x).cast(t)
     return F.struct(lit(key, "string").alias("key"), lit(kind, "string").alias("kind"), lit(field, "string").alias("field"), lit(value, "string").alias("value"), lit(index, "int").alias("index"))
@@ -71,18 +92,24 @@ def reachability(r: DataFrame) -> DataFrame:
     return rows.select("policy_id", F.lit(0).alias("pos"), F.lit("reachability").alias("check_id"), F.lit("reachability").alias("layer"), "f.status", "f.summary", F.array().cast("array<string>").alias("evidence"), ask.alias("options"))
 
 
-def titles(r: DataFrame) -> DataFrame:
-    """The page title against the record's. Only what containment leaves open is compared letter by letter."""
+def open_titles(r: DataFrame) -> DataFrame:
+    """Records with early, the outcome where containment tells, and open, the candidates that
+    only a comparison block by block can decide; null where none is left."""
     core = S.squash(F.col("title"))
     rows = r.select("policy_id", core.alias("core"), "page_title", F.transform(S.title_candidates(F.col("page_title")), S.squash).alias("candidates"), S.squash(F.col("body_text")).alias("body"), is_full_text().alias("full"))
     contained = F.coalesce((F.col("core") != "") & F.exists("candidates", lambda c: F.contains(c, F.col("core")) | ((c != "") & F.contains(F.col("core"), c))), F.lit(False))
-    first = F.when(F.col("page_title").isNull(), "manual").when(contained, "ok")
-    rows = rows.withColumn("early", first)
-    done = rows.filter("early is not null").withColumn("ratio", F.lit(None).cast("double")).withColumn("status", F.col("early"))
+    rows = rows.withColumn("early", F.when(F.col("page_title").isNull(), "manual").when(contained, "ok"))
+    near = F.filter("candidates", lambda c: ~ratio_bounds(c, F.col("core"), SIMILAR_TITLE)[0])
+    rows = rows.withColumn("near", F.when(F.col("early").isNull(), near))
+    return rows.withColumn("open", F.when(F.size("near") > 0, F.col("near"))).drop("near")
+
+
+def titles(r: DataFrame) -> DataFrame:
+    """The page title against the record's. What containment and bounds leave open is compared block by block."""
+    rows = open_titles(r).withColumn("ratio", best_ratio("open", "core"))
     in_body = F.coalesce((F.col("core") != "") & F.contains("body", F.col("core")), F.lit(False))
-    late = rows.filter("early is null").withColumn("ratio", best_ratio("candidates", "core"))
-    late = late.withColumn("status", F.when(F.col("ratio") >= SIMILAR_TITLE, "ok").when(in_body, "ok").when(~F.col("full"), "manual").otherwise("error"))
-    out = done.unionByName(late)
+    late = F.when(F.coalesce(F.col("ratio") >= SIMILAR_TITLE, F.lit(False)), "ok").when(in_body, "ok").when(~F.col("full"), "manual").otherwise("error")
+    out = rows.withColumn("status", F.coalesce("early", late))
     ask = F.when(F.col("status") != "ok", _options(option("confirm-title", "acknowledge", "title"))).otherwise(_options())
     return out.select("policy_id", F.lit(1).alias("pos"), F.lit("title").alias("check_id"), F.lit("title").alias("layer"), "status", F.concat(F.lit("title "), "status").alias("summary"), F.array_compact(F.array("page_title")).alias("evidence"), ask.alias("options"))
 
@@ -107,38 +134,86 @@ def dates(r: DataFrame) -> DataFrame:
     return rows.select("policy_id", F.lit(2).alias("pos"), F.lit("date").alias("check_id"), F.lit("date").alias("layer"), "f.status", "f.summary", F.coalesce("quotes", F.array().cast("array<string>")).alias("evidence"), ask.alias("options"))
 
 
+def clause_index(spaces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An inverted index of texts (policy_id, rank, text): where clauses stand, and the articles.
+
+    Each text is cut once at its articles' heads. articles: (policy_id, rank, article, at, body),
+    at being the 1-based place of the article in its text. heads: (policy_id, number, rank,
+    article, offset), the first place in a text of each clause number that stands there in one of
+    its two usual forms, arabic or Chinese, as an article's head or in full-width brackets.
+    """
+    cut = spaces.select("policy_id", "rank", F.posexplode(F.split(F.coalesce("text", F.lit("")), f"(?={S.NEXT_CLAUSE})", -1)).alias("article", "body"))
+    before = Window.partitionBy("policy_id", "rank").orderBy("article").rowsBetween(Window.unboundedPreceding, -1)
+    articles = cut.withColumn("at", F.coalesce(F.sum(F.length("body")).over(before), F.lit(0)) + 1)
+    parts = F.split(F.col("body"), f"(?={S.CLAUSE_HEAD})", -1)
+    marks = cut.select("policy_id", "rank", "article", F.posexplode(parts).alias("part", "piece"))
+    within = Window.partitionBy("policy_id", "rank", "article").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    marks = marks.withColumn("offset", F.coalesce(F.sum(F.length("piece")).over(within), F.lit(0)))
+    written_ = F.regexp_extract("piece", f"^{S.CLAUSE_HEAD}", 0)
+    text = F.regexp_replace(written_, r"[第条（）\s]", "")
+    marks = marks.select("policy_id", "rank", "article", "offset", text.alias("text"), S.number_to_int(text).alias("number")).filter((F.col("text") == F.col("number").cast("string")) | (F.col("text") == S.int_to_chinese(F.col("number"))))
+    heads = marks.groupBy("policy_id", "number", "rank").agg(F.min(F.struct("article", "offset")).alias("h")).select("policy_id", "number", "rank", "h.article", "h.offset")
+    return articles, heads
+
+
+def found_clauses(items: DataFrame, spaces: DataFrame) -> DataFrame:
+    """(policy_id, i, paragraph, rank) of items (policy_id, i, clause) whose clause stands in a text; the first text by rank counts.
+
+    A clause with a number is looked up in the index. One without is a literal, searched for in
+    the record's texts; its paragraph ends with the article that it stands in.
+    """
+    articles, heads = clause_index(spaces)
+    asked = items.withColumn("number", S.clause_number(F.col("clause")))
+    numbered = asked.filter("number is not null").join(heads, ["policy_id", "number"]).groupBy("policy_id", "i").agg(F.min(F.struct("rank", "article", "offset")).alias("h"))
+    hits = numbered.select("policy_id", "i", "h.rank", "h.article", "h.offset").join(articles.select("policy_id", "rank", "article", "body"), ["policy_id", "rank", "article"])
+    hits = hits.select("policy_id", "i", "rank", F.substring("body", F.col("offset").cast("int") + 1, F.length("body")).alias("paragraph"))
+    literal = asked.filter("number is null").join(spaces, "policy_id").withColumn("at", F.position(S.trimmed(F.col("clause")), F.col("text"))).filter("at > 0")
+    literal = literal.select("policy_id", "i", "rank", S.clause_paragraph(F.col("text"), F.col("at")).alias("paragraph")).groupBy("policy_id", "i").agg(F.min_by("paragraph", "rank").alias("paragraph"), F.min("rank").alias("rank"))
+    return hits.select("policy_id", "i", "paragraph", "rank").unionByName(literal)
+
+
 def obligations(r: DataFrame, spaces: DataFrame | None = None) -> DataFrame:
     """One check per obligation of r (key_obligations); records without obligations get one that is ok.
 
     spaces: texts of attachments (policy_id, rank from 1, status, text); the page is searched
-    first, then they in order, and the first text that has the clause counts.
+    first, then they in order, and the first text that has the clause counts. Of no clause, an
+    empty or null one is at the beginning of the first text.
     """
-    empty = r.filter(F.coalesce(F.size("key_obligations"), F.lit(0)) <= 0).select("policy_id", F.lit(0).alias("i"), F.lit("ok").alias("status"), F.lit("no obligations").alias("summary"), F.lit("obligations").alias("check_id"), F.lit(None).cast("string").alias("kind"))
-    rows = r.select("policy_id", F.coalesce("usable", F.lit(False)).alias("usable"), "body_text", is_full_text().alias("full"), F.posexplode("key_obligations").alias("i", "o")).select("policy_id", "i", "usable", "body_text", "full", "o.*")
-    text = F.array(F.struct(F.lit(0).alias("rank"), F.col("body_text").alias("text")))
-    if spaces is None:
-        rows = rows.withColumns({"n_spaces": F.lit(0), "n_texts": F.lit(0), "texts": text})
-    else:
-        got = spaces.groupBy("policy_id").agg(F.count(F.lit(1)).alias("n_spaces"), F.count_if(F.col("status") == "extracted").alias("n_texts"), F.array_sort(F.collect_list(F.when(F.col("status") == "extracted", F.struct("rank", "text")))).alias("more"))
-        rows = rows.join(got, "policy_id", "left").withColumns({"n_spaces": F.coalesce("n_spaces", F.lit(0)), "n_texts": F.coalesce("n_texts", F.lit(0)), "texts": F.concat(text, F.coalesce("more", F.array().cast("array<struct<rank:int,text:string>>")))}).drop("more")
-    at = F.transform("texts", lambda x: F.struct(S.clause_position(x["text"], F.col("clause")).alias("at"), x["text"].alias("text")))
-    rows = rows.withColumn("hit", F.get(F.filter(at, lambda x: x["at"] > 0), 0)).drop("texts", "body_text")
-    rows = rows.withColumn("paragraph", F.when(F.col("hit").isNotNull(), S.clause_paragraph(F.col("hit.text"), F.col("hit.at")))).drop("hit")
-    missing = F.when(F.col("n_texts") > 0, "error").when(F.col("n_spaces") > 0, "manual").when(~F.col("full"), "manual").otherwise("error")
-    early = F.when(~F.col("usable"), said("manual", "no usable text")).when(F.col("paragraph").isNull(), said(missing, "clause not found"))
-    rows = rows.withColumn("early", early)
-    done = rows.filter("early is not null").select("policy_id", "i", "early.status", "early.summary", F.lit(None).cast("string").alias("kind"))
-    late = rows.filter("early is null").withColumn("overlap", ratio("summary", "paragraph"))
-    soft, firm = S.any_word(F.col("paragraph"), S.SOFT_WORDS), S.any_word(F.col("paragraph"), S.MANDATORY_WORDS)
+    rows = open_obligations(r, spaces)
+    late = rows.withColumn("overlap", ratio(F.when(F.col("undecided"), F.col("summary")), F.when(F.col("undecided"), F.col("paragraph"))))
+    differ = F.col("under") | F.coalesce(F.col("overlap") < OVERLAP, F.lit(False))
     must = F.col("obligation_type").isin(*MANDATORY_TYPES)
-    drift = F.coalesce((soft & ~firm & must) | (firm & ~soft & (F.col("obligation_type") == "encouraged")), F.lit(False))
-    late = late.withColumn("f", F.when(F.col("overlap") < OVERLAP, said("error", "summary and clause differ")).when(drift, said("error", "modal words and type differ")).otherwise(said("ok", "clause found")))
-    late = late.select("policy_id", "i", "f.status", "f.summary", F.when(F.col("f.summary") == "modal words and type differ", F.when(must, "encouraged").otherwise("mandatory")).alias("kind"))
-    out = done.union(late).withColumn("check_id", F.concat(F.lit("obligation:"), F.col("i").cast("string"))).unionByName(empty)
+    finding = F.coalesce("early", F.when(differ, said("error", "summary and clause differ")).when(F.col("drift"), said("error", "modal words and type differ")).otherwise(said("ok", "clause found")))
+    out = late.withColumn("f", finding).select("policy_id", "i", "f.status", "f.summary", "check_id", F.when(F.col("f.summary") == "modal words and type differ", F.when(must, "encouraged").otherwise("mandatory")).alias("kind"), "paragraph")
     field = F.col("check_id")
     retype = option(F.concat(F.lit("to-"), F.col("kind")), "set-obligation-type", None, F.col("kind"), F.col("i"))
     ask = F.when(F.col("status") == "ok", _options()).when(F.col("kind").isNotNull(), _options(retype, option("keep-type", "acknowledge", field))).when(F.col("status") == "error", _options(option("confirm-clause", "acknowledge", field), option("drop-obligation", "drop-obligation", None, None, F.col("i")))).otherwise(_options(option("confirm-clause", "acknowledge", field)))
-    return out.select("policy_id", (F.col("i") + 3).alias("pos"), "check_id", F.lit("obligations").alias("layer"), "status", "summary", F.array().cast("array<string>").alias("evidence"), ask.alias("options"))
+    quote = F.array_compact(F.array(F.when(F.col("status") != "ok", F.col("paragraph"))))
+    return out.select("policy_id", (F.col("i") + 3).alias("pos"), "check_id", F.lit("obligations").alias("layer"), "status", "summary", quote.alias("evidence"), ask.alias("options"))
+
+
+def open_obligations(r: DataFrame, spaces: DataFrame | None = None) -> DataFrame:
+    """A row per obligation with early, the finding where no comparison is needed, under, where
+    summary and clause surely differ, and undecided, where only a comparison block by block tells."""
+    pages = r.select("policy_id", F.coalesce("usable", F.lit(False)).alias("usable"), is_full_text().alias("full"), F.posexplode_outer("key_obligations").alias("i", "o"))
+    rows = pages.select("policy_id", F.coalesce("i", F.lit(0)).alias("i"), F.col("i").isNull().alias("none"), "usable", "full", "o.*")
+    texts = r.select("policy_id", F.lit(0).alias("rank"), F.col("body_text").alias("text"))
+    if spaces is None:
+        rows = rows.withColumns({"n_spaces": F.lit(0), "n_texts": F.lit(0)})
+    else:
+        got = spaces.groupBy("policy_id").agg(F.count(F.lit(1)).alias("n_spaces"), F.count_if(F.col("status") == "extracted").alias("n_texts"))
+        rows = rows.join(got, "policy_id", "left").withColumns({"n_spaces": F.coalesce("n_spaces", F.lit(0)), "n_texts": F.coalesce("n_texts", F.lit(0))})
+        texts = texts.unionByName(spaces.filter("status = 'extracted'").select("policy_id", F.col("rank").cast("int").alias("rank"), "text"))
+    items = rows.filter("not none and usable").select("policy_id", "i", F.coalesce("clause", F.lit("")).alias("clause"))
+    rows = rows.join(found_clauses(items, texts), ["policy_id", "i"], "left")
+    missing = F.when(F.col("n_texts") > 0, "error").when(F.col("n_spaces") > 0, "manual").when(~F.col("full"), "manual").otherwise("error")
+    early = F.when(F.col("none"), said("ok", "no obligations")).when(~F.col("usable"), said("manual", "no usable text")).when(F.col("paragraph").isNull(), said(missing, "clause not found"))
+    soft, firm = S.any_word(F.col("paragraph"), S.SOFT_WORDS), S.any_word(F.col("paragraph"), S.MANDATORY_WORDS)
+    drift = F.coalesce((soft & ~firm & F.col("obligation_type").isin(*MANDATORY_TYPES)) | (firm & ~soft & (F.col("obligation_type") == "encouraged")), F.lit(False))
+    under, reaches = ratio_bounds(F.coalesce("summary", F.lit("")), F.coalesce("paragraph", F.lit("")), OVERLAP)
+    rows = rows.withColumns({"early": early, "drift": drift, "summary": F.coalesce("summary", F.lit("")), "check_id": F.when(F.col("none"), "obligations").otherwise(F.concat(F.lit("obligation:"), F.col("i").cast("string")))})
+    rows = rows.withColumns({"under": F.col("early").isNull() & under, "reaches": F.col("early").isNull() & reaches})
+    return rows.withColumn("undecided", F.col("early").isNull() & ~F.col("under") & ~F.col("reaches"))
 
 
 def checks(r: DataFrame, spaces: DataFrame | None = None) -> DataFrame:
