@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .diffing import VALID
@@ -56,13 +56,69 @@ def search_blob(p: DataFrame) -> Column:
 
 
 def search(p: DataFrame, query: str, **equal: str) -> DataFrame:
-    """Records that contain every word of the query and equal the given columns; an empty query finds all."""
-    out = p.withColumn("blob", search_blob(p))
+    """Records that contain every word of the query and equal the given columns; an empty query finds all. Reads every record."""
+    return _verified(p, query, equal)
+
+
+def _verified(p: DataFrame, query: str, equal: dict[str, str]) -> DataFrame:
+    out = p.withColumn("__blob", search_blob(p))
     for term in query.lower().split():
-        out = out.filter(F.contains("blob", F.lit(term)))
+        out = out.filter(F.contains("__blob", F.lit(term)))
     for column, value in equal.items():
         out = out.filter(F.col(column) == value)
-    return out.drop("blob")
+    return out.drop("__blob")
+
+
+GRAM, GRAM_BUCKETS = 3, 64
+#: Behind each text, so that its last letters are in grams too.
+PAD = "\x02\x03"
+
+
+def gram_bucket(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(GRAM_BUCKETS)).cast("int")
+
+
+def write_postings(p: DataFrame, folder: str) -> None:
+    """A posting table of the grams of three letters in every record's text, in folders by hash of
+    the gram, and the grams themselves in a second, small table."""
+    text = F.concat(F.coalesce(search_blob(p), F.lit("")), F.lit(PAD))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - GRAM + 1), lambda i: F.substring("t", i, F.lit(GRAM))))
+    rows = p.select("id", text.alias("t")).filter(F.length("t") >= GRAM).select("id", F.explode(grams).alias("gram")).withColumn("bucket", gram_bucket(F.col("gram")))
+    # a gram that most records have is dealt over several files of its bucket
+    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    rows.sparkSession.read.parquet(f"{folder}/postings").groupBy("gram", "bucket").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/grams")
+
+
+def search_postings(p: DataFrame, folder: str, query: str, **equal: str) -> DataFrame:
+    """What search() finds, by the postings of p's records that write_postings() wrote.
+
+    Of a word of three letters or more the rarest grams are looked up, each in its own folder; a
+    shorter word is looked up by all grams that hold it. The records that all words lead to are
+    compared with the query itself. Records without id aren't found.
+    """
+    spark, terms = p.sparkSession, list(dict.fromkeys(query.lower().split()))
+    if not terms:
+        return _verified(p, query, equal)
+    vocabulary, postings = spark.read.parquet(f"{folder}/grams"), spark.read.parquet(f"{folder}/postings")
+    found = None
+    for term in terms:
+        if len(term) >= GRAM:
+            grams = [term[i : i + GRAM] for i in range(len(term) - GRAM + 1)]
+            there = {r["gram"]: (r["n"], r["bucket"]) for r in vocabulary.filter(F.col("gram").isin(grams)).collect()}
+            if len(there) < len(set(grams)):
+                return p.limit(0)  # a gram that no record has
+            rare = sorted(there, key=there.get)[:RAREST]
+            buckets = sorted({there[g][1] for g in rare})
+            hits = postings.filter(F.col("bucket").isin(buckets) & F.col("gram").isin(rare)).groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(rare)).select("id")
+        else:
+            holding = vocabulary.filter(F.contains("gram", F.lit(term))).select("bucket", "gram")
+            hits = postings.join(holding, ["bucket", "gram"], "left_semi").select("id").distinct()
+        found = hits if found is None else found.join(hits, "id", "left_semi")
+    return _verified(p.join(found, "id", "left_semi"), query, equal)
+
+
+#: Grams of a word that are looked up.
+RAREST = 4
 
 
 def stats(p: DataFrame) -> DataFrame:
@@ -111,6 +167,38 @@ def version_as_of(v: DataFrame, day: str) -> DataFrame:
     return on.groupBy("id").agg(F.max_by(F.struct("version", "status", "effective_from"), "version").alias("v")).select("id", "v.*")
 
 
+def version_spans(v: DataFrame) -> DataFrame:
+    """(id, day, applies) for each day on which what applies to a record changes: the version from then on, null for none.
+
+    v: (id, versions). Of versions that apply on a day the one with the greatest number counts, of
+    equal numbers the one in force later. Versions of a record are a short list.
+    """
+    rows = v.select("id", F.filter("versions", lambda x: x["effective_from"].isNotNull()).alias("versions"))
+    days = F.array_sort(F.array_distinct(F.concat(F.transform("versions", lambda x: x["effective_from"]), F.array_compact(F.transform("versions", lambda x: x["effective_until"])))))
+    rows = rows.select("id", "versions", F.explode(days).alias("day"))
+    on = F.filter("versions", lambda x: (x["effective_from"] <= F.col("day")) & (x["effective_until"].isNull() | (x["effective_until"] > F.col("day"))))
+    best = F.array_max(F.transform(on, lambda x: F.struct(x["version"].alias("version"), x["effective_from"].alias("effective_from"), x["status"].alias("status"))))
+    return rows.select("id", "day", best.alias("applies"))
+
+
+def versions_as_of(v: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests (id, day, ...) with the version that applied to each record on each day: version, status, since.
+
+    Null where none applied, the record is unknown, or id or day is null. An as-of join: the
+    changes of each record and the days asked for lie in one order, and each day takes the last
+    change before or on it. A record's days are asked for once, however many requests name them,
+    so no more rows of a record come together than there are days.
+    """
+    asked = requests.select("id", "day").filter("id is not null and day is not null").distinct()
+    changes = version_spans(v).select("id", "day", F.struct("applies").alias("change"))
+    both = changes.unionByName(asked.withColumn("change", F.lit(None).cast(changes.schema["change"].dataType)))
+    # on one day the change comes first
+    order = Window.partitionBy("id").orderBy("day", F.col("change").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    known = both.withColumn("last", F.last("change", ignorenulls=True).over(order)).filter("change is null")
+    known = known.select("id", "day", F.col("last.applies.version").alias("version"), F.col("last.applies.status").alias("status"), F.col("last.applies.effective_from").alias("since"))
+    return requests.join(known, ["id", "day"], "left")
+
+
 def relations(p: DataFrame, e: DataFrame) -> DataFrame:
     """Relation edges with the title of the record they point to, null if there is none."""
     return e.join(p.select(F.col("id").alias("target"), F.col("title").alias("target_title")), "target", "left").select("id", "kind", "target", "target_title")

@@ -9,11 +9,7 @@ from ..operators import catalog, cleaning, diffing, enforcement, evidence, promo
 from ..sources import html, records
 from ..streaming import feeds
 from . import frames as fr
-from .queries import CHG, ORACLE_SQL, P, _folder, _with_versions, change, old_policy, policy, query
-
-
-def _table(spark, sf, name):
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+from .queries import CHG, ORACLE_SQL, P, _folder, _table, _with_versions, change, old_policy, policy, query
 
 
 # ---- catalog and cleaning ------------------------------------------------------------------

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import catalog, cleaning, diffing, enforcement, evidence, promotion, validation
 from ..sources import html, listing
 from ..streaming import feeds
+from ..tables import shared_folder
 from . import frames as fr
 
 QUERIES: dict = {}
@@ -30,6 +26,10 @@ def query(sql: str | None = None):
     return add
 
 
+def _table(spark, sf, name):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
 def frame(name: str, *more):
     return lambda spark, sf: fr.load(spark, sf, getattr(fr, name)(fr.Spark, *more))
 
@@ -346,9 +346,12 @@ def catalog_list(spark, sf):
     return out.select("id", "title", "issuer", "status", "effective_from", "ai_relevance", F.array_join("topics", ",").alias("topics"), "url")
 
 
-@query(f"with p as ({P}), b as (select *, lower(concat_ws(' ', title, issuer, issuer_code, array_to_string(summaries, ' '), array_to_string(topics, ' '), array_to_string(domain, ' '))) as blob from p) select id from b where contains(blob, 'urgent') and contains(blob, 'file 3') is not null and contains(blob, 'disclosure') and status = 'effective'")
+@query(f"with p as ({P}), b as (select *, lower(concat_ws(' ', title, issuer, issuer_code, array_to_string(summaries, ' '), array_to_string(topics, ' '), array_to_string(domain, ' '))) as blob from p) select id from b where contains(blob, 'urgent') and contains(blob, 'disclosure') and contains(blob, '3') and status = 'effective'")
 def catalog_search(spark, sf):
-    return catalog.search(policy(spark, sf), " Urgent  DISCLOSURE ", status="effective").select("id")
+    """A search by postings, one of its words being a single letter."""
+    folder = shared_folder(spark, "search")
+    catalog.write_postings(policy(spark, sf), folder)
+    return catalog.search_postings(policy(spark, sf), folder, " Urgent  DISCLOSURE 3 ", status="effective").select("id")
 
 
 @query(f"with p as ({P}) select count(*) as total, count(*) filter ({VALID}) as currently_valid, count(distinct issuer_code) as issuers, count(*) filter (status = 'unknown') as unknown_status from p")
@@ -467,7 +470,11 @@ def note_contradictions(spark, sf):
     return policy(spark, sf).select("id", S.unconfirmed_sentence(F.col("verified_note")).alias("sentence")).filter("sentence is not null")
 
 
-@query()
+# page titles of the frame differ from the record's in one number at most: too far apart for similar titles
+TITLES_SQL = f"select policy_id, case when page_title is null then 'manual' when contains(replace(page_title, '_', ''), title) or contains(title, split_part(page_title, '_', 1)) then 'ok' when contains(regexp_replace(body_text, '[^\\p{{L}}\\p{{N}}]', '', 'g'), title) then 'ok' else 'manual' end as status from r"
+
+
+@query(f"with r as ({EVI}) {TITLES_SQL}")
 def check_titles(spark, sf):
     return evidence.titles(evidence_pages(spark, sf)).select("policy_id", "status")
 
@@ -478,17 +485,25 @@ def _records(spark, sf):
     return evidence_pages(spark, sf).withColumn("key_obligations", F.expr(f"case when k % 37 = 0 then array() else {o} end"))
 
 
-@query()
+OBLIGATIONS_SQL = f"""select policy_id, 'obligations' as check_id, 'ok' as status, 'no obligations' as summary from r where k % 37 = 0
+ union all select policy_id, 'obligation:0', case when not usable then 'manual' when k % 9 = 0 then 'error' else 'ok' end, case when not usable then 'no usable text' when k % 9 = 0 then 'modal words and type differ' else 'clause found' end from r where k % 37 <> 0
+ union all select policy_id, 'obligation:1', case when not usable or not {FULL} then 'manual' else 'error' end, case when not usable then 'no usable text' else 'clause not found' end from r where k % 37 <> 0"""
+
+
+@query(f"with r as ({EVI}) {OBLIGATIONS_SQL}")
 def check_obligations(spark, sf):
     return evidence.obligations(_records(spark, sf)).select("policy_id", "check_id", "status", "summary")
 
 
-@query()
+ALL_CHECKS = f"""with r as ({EVI}), t as ({TITLES_SQL}), o as ({OBLIGATIONS_SQL}), c as (select policy_id, status from t union all select policy_id, status from o union all select policy_id, status from ({ORACLE_SQL['check_reachability']}) union all select policy_id, status from ({ORACLE_SQL['check_dates']}))"""
+
+
+@query(ALL_CHECKS + " select policy_id, count(*) filter (status = 'ok') as n_ok, count(*) filter (status = 'warning') as n_warning, count(*) filter (status = 'error') as n_error, count(*) filter (status = 'manual') as n_manual, bool_and(status = 'ok') as all_green from c group by 1")
 def evidence_counts(spark, sf):
     return evidence.counts(evidence.checks(_records(spark, sf)))
 
 
-@query()
+@query(ALL_CHECKS + " select policy_id, cast(count(*) as int) as n_checks, count(*) filter (status <> 'ok') as pending_count from c group by 1")
 def evidence_cards(spark, sf):
     return evidence.cards(evidence.checks(_records(spark, sf))).select("policy_id", F.size("checks").alias("n_checks"), "pending_count")
 
@@ -584,17 +599,8 @@ def html_list_docs(spark, sf):
 
 
 # ---- streams -----------------------------------------------------------------------------
-_OWN: dict[str, str] = {}
-
-
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get("dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = _OWN["dir"] = tempfile.mkdtemp(prefix="spark-statuta-", dir="/tmp")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 @query(f"with raw as ({RAW}) select url, min(seq) as seq from raw group by 1")
