@@ -102,8 +102,3 @@ def pending_count(changes: DataFrame, recorded: DataFrame) -> DataFrame:
 
 def latest_day(changes: DataFrame) -> DataFrame:
     return changes.agg(F.max("detected_on").alias("latest_day"))
-
-
-def history(days: DataFrame) -> DataFrame:
-    """Change documents (detected_on, changes) flattened, newest day first; a day without changes keeps a row."""
-    return days.select("detected_on", F.explode_outer("changes").alias("c")).select("detected_on", "c.*").orderBy(F.desc("detected_on"), "policy_id")

@@ -55,11 +55,6 @@ def load_change_days(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return rows, days.filter(~F.coalesce(readable, F.lit(False))).select("file", F.lit("unreadable").alias("error"))
 
 
-def write_day_merge(merged: DataFrame, path: str) -> None:
-    """Rewrites the days that occur in merged, and no others."""
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("detected_on").parquet(path)
-
-
 def append_ledger(rows: DataFrame, path: str) -> None:
     rows.withColumn("day", F.substring("ts", 1, 10)).write.mode("append").partitionBy("day").json(path)
 
@@ -76,8 +71,3 @@ def write_records(records: DataFrame, path: str) -> None:
 def persist_cards(cards: DataFrame, path: str, day: str) -> None:
     """Cards added to those kept, with the day; a roll-back removes none."""
     cards.withColumn("promoted_on", F.lit(day)).write.mode("append").partitionBy("promoted_on").json(path)
-
-
-def write_site(policies: DataFrame, changes: DataFrame, path: str) -> None:
-    policies.write.mode("overwrite").json(f"{path}/policies")
-    changes.write.mode("overwrite").json(f"{path}/changes")
