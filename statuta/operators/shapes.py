@@ -1,4 +1,4 @@
-"""Shape checks compiled from schema documents: a table of predicates on a JSON column, made at plan time."""
+"""Shape checks compiled from schema documents: predicates on a JSON column, made at plan time."""
 
 from __future__ import annotations
 
@@ -7,70 +7,74 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Rule = tuple[str, Callable[[Column], Column]]
-#: What the types of values are called by schema_of_variant.
-TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|FLOAT|DECIMAL.*)", "boolean": "BOOLEAN", "null": "VOID", "object": "OBJECT<.*>", "array": "ARRAY<.*>"}
+#: What schema_of_variant calls the types of values; whole numbers are numbers too.
+TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL"), "boolean": ("BOOLEAN",), "null": ("VOID",), "object": ("OBJECT",), "array": ("ARRAY",)}
 KEYWORDS = {"type", "required", "properties", "additionalProperties", "enum", "pattern", "minLength", "maxLength", "minimum", "items", "minItems", "uniqueItems"}
 
 
-def rules(document: dict, path: str = "") -> Iterator[Rule]:
-    """(path:keyword, predicate on a VARIANT) of every keyword; a predicate is true where the value breaks it.
+def _kind(v: Column) -> Column:
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
-    Values that are absent break nothing but required. A value of another type breaks type
-    alone. In a list (`[]` in the path) one element that breaks a rule is enough. A keyword that
-    isn't known raises ValueError.
-    """
+
+def _elements(v: Column, kind: Column) -> Column:
+    return F.when(kind == "ARRAY", F.try_variant_get(v, "$", "array<variant>"))
+
+
+def _own_rules(document: dict, path: str) -> Iterator[tuple[str, Callable[[Column, Column], Column]]]:
+    """(path:keyword, predicate on a VARIANT and its kind) of the keywords that look at a value itself; true where it breaks the keyword."""
     if unknown := set(document) - KEYWORDS:
         raise ValueError(f"{path or 'the document'} uses {sorted(unknown)}")
-    at = path or "record"
-    kinds = document.get("type", [])
-    kinds = [kinds] if isinstance(kinds, str) else kinds
-    schema = lambda v: F.schema_of_variant(v)
-    is_a = lambda v, kind: schema(v).rlike(f"^{TYPES[kind]}$")
-    as_text = lambda v: F.when(is_a(v, "string"), F.try_variant_get(v, "$", "string"))
-    elements = lambda v: F.when(is_a(v, "array"), F.try_variant_get(v, "$", "array<variant>"))
-    keys = lambda v: F.when(is_a(v, "object"), F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")))
+    at, d = path or "record", document
+    kinds = [d["type"]] if isinstance(d.get("type"), str) else d.get("type", [])
+    text = lambda v, k: F.when(k == "STRING", F.try_variant_get(v, "$", "string"))
+    number = lambda v, k: F.when(k.isin(*TYPES["number"]), F.try_variant_get(v, "$", "double"))
+    keys = lambda v, k: F.when(k == "OBJECT", F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")))
     if kinds:
-        yield f"{at}:type", lambda v: ~schema(v).rlike(f"^({'|'.join(TYPES[k] for k in kinds)})$")
-    if "enum" in document:
-        values = [x for x in document["enum"] if x is not None]
-        yield f"{at}:enum", lambda v: ~as_text(v).isin(*values)
-    if "pattern" in document:
-        yield f"{at}:pattern", lambda v: ~as_text(v).rlike(document["pattern"])
-    if "minLength" in document:
-        yield f"{at}:minLength", lambda v: F.length(as_text(v)) < document["minLength"]
-    if "maxLength" in document:
-        yield f"{at}:maxLength", lambda v: F.length(as_text(v)) > document["maxLength"]
-    if "minimum" in document:
-        yield f"{at}:minimum", lambda v: F.when(is_a(v, "number"), F.try_variant_get(v, "$", "double")) < document["minimum"]
-    if "minItems" in document:
-        yield f"{at}:minItems", lambda v: F.size(elements(v)) < document["minItems"]
-    if document.get("uniqueItems"):
-        yield f"{at}:uniqueItems", lambda v: F.size(elements(v)) != F.size(F.array_distinct(F.transform(elements(v), lambda x: F.concat(schema(x), F.coalesce(F.to_json(x), F.lit(""))))))
-    for name in document.get("required", []):
-        yield f"{path + '.' if path else ''}{name}:required", _lacks(keys, name)
-    if document.get("additionalProperties") is False:
-        allowed = F.array(*map(F.lit, document.get("properties", {})))
-        yield f"{at}:additionalProperties", lambda v: F.size(F.array_except(keys(v), allowed)) > 0
-    for name, inner in document.get("properties", {}).items():
-        for rule, broken in rules(inner, f"{path + '.' if path else ''}{name}"):
-            yield rule, _of_child(name, broken)
-    if "items" in document:
-        for rule, broken in rules(document["items"], f"{path}[]"):
-            yield rule, _of_elements(elements, broken)
-
-
-def _lacks(keys: Callable, name: str) -> Callable[[Column], Column]:
-    return lambda v: ~F.array_contains(keys(v), name)
-
-
-def _of_child(name: str, broken: Callable) -> Callable[[Column], Column]:
-    # a JSON null is a value; what isn't there is no value
-    return lambda v: broken(F.try_variant_get(v, f"$['{name}']", "variant"))
-
-
-def _of_elements(elements: Callable, broken: Callable) -> Callable[[Column], Column]:
-    return lambda v: F.exists(elements(v), lambda x: F.coalesce(broken(x), F.lit(False)))
+        yield f"{at}:type", lambda v, k: ~k.isin(*[t for kind in kinds for t in TYPES[kind]])
+    if "enum" in d:
+        yield f"{at}:enum", lambda v, k: ~text(v, k).isin(*[x for x in d["enum"] if x is not None])
+    if "pattern" in d:
+        yield f"{at}:pattern", lambda v, k: ~text(v, k).rlike(d["pattern"])
+    if "minLength" in d:
+        yield f"{at}:minLength", lambda v, k: F.length(text(v, k)) < d["minLength"]
+    if "maxLength" in d:
+        yield f"{at}:maxLength", lambda v, k: F.length(text(v, k)) > d["maxLength"]
+    if "minimum" in d:
+        yield f"{at}:minimum", lambda v, k: number(v, k) < d["minimum"]
+    if "minItems" in d:
+        yield f"{at}:minItems", lambda v, k: F.size(_elements(v, k)) < d["minItems"]
+    if d.get("uniqueItems"):
+        same = lambda x: F.concat(_kind(x), F.coalesce(F.to_json(x), F.lit("")))
+        yield f"{at}:uniqueItems", lambda v, k: F.size(_elements(v, k)) != F.size(F.array_distinct(F.transform(_elements(v, k), same)))
+    if d.get("additionalProperties") is False:
+        yield f"{at}:additionalProperties", lambda v, k: F.size(F.array_except(keys(v, k), F.array(*map(F.lit, d.get("properties", {}))))) > 0
+
+
+def findings(document: dict, path: str = "") -> Callable[[Column], Column]:
+    """A function from a VARIANT to the list of `path:keyword` that it breaks.
+
+    Values that are absent break nothing but required; a JSON null is a value. A value of
+    another type breaks type alone. In a list (`[]` in the path) one element that breaks a rule
+    is enough, and the rule is named once. A keyword that isn't known raises ValueError.
+    """
+    own, fields = list(_own_rules(document, path)), document.get("properties", {})
+    below = f"{path}." if path else ""
+    inner = {name: findings(part, below + name) for name, part in fields.items()}
+    each = findings(document["items"], f"{path}[]") if "items" in document else None
+    child = lambda v, name: F.try_variant_get(v, f"$['{name}']", "variant")
+
+    def of(x: Column) -> Column:
+        v, k = x["v"], x["k"]
+        lacks = [F.when((k == "OBJECT") & child(v, name).isNull(), F.lit(f"{below}{name}:required")) for name in document.get("required", [])]
+        parts = [F.array_compact(F.array(*[F.when(broken(v, k), F.lit(rule)) for rule, broken in own], *lacks))]
+        parts += [found(child(v, name)) for name, found in inner.items()]
+        if each:
+            parts.append(F.array_distinct(F.flatten(F.transform(F.coalesce(_elements(v, k), F.array().cast("array<variant>")), each))))
+        return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+    # the value and its kind are taken once, however many rules look at them
+    once = lambda v: F.filter(F.array(F.struct(v.alias("v"), _kind(v).alias("k"))), lambda x: x["v"].isNotNull())
+    return lambda v: F.flatten(F.transform(once(v), of))
 
 
 def shape_findings(rows: DataFrame, raw: str, document: dict, key: str = "id") -> DataFrame:
@@ -80,12 +84,12 @@ def shape_findings(rows: DataFrame, raw: str, document: dict, key: str = "id") -
     `record:unreadable`; so does a null one.
     """
     parsed = rows.select(F.col(key).cast("string").alias("record_id"), F.try_parse_json(F.col(raw)).alias("v"))
-    readable = F.coalesce(F.schema_of_variant("v").rlike("^OBJECT<"), F.lit(False))
-    found = F.array_compact(F.array(*[F.when(broken(F.col("v")), F.lit(rule)) for rule, broken in rules(document)]))
-    found = F.when(readable, found).otherwise(F.array(F.lit("record:unreadable")))
-    return parsed.select("record_id", F.explode(found).alias("rule")).withColumn("severity", F.lit("error"))
+    readable = F.coalesce(_kind(F.col("v")) == "OBJECT", F.lit(False))
+    found = F.when(readable, findings(document)(F.col("v"))).otherwise(F.array(F.lit("record:unreadable")))
+    # explode() would have the list made again for a filter on its size
+    return parsed.select("record_id", F.explode_outer(found).alias("rule")).filter("rule is not null").withColumn("severity", F.lit("error"))
 
 
-def well_formed(rows: DataFrame, findings: DataFrame, key: str = "id") -> DataFrame:
+def well_formed(rows: DataFrame, found: DataFrame, key: str = "id") -> DataFrame:
     """The rows without a finding, which alone go on to the rules of meaning."""
-    return rows.join(findings.select(F.col("record_id").alias(key)).distinct(), key, "left_anti")
+    return rows.join(found.select(F.col("record_id").alias(key)).distinct(), key, "left_anti")

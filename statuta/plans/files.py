@@ -50,18 +50,18 @@ def change_day_files(spark, sf):
 
 # ---- shapes ----------------------------------------------------------------------------------
 RAW = {
-    "id": "ord-{k}", "title": "Rules no {k}", "issuer": "Issuer", "jurisdiction": "CN", "instrument_type": "法律", "bindingness": "binding", "ai_relevance": "core", "domain": ["金融"], "status": "effective", "published_on": "2026-01-02", "last_verified": "2026-01-02", "verified_by": "human",
+    "id": "order-{k}", "title": "Rules no {k}", "issuer": "Issuer", "jurisdiction": "CN", "instrument_type": "法律", "bindingness": "binding", "ai_relevance": "core", "domain": ["金融"], "status": "effective", "published_on": "2026-01-02", "last_verified": "2026-01-02", "verified_by": "human",
     "source": {"url": "http://a.b", "site": "a.b", "tier": "primary", "fetched_at": "2026-01-02T03:04:05Z"}, "versions": [{"version": 1, "published_on": "2026-01-02", "status": "effective", "url": "http://a.b"}], "key_obligations": [{"clause": "1", "summary": "must file"}],
 }
 # what is changed in every so-many-th record, by the path of the field, and the rules that this breaks
 BROKEN = [
     ({}, ()),
-    ({"id": "Ord_{k}"}, ("id:pattern",)),
-    ({"id": "o-1"}, ("id:minLength",)),
+    ({"id": "Order_{k}"}, ("id:pattern",)),
+    ({"issuer_code": "9"}, ("issuer_code:pattern",)),
     ({"title": "x" * 301, "issuer": "y"}, ("title:maxLength", "issuer:minLength")),
     ({"title": None, "published_on": 20260102}, ("title:type", "published_on:type")),
     ({"status": "gone", "bindingness": "", "jurisdiction": "US"}, ("status:enum", "bindingness:enum", "jurisdiction:enum")),
-    ({"issuer": ..., "source": ...}, ("issuer:required", "source:required")),
+    ({"id": "a-b", "issuer": ..., "source": ...}, ("id:minLength", "issuer:required", "source:required")),
     ({"more": 1, "source.more": 1}, ("record:additionalProperties", "source:additionalProperties")),
     ({"domain": []}, ("domain:minItems",)),
     ({"domain": ["金融", "金融"], "topics": ["disclosure", "none"]}, ("domain:uniqueItems", "topics[]:enum")),

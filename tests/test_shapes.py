@@ -58,4 +58,4 @@ def test_findings(spark):
 
 def test_an_unknown_keyword_is_an_error():
     with pytest.raises(ValueError):
-        list(shapes.rules({"type": "object", "properties": {"a": {"type": "string", "oneOf": []}}}))
+        shapes.findings({"type": "object", "properties": {"a": {"type": "string", "oneOf": []}}})
