@@ -159,6 +159,12 @@ def latest_version(v: DataFrame) -> DataFrame:
     return v.select("id", F.array_max(F.transform("versions", lambda x: x["version"])).alias("latest_version"), F.size("versions").alias("n_versions"))
 
 
+def record_counts(p: DataFrame) -> DataFrame:
+    """Per record its obligations and versions, 0 for none, with the labels of its binding force and of its obligations' types."""
+    types = F.array_sort(F.array_distinct(F.transform(F.coalesce("key_obligations.obligation_type", F.array().cast("array<string>")), lambda t: F.coalesce(label(t, OBLIGATION_LABELS), F.lit("未分类")))))
+    return p.select("id", F.greatest(F.coalesce(F.size("key_obligations"), F.lit(0)), F.lit(0)).alias("n_obligations"), F.greatest(F.coalesce(F.size("versions"), F.lit(0)), F.lit(0)).alias("n_versions"), label(F.col("bindingness"), BINDING_LABELS).alias("binding_label"), types.alias("type_labels"))
+
+
 def version_as_of(v: DataFrame, day: str) -> DataFrame:
     """The version of each record that applied on a day: in force from no later, until after it or open; of several the latest."""
     d = F.lit(day).cast("date")

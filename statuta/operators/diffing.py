@@ -85,9 +85,18 @@ def merge_outcome(previous: DataFrame, incoming: DataFrame) -> DataFrame:
     return out.select("detected_on", (F.col("incoming") + F.col("kept")).alias("total"), (F.col("incoming") - F.col("replaced")).alias("added"), "replaced", "kept")
 
 
-def day_headers(merged: DataFrame) -> DataFrame:
-    """Per day the counts of its rows, made anew from the rows."""
-    return merged.groupBy("detected_on").agg(F.count(F.lit(1)).alias("change_count"), F.count_if(F.col("significance") == "high").alias("high_significance_count"), F.count_if(F.col("kept")).alias("merged_from_previous"))
+def day_headers(merged: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Per day the counts of its rows, made anew from the rows.
+
+    runs: (detected_on, ran_at, policies_scanned, failed_sources); a day then has these of its
+    last run too, and a day whose run found nothing has a header of its own.
+    """
+    out = merged.groupBy("detected_on").agg(F.count(F.lit(1)).alias("change_count"), F.count_if(F.col("significance") == "high").alias("high_significance_count"), F.count_if(F.col("kept")).alias("merged_from_previous"))
+    if runs is None:
+        return out
+    last = runs.groupBy("detected_on").agg(F.max_by(F.struct("policies_scanned", F.array_sort(F.coalesce("failed_sources", F.array().cast("array<string>"))).alias("failed_sources")), "ran_at").alias("r"))
+    both = out.join(last, "detected_on", "full").select("detected_on", *[F.coalesce(c, F.lit(0)).alias(c) for c in out.columns[1:]], "r.policies_scanned", "r.failed_sources")
+    return both.withColumn("merged_from_previous", F.when(F.col("merged_from_previous") > 0, F.col("merged_from_previous")))
 
 
 def change_counts(changes: DataFrame) -> DataFrame:

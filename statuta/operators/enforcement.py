@@ -70,3 +70,9 @@ def coverage(e: DataFrame, p: DataFrame) -> DataFrame:
     per_policy = p.select("id").join(cited, F.col("id") == F.col("policy_id"), "left").select("id", F.coalesce("penalties", F.lit(0)).alias("penalties"))
     free = e.filter(F.coalesce(F.size("related_policies"), F.lit(0)) <= 0).agg(F.count(F.lit(1)).alias("penalties")).select(F.lit(None).cast("string").alias("id"), "penalties")
     return per_policy.union(free)
+
+
+def unpenalized_obligations(e: DataFrame, p: DataFrame) -> DataFrame:
+    """Obligations (id, clause, obligation_type) of the policies that no penalty cites."""
+    cited = e.select(F.explode("related_policies").alias("id")).distinct()
+    return p.join(cited, "id", "left_anti").select("id", F.inline("key_obligations")).select("id", "clause", "obligation_type")

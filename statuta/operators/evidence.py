@@ -15,8 +15,9 @@ from ..functions import scalars as S
 
 SIMILAR_TITLE, OVERLAP = 0.9, 0.12
 LEAST_BODY = 200
+# fixed values: obligation types that bind
 MANDATORY_TYPES = ("mandatory", "prohibition", "requires-approval", "requires-reporting", "requires-recordkeeping", "requires-assessment")
-OPTION = "struct<key:string,kind:string,field:string,value:string,index:int>"
+OPTION = "struct<key:string,label:string,kind:string,field:string,value:string,index:int>"
 
 
 @F.pandas_udf(T.DoubleType())
@@ -56,8 +57,10 @@ def ratio_bounds(a: Column, b: Column, threshold: float) -> tuple[Column, Column
 
 
 def option(key, kind, field=None, value=None, index=None) -> Column:
+    """A choice of a check, and the action that it stands for. Its label says the key in words."""
     lit = lambda x, t: x if isinstance(x, Column) else F.lit(x).cast(t)
-    return F.struct(lit(key, "string").alias("key"), lit(kind, "string").alias("kind"), lit(field, "string").alias("field"), lit(value, "string").alias("value"), lit(index, "int").alias("index"))
+    label = F.translate(lit(key, "string"), ":", " ")
+    return F.struct(lit(key, "string").alias("key"), label.alias("label"), lit(kind, "string").alias("kind"), lit(field, "string").alias("field"), lit(value, "string").alias("value"), lit(index, "int").alias("index"))
 
 
 def said(status, summary) -> Column:
@@ -221,17 +224,25 @@ def checks(r: DataFrame, spaces: DataFrame | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, [reachability(r), titles(r), dates(r), obligations(r, spaces)])
 
 
-def cards(all_checks: DataFrame) -> DataFrame:
-    """Per record its checks in order and the count that is pending."""
+def cards(all_checks: DataFrame, attachments: DataFrame | None = None) -> DataFrame:
+    """Per record its checks in order, the count that is pending, and the attachments that were tried.
+
+    attachments: (policy_id, rank, href, status, reason) of any number a record; in rank order.
+    """
     one = F.struct("pos", "check_id", "layer", "status", "summary", "evidence", "options")
-    return all_checks.groupBy("policy_id").agg(F.array_sort(F.collect_list(one), lambda a, b: (a["pos"] - b["pos"]).cast("int")).alias("checks"), F.count_if(F.col("status") != "ok").alias("pending_count"))
+    out = all_checks.groupBy("policy_id").agg(F.array_sort(F.collect_list(one), lambda a, b: (a["pos"] - b["pos"]).cast("int")).alias("checks"), F.count_if(F.col("status") != "ok").alias("pending_count"))
+    if attachments is None:
+        return out
+    found = attachments.groupBy("policy_id").agg(F.array_sort(F.collect_list(F.struct("rank", "href", "status", "reason"))).alias("attachments"))
+    none = F.array().cast(found.schema["attachments"].dataType)
+    return out.join(found, "policy_id", "left").withColumn("attachments", F.coalesce("attachments", none))
 
 
-def cards_kept(all_checks: DataFrame, records: DataFrame) -> DataFrame:
+def cards_kept(all_checks: DataFrame, records: DataFrame, attachments: DataFrame | None = None) -> DataFrame:
     """Cards of all records: one that no check came from has a single manual row, `evidence-failure`."""
     none = records.select("policy_id").distinct().join(all_checks.select("policy_id").distinct(), "policy_id", "left_anti")
     failed = none.select("policy_id", F.lit(0).alias("pos"), F.lit("evidence-failure").alias("check_id"), F.lit("evidence").alias("layer"), F.lit("manual").alias("status"), F.lit("no check could be made").alias("summary"), F.array().cast("array<string>").alias("evidence"), _options().alias("options"))
-    return cards(all_checks.unionByName(failed))
+    return cards(all_checks.unionByName(failed), attachments)
 
 
 def joined_pages(records: DataFrame, pages: DataFrame, attachments: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..sources import schemas
 from ..tables import written
 from . import reach, validation
 
@@ -35,23 +37,70 @@ def gate(drafts: DataFrame, checks: DataFrame, decisions: DataFrame, published:
     return out.select("policy_id", F.coalesce("open", F.lit(0)).alias("open_checks"), outcome.alias("outcome"))
 
 
-def apply_decisions(drafts: DataFrame, decided: DataFrame, day: str, mode: str = "human") -> DataFrame:
-    """Drafts with their decisions applied: date set or cleared, obligation types set, obligations
-    dropped by index (out of range: nothing), then stamped. decided: valid decisions with action."""
-    a = decided.groupBy(F.col("policy_id").alias("id")).agg(
-        F.max(F.when((F.col("action.kind") == "set-field") & (F.col("action.field") == "effective_from"), F.struct("ts", F.coalesce("action.value", F.lit("")).alias("value")))).alias("date"),
-        F.collect_set(F.when(F.col("action.kind") == "drop-obligation", F.col("action.index"))).alias("drops"),
-        F.array_sort(F.collect_list(F.when(F.col("action.kind") == "set-obligation-type", F.struct("ts", F.col("action.index").alias("i"), F.col("action.value").alias("value"))))).alias("types"),
-        F.array_sort(F.collect_list(F.struct("check_id", "option_key"))).alias("made"),
+NO_DECISIONS = "array<struct<ts:string,check_id:string,option_key:string,action:struct<key:string,label:string,kind:string,field:string,value:string,index:int>>>"
+
+
+def decided_drafts(drafts: DataFrame, decided: DataFrame) -> DataFrame:
+    """Drafts with their valid decisions applied, and with decisions (in order of time, then check) and changes, what was changed in words.
+
+    A date is set or cleared, obligation types are set, obligations are dropped by index, all at
+    once at the end; an index that no obligation has changes nothing. An acknowledgement changes
+    nothing. decided: valid decisions with ts and action.
+    """
+    of = decided.groupBy(F.col("policy_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ts", "check_id", "option_key", "action"))).alias("decisions"))
+    out = drafts.join(of, "id", "left").withColumn("decisions", F.coalesce("decisions", F.array().cast(NO_DECISIONS)))
+    action, there = lambda m: m["action"], lambda i: (i >= 0) & (i < F.coalesce(F.size("key_obligations"), F.lit(0)))
+    is_date = lambda m: (action(m)["kind"] == "set-field") & (action(m)["field"] == "effective_from")
+    is_type = lambda m: (action(m)["kind"] == "set-obligation-type") & there(action(m)["index"])
+    clause = lambda i: F.concat(F.lit("obligation "), F.coalesce(F.get("key_obligations", i)["clause"], F.lit("?")))
+    said = F.transform(
+        "decisions",
+        lambda m: F.when(is_date(m), F.when(F.coalesce(action(m)["value"], F.lit("")) != "", F.concat(F.lit("effective_from → "), action(m)["value"])).otherwise("effective_from cleared")).when(is_type(m), F.concat(clause(action(m)["index"]), F.lit(": type → "), action(m)["value"])),
     )
-    out = drafts.join(a, "id", "left")
-    date = F.when(F.col("date").isNotNull(), F.when(F.col("date.value") != "", F.col("date.value").cast("date"))).otherwise(F.col("effective_from"))
-    types = F.coalesce("types", F.array().cast("array<struct<ts:string,i:int,value:string>>"))
-    last = lambda i: F.get(F.reverse(F.filter(types, lambda t: t["i"] == i)), 0)["value"]
+    drops = F.reverse(F.array_sort(F.array_distinct(F.filter(F.transform(F.filter("decisions", lambda m: action(m)["kind"] == "drop-obligation"), lambda m: action(m)["index"]), there))))
+    out = out.withColumns({"changes": F.concat(F.array_compact(said), F.transform(drops, lambda i: F.concat(clause(i), F.lit(" dropped")))), "__drops": drops})
+    last_date = F.element_at(F.filter("decisions", is_date), -1)
+    date = F.when(F.size(F.filter("decisions", is_date)) > 0, F.when(F.coalesce(action(last_date)["value"], F.lit("")) != "", action(last_date)["value"].cast("date"))).otherwise(F.col("effective_from"))
+    types = F.filter("decisions", is_type)
+    last = lambda i: action(F.get(F.reverse(F.filter(types, lambda m: action(m)["index"] == i)), 0))["value"]
     typed = F.transform("key_obligations", lambda o, i: o.withField("obligation_type", F.coalesce(last(i), o["obligation_type"])))
-    kept = F.filter(typed, lambda o, i: ~F.array_contains(F.coalesce("drops", F.array().cast("array<int>")), i))
-    note = F.concat(F.lit(f"{day} {mode}: "), F.array_join(F.transform(F.coalesce("made", F.array().cast("array<struct<check_id:string,option_key:string>>")), lambda m: F.concat(m["check_id"], F.lit("="), m["option_key"])), "; "))
-    return out.withColumns({"effective_from": date, "key_obligations": kept, "verified_by": F.lit("human") if mode == "human" else F.col("verified_by"), "last_verified": F.lit(day).cast("date"), "verified_note": note}).select(*drafts.columns)
+    kept = F.filter(typed, lambda o, i: ~F.array_contains("__drops", i))
+    return out.withColumns({"effective_from": date, "key_obligations": kept}).drop("__drops")
+
+
+def noted(drafts: DataFrame, checks: DataFrame | None, day: str, mode: str) -> DataFrame:
+    """Stamped drafts with decisions and changes: who verified them, on which day, and a note of why.
+
+    By hand the note has the labels of the decisions, the changes, and of each check that isn't
+    ok its layer, summary and the first 200 characters of its first evidence. Promoted
+    automatically a record stays automated, and its note has every check that isn't ok, or all
+    checks, if all are.
+    """
+    if checks is None:
+        rows = drafts.withColumn("seen", F.array().cast("array<struct<pos:int,check_id:string,layer:string,status:string,summary:string,evidence:string>>"))
+    else:
+        of = checks.groupBy(F.col("policy_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("pos", "check_id", "layer", "status", "summary", F.substring(F.get("evidence", 0), 1, 200).alias("evidence")))).alias("seen"))
+        rows = drafts.join(of, "id", "left")
+    seen = F.coalesce(F.col("seen"), F.array().cast("array<struct<pos:int,check_id:string,layer:string,status:string,summary:string,evidence:string>>"))
+    rows = rows.withColumn("seen", seen).withColumn("open", F.filter("seen", lambda c: c["status"] != "ok"))
+    joined = lambda parts, none: F.when(F.size(parts) > 0, F.array_join(parts, "；")).otherwise(none)
+    labels = F.transform("decisions", lambda m: F.coalesce(m["action"]["label"], m["option_key"]))
+    excerpt = F.transform("open", lambda c: F.concat(F.lit("["), c["layer"], F.lit("] "), c["summary"], F.when(c["evidence"] != "", F.concat(F.lit("｜evidence: "), c["evidence"])).otherwise("")))
+    by_hand = F.concat(F.lit(f"{day} verified by hand and promoted. Decisions: "), joined(labels, "none needed, all checks are ok"), F.lit(". Changes: "), joined(F.col("changes"), "none"), F.lit("."), F.when(F.size("open") > 0, F.concat(F.lit(" Evidence: "), F.array_join(excerpt, "；"))).otherwise(""))
+    green = (F.size("seen") > 0) & (F.size("open") == 0)
+    all_seen = F.transform("seen", lambda c: F.concat(F.lit("["), c["layer"], F.lit("] "), c["summary"]))
+    not_ok = F.transform("open", lambda c: F.concat(F.lit("["), c["layer"], F.lit("/"), c["status"], F.lit("] "), c["summary"]))
+    grade = F.when(green, "all checks are ok").otherwise(F.concat(F.size("open").cast("string"), F.lit(" checks are not ok")))
+    by_machine = F.concat(F.lit(f"{day} "), grade, F.lit(", promoted automatically, not verified by hand. Evidence: "), F.when(green, F.array_join(all_seen, "；")).otherwise(F.array_join(not_ok, "；")))
+    stamp = {"last_verified": F.lit(day).cast("date"), "verified_note": by_hand if mode == "human" else by_machine, "evidence_excerpt_count": F.size("open")}
+    if mode == "human":
+        stamp["verified_by"] = F.lit("human")
+    return rows.withColumns(stamp).drop("seen", "open")
+
+
+def apply_decisions(drafts: DataFrame, decided: DataFrame, day: str, mode: str = "human", checks: DataFrame | None = None) -> DataFrame:
+    """Drafts with their decisions applied and stamped, in the drafts' own columns. See decided_drafts() and noted()."""
+    return noted(decided_drafts(drafts, decided), checks, day, mode).select(*drafts.columns)
 
 
 def promote(ready: DataFrame, issues: DataFrame) -> DataFrame:
@@ -88,13 +137,22 @@ def batch_outcome(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-def reject(drafts: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Drafts left in the queue, and requests refused: without a reason, or for no draft."""
-    good = (F.trim(F.coalesce("reason", F.lit(""))) != "")
-    known = requests.join(drafts.select(F.col("id").alias("policy_id")), "policy_id", "left_semi")
-    left = drafts.join(known.filter(good).select(F.col("policy_id").alias("id")).distinct(), "id", "left_anti")
-    refused = requests.filter(~good).unionByName(requests.filter(good).join(drafts.select(F.col("id").alias("policy_id")), "policy_id", "left_anti"))
-    return left, refused
+def reject(drafts: DataFrame, requests: DataFrame, rejected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Drafts left in the queue, and requests refused, with why: no reason, no draft, or exists.
+
+    rejected: records rejected before (id). A rejection that would overwrite one is refused, and
+    its draft stays.
+    """
+    there = drafts.select(F.col("id").alias("policy_id"), F.lit(True).alias("__draft")).distinct()
+    asked = requests.join(there, "policy_id", "left")
+    if rejected is None:
+        asked = asked.withColumn("__before", F.lit(None).cast("boolean"))
+    else:
+        asked = asked.join(rejected.select(F.col("id").alias("policy_id"), F.lit(True).alias("__before")).distinct(), "policy_id", "left")
+    why = F.when(F.trim(F.coalesce("reason", F.lit(""))) == "", "no reason").when(F.col("__draft").isNull(), "no draft").when(F.col("__before").isNotNull(), "exists")
+    asked = asked.withColumn("why", why).drop("__draft", "__before")
+    left = drafts.join(asked.filter("why is null").select(F.col("policy_id").alias("id")).distinct(), "id", "left_anti")
+    return left, asked.filter("why is not null")
 
 
 def review_queue(checks: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -106,6 +164,40 @@ def review_queue(checks: DataFrame, ledger: DataFrame) -> DataFrame:
     return out.select("policy_id", "errors", "warnings", "manuals", F.coalesce(F.col("e.kind") == "promote", F.lit(False)).alias("done"), F.coalesce(F.col("e.kind") == "reject", F.lit(False)).alias("rejected"))
 
 
+def _ledger(rows: DataFrame) -> DataFrame:
+    """Rows in the ledger's columns, null where a kind of row has none."""
+    fields = T.StructType.fromDDL(schemas.LEDGER).fields
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def decision_rows(decided: DataFrame, checks: DataFrame) -> DataFrame:
+    """A ledger row for each valid decision (with ts and action): its label, and as evidence the check's summary with the first 150 characters of its first evidence."""
+    first = F.substring(F.get("evidence", 0), 1, 150)
+    seen = checks.select("policy_id", "check_id", F.concat("summary", F.when(F.coalesce(first, F.lit("")) != "", F.concat(F.lit("｜"), first)).otherwise("")).alias("evidence"))
+    rows = decided.join(seen, ["policy_id", "check_id"], "left")
+    return _ledger(rows.select("ts", F.lit("decision").alias("kind"), "policy_id", "check_id", "option_key", F.col("action.label").alias("label"), "evidence"))
+
+
+def promotion_rows(promoted: DataFrame, ts: str, mode: str) -> DataFrame:
+    """A ledger row for each promoted draft (id, decisions, changes, evidence_excerpt_count): what was decided and changed, and where its card is kept."""
+    made = F.transform("decisions", lambda m: F.struct(m["check_id"].alias("check_id"), m["option_key"].alias("option_key"), m["action"]["label"].alias("label")))
+    card = F.concat(F.lit(f"cards/promoted_on={ts[:10]}/"), "id")
+    return _ledger(promoted.select(F.lit(ts).alias("ts"), F.lit("promote").alias("kind"), F.col("id").alias("policy_id"), F.lit(mode).alias("mode"), made.alias("decisions"), "changes", "evidence_excerpt_count", card.alias("card_path")))
+
+
+def rollback_rows(outcomes: DataFrame, issues: DataFrame, ts: str, mode: str) -> DataFrame:
+    """A ledger row for each candidate that was rolled back, with the rules of its own errors; the rows before it stay."""
+    errors = issues.filter("severity = 'error'").groupBy(F.col("record_id").alias("id")).agg(F.array_sort(F.collect_set("rule")).alias("errors"))
+    back = outcomes.filter("outcome = 'rolled_back'").join(errors, "id", "left")
+    return _ledger(back.select(F.lit(ts).alias("ts"), F.lit("rollback").alias("kind"), F.col("id").alias("policy_id"), F.lit(mode).alias("mode"), F.lit("the repository with it has errors").alias("reason"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors")))
+
+
+def rejection_rows(requests: DataFrame, refused: DataFrame, ts: str) -> DataFrame:
+    """A ledger row for each rejection that was carried out, with its reason."""
+    done = requests.join(refused.select("policy_id").distinct(), "policy_id", "left_anti")
+    return _ledger(done.select(F.lit(ts).alias("ts"), F.lit("reject").alias("kind"), "policy_id", F.trim("reason").alias("reason")))
+
+
 def ledger_rows(outcomes: DataFrame, ts: str, mode: str) -> DataFrame:
     kind = F.when(F.col("outcome") == "promoted", "promote").when(F.col("outcome") == "rolled_back", "rollback").otherwise(F.col("outcome"))
     return outcomes.select(F.lit(ts).alias("ts"), kind.alias("kind"), F.col("id").alias("policy_id"), F.lit(mode).alias("mode"))

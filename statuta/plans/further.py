@@ -129,7 +129,7 @@ CHECKS = "select concat('p', o_custkey) as policy_id, cast(o_orderkey % 3 as int
 
 def _checks(spark, sf):
     c = fr.load(spark, sf, CHECKS.replace("from orders", "from {orders}"))
-    none = F.array().cast("array<struct<key:string,kind:string,field:string,value:string,index:int>>")
+    none = F.array().cast("array<struct<key:string,label:string,kind:string,field:string,value:string,index:int>>")
     return c.select("policy_id", "pos", "check_id", F.lit("x").alias("layer"), "status", F.lit("").alias("summary"), F.array().cast("array<string>").alias("evidence"), none.alias("options"))
 
 

@@ -535,17 +535,34 @@ def blocked_reasons(spark, sf):
     return promotion.blocked(_two_layers(spark, sf), _decisions(spark, sf))
 
 
-@query()
+LAST = f"(select policy_id, check_id, max_by(option_key, event_id) as option_key, max(event_id) as event_id from ({LEDGER}) where event_type in ('view', 'click', 'purchase') group by 1, 2)"
+TAKEN = f"select d.*, c.status, coalesce((d.check_id = 'reachability' and c.status <> 'ok' and option_key = 'confirm') or (d.check_id = 'date' and ((c.status = 'error' and option_key in ('clear-date', 'keep-date')) or (c.status = 'warning' and option_key = 'keep-date'))), false) as accepted from {LAST} d left join ({REACH_AND_DATES}) c on d.policy_id = c.policy_id and d.check_id = c.check_id"
+
+
+@query(f"select policy_id, check_id, option_key, accepted from ({TAKEN})")
 def valid_decisions(spark, sf):
     good, bad = promotion.valid_decisions(promotion.last_decisions(_decisions(spark, sf)), _two_layers(spark, sf))
     return good.select("policy_id", "check_id", "option_key", F.lit(True).alias("accepted")).union(bad.select("policy_id", "check_id", "option_key", F.lit(False)))
 
 
-@query()
+REACH_SUMMARY = "case when status_code is null then 'not reachable' when status_code <> 200 then concat('HTTP ', status_code) when final_url = 'http://r.example/' then 'redirected to the home page' when content_hash is not null and usable then 'the text differs from the recorded hash' else 'reachable' end"
+DATE_SUMMARY = f"case when not usable then 'no usable text' when effective_from is not null and k % 5 = 0 and not {FULL} then 'the page isn''t the document' when effective_from is not null and k % 5 = 0 then 'the text has no word about coming into force' when effective_from is not null and k % 11 = 0 then 'the text has other dates' when effective_from is not null then 'the text has the date' when k % 5 <> 0 then 'can be filled' when not {FULL} then 'the page isn''t the document' else 'neither the record nor the text has a date' end"
+QUOTE = "case when k % 5 <> 0 then concat('本办法自', 2020 + k % 6, '年', k % 12 + 1, '月', k % 28 + 1, '日起施行') end"
+#: Two layers of checks with their summaries, decisions that count, and what the note of each record says.
+NOTES = f"""with r as ({EVI}), c as (select c.policy_id, c.check_id, c.status, case c.check_id when 'date' then 2 else 0 end as pos, case c.check_id when 'date' then {DATE_SUMMARY} else {REACH_SUMMARY} end as summary, case c.check_id when 'date' then {QUOTE} end as quote from ({REACH_AND_DATES}) c join r on c.policy_id = r.policy_id),
+ t as (select * from ({TAKEN}) where accepted), d as (select policy_id, string_agg(option_key, '；' order by event_id, check_id) as labels, bool_or(option_key = 'clear-date') as cleared from t group by 1),
+ o as (select policy_id, count(*) filter (status <> 'ok') as n_open, string_agg(concat('[', check_id, '] ', summary, case when quote is null then '' else concat('｜evidence: ', quote) end), '；' order by pos) filter (status <> 'ok') as excerpts, string_agg(concat('[', check_id, case when status = 'ok' then '' else concat('/', status) end, '] ', summary), '；' order by pos) filter (status <> 'ok') as open_list, string_agg(concat('[', check_id, '] ', summary), '；' order by pos) as all_list from c group by 1),
+ n as (select r.*, coalesce(cleared, false) as cleared, coalesce(n_open, 0) as n_open, labels, open_list, all_list, concat('2026-01-02 verified by hand and promoted. Decisions: ', coalesce(labels, 'none needed, all checks are ok'), '. Changes: ', case when cleared then 'effective_from cleared' else 'none' end, '.', case when n_open > 0 then concat(' Evidence: ', excerpts) else '' end) as note from r left join d on r.policy_id = d.policy_id left join o on r.policy_id = o.policy_id)"""
+
+
+@query(NOTES + " select policy_id as id, case when cleared then null else effective_from end as effective_from, cast(case when k % 37 = 0 then 0 else 2 end as int) as n_obligations, 'human' as verified_by, note as verified_note from n")
 def apply_decisions(spark, sf):
     good, _ = promotion.valid_decisions(promotion.last_decisions(_decisions(spark, sf)), _two_layers(spark, sf))
-    drafts = _records(spark, sf).select(F.col("policy_id").alias("id"), "effective_from", "key_obligations", F.lit("automated").alias("verified_by"), F.lit(None).cast("date").alias("last_verified"), F.lit("").alias("verified_note"))
-    return promotion.apply_decisions(drafts, good, "2026-01-02").select("id", "effective_from", F.size("key_obligations").alias("n_obligations"), "verified_by", "verified_note")
+    return promotion.apply_decisions(_draft_records(spark, sf), good, "2026-01-02", checks=_two_layers(spark, sf)).select("id", "effective_from", F.size("key_obligations").alias("n_obligations"), "verified_by", "verified_note")
+
+
+def _draft_records(spark, sf):
+    return _records(spark, sf).select(F.col("policy_id").alias("id"), "effective_from", "key_obligations", F.lit("automated").alias("verified_by"), F.lit(None).cast("date").alias("last_verified"), F.lit("").alias("verified_note"))
 
 
 @query(f"with i as ({ORACLE_SQL['validate_policies']}), p as ({P}) select p.id, coalesce(e.n, 0) as errors, case when e.n > 0 then 'rolled_back' else 'promoted' end as outcome from p left join (select record_id, count(*) as n from i where severity = 'error' group by 1) e on p.id = e.record_id")

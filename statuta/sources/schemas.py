@@ -11,4 +11,5 @@ PENALTY = """id string, decision_no string, party string, party_type string, vio
  source struct<url:string,site:string,fetched_at:string,tier:string,http_status:int>, last_verified date, verified_by string, notes string"""
 CHANGE = "change_type string, policy_id string, title string, detected_on string, significance string, detail string, url string, fields array<string>, extra map<string,string>"
 DAY = f"detected_on string, generated_at string, policies_scanned int, change_count int, high_significance_count int, failed_sources array<string>, changes array<struct<{', '.join(':'.join(x.split(' ', 1)) for x in CHANGE.split(', '))}>>"
-LEDGER = "ts string, kind string, policy_id string, check_id string, option_key string, mode string, reason string"
+LEDGER = """ts string, kind string, policy_id string, check_id string, option_key string, label string, evidence string, mode string, reason string,
+ decisions array<struct<check_id:string,option_key:string,label:string>>, changes array<string>, evidence_excerpt_count int, card_path string, errors array<string>"""
