@@ -111,10 +111,10 @@ def published_feed(spark, sf):
     return publish.published_days(spark, root).select("event_id", "detected_on", "change_type", "significance")
 
 
-@query(f"select 'policies' as what, id, is_currently_valid as flag, status_label as label from ({ORACLE_SQL['site_view']}) union all select 'changes', policy_id, significance = 'high', case change_type when 'new' then '首次收录' when 'content_changed' then '正文变更' when 'metadata_changed' then '元数据变更' when 'status_changed' then '状态变更' else '待录入' end from ({fr.change(fr.Duck)})")
+@query(f"select 'policies' as what, id, is_currently_valid as flag, status_label as label from ({ORACLE_SQL['site_view']}) union all select 'changes', policy_id, significance = 'high', concat(case change_type when 'new' then '首次收录' when 'content_changed' then '正文变更' when 'metadata_changed' then '元数据变更' when 'status_changed' then '状态变更' else '待录入' end, '/', case significance when 'high' then '重要' when 'medium' then '一般' else '次要' end) from ({fr.change(fr.Duck)})")
 def published_site(spark, sf):
     """Records and changes published together, twice; what is read is the second publication."""
-    root, p, c = shared_folder(spark, "site"), catalog.site_view(policy(spark, sf)), change(spark, sf).withColumn("label", catalog.label(F.col("change_type"), catalog.CHANGE_LABELS))
+    root, p, c = shared_folder(spark, "site"), catalog.site_view(policy(spark, sf)), change(spark, sf).withColumn("label", F.concat(catalog.label(F.col("change_type"), catalog.CHANGE_LABELS), F.lit("/"), catalog.label(F.col("significance"), catalog.SIGNIFICANCE_LABELS)))
     publish.publish(spark, {"policies": p.filter("id like '%1'"), "changes": c.limit(0)}, root, "first")
     publish.publish(spark, {"policies": p, "changes": c}, root, "second")
     policies, changes = publish.published(spark, root, "policies", p.schema), publish.published(spark, root, "changes", c.schema)

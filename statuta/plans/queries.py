@@ -604,12 +604,28 @@ def page_links(spark, sf):
     return pages.select("url").join(n, "url").select("url", "links")
 
 
-@query()
+# references that the pages hold, the ampersand last so that each is read once
+REFERENCES = (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&"), ("&amp", "&"))
+
+
+def _unescaped(text: str) -> str:
+    for name, sign in REFERENCES:
+        text = f"replace({text}, '{name}', '{sign}')"
+    return text
+
+
+BLOCK = "(?i)</?(" + "|".join(sorted(html.BLOCKS)) + r")(\s[^>]*)?/?>"
+VISIBLE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style)\b.*?</(script|style)>', '', 'g'), '(?is)<title>.*?</title>', chr(10), 'g'), '" + BLOCK + "', chr(10), 'g')"
+LINES = f"list_filter(list_transform(string_split({_unescaped(f"regexp_replace({VISIBLE}, '<[^>]*>', '', 'g')")}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query(f"select page_id, cast(length(array_to_string({LINES}, chr(10))) as int) as length, length(array_to_string({LINES}, chr(10))) >= 200 as usable from pages")
 def page_texts(spark, sf):
     return html.page_contents(spark.read.parquet(f"{sf}/pages.parquet")).select("page_id", F.length("body_text").alias("length"), "usable")
 
 
-@query()
+@query(f"""with i as (select url as list_url, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">[^<]*</a>', 1)) as href, unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1)) as title, unnest(range(len(regexp_extract_all(html, '<li><a href')))) as place from pages)
+ select list_url, cast(place as int) as at, trim({_unescaped('title')}) as title, concat(regexp_extract(list_url, '^https?://[^/]*'), {_unescaped('href')}) as url, cast(null as date) as published_on from i where length(trim({_unescaped('title')})) >= 4""")
 def html_list_docs(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").withColumns({"source_id": F.lit("s1"), "selectors": F.create_map(F.lit("item"), F.lit("li"))})
     return html.list_docs(pages).select("list_url", "at", "title", "url", "published_on")
