@@ -2,16 +2,18 @@
 
 Equal vectors of a label are one class. The classes of a label fall into shards of bounded
 size; each shard gets a graph, and the vectors of every shard search the graphs of their own
-and of all earlier shards of the label, so that each pair of shards is searched once. Beams
-widen for a query whose finds fill half its beam, and for all queries of a shard pair until an
-audit against brute force passes; a query that would need a beam of a good part of the shard is
-compared with all of it. What is found is verified by cosine in double precision,
-and the links are united to components.
+and of all earlier shards of the label, so that each pair of shards is searched once. A sample of the
+queries of each pair of shards is held against brute force: the nearest vectors, whatever their
+cosine, and the links must be found, or all beams widen and the audit is made again. Beams
+widen besides for a query whose finds fill half its beam; a query that would need a beam of a
+good part of the shard is compared with all of it. What is found is verified by cosine in double
+precision, and the links are united to components.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,9 @@ COSINE = 0.93
 SHARD_ROWS = 8192
 M = 12
 EF_BUILD, EF = 48, 48
-#: Of a pair of shards at least so many queries are held against brute force, more until so many of them have a link, or all are;
-#: the share of their links, and of each query's links on average, that must be found.
-AUDITED, LINKED, RECALL = 100, 100, 0.99
+#: Of a pair of shards so many queries are audited, but no more than one in AUDIT_SHARE; how many of
+#: the nearest vectors of each are looked for, the share of those that must be found, and the share of the links.
+AUDITED, AUDIT_SHARE, NEAREST, NEAREST_RECALL, RECALL = 200, 10, 10, 0.95, 0.99
 BLOCK = 256
 EXPAND = 4
 #: A beam of more than one in so many of a shard's vectors costs more than comparing with all of them.
@@ -179,8 +181,8 @@ def links_between(graph: Graph, a: np.ndarray, b: np.ndarray, same: bool, cosine
     """Which pairs of unit vectors have the cosine, a row for each of b and a column for each of a, found by searching a's graph with b's vectors.
 
     A byte for each pair of a shard's vectors, however many of them link. same: a and b are one shard; then
-    the result is symmetric, and no vector is linked with itself. A beam passes by the audit only; where
-    links are so rare that the audit comes to all queries, its comparison is the result."""
+    the result is symmetric, and no vector is linked with itself. A beam passes by the audit only. A graph
+    that doesn't even pass with a beam of all its nodes is broken: a warning is given, and its shard compared whole."""
     q, n, m = b.astype(np.float32), len(a), len(b)
     found = np.zeros((m, n), bool)
 
@@ -218,16 +220,31 @@ def links_between(graph: Graph, a: np.ndarray, b: np.ndarray, same: bool, cosine
         if same:
             np.fill_diagonal(found, False)
 
-    order, compared, truth = np.random.default_rng(2).permutation(m), 0, np.zeros((0, n), bool)
-    while compared < m and (compared < AUDITED or np.count_nonzero(truth.any(1)) < LINKED):
-        more = exact(order[compared : max(AUDITED, 2 * compared)])
-        truth, compared = np.concatenate([truth, more]), compared + len(more)
-    audited, per_query = order[:compared], truth.sum(1)
-    linked, ef = per_query > 0, EF
-    while compared < m:
-        if ef >= n:
-            found[:] = exact(np.arange(m))
-            break
+    audited = np.sort(np.random.default_rng(2).permutation(m)[: min(AUDITED, -(-m // AUDIT_SHARE))])
+    true = b[audited] @ a.T
+    if same:
+        true[np.arange(len(audited)), audited] = -2
+    truth, nearest = true >= cosine, min(NEAREST, n - same)
+    least = -np.partition(-true, nearest - 1, 1)[:, nearest - 1] if nearest > 0 else np.full(len(audited), 2.0)
+
+    def passes(ef: int) -> bool:
+        starts = np.concatenate([graph.entry(q[audited]), audited[:, None]], 1) if same else graph.entry(q[audited])
+        ids, _ = graph.beam(q[audited], starts, ef)
+        hit = np.zeros((len(audited), n), bool)
+        row, at = np.nonzero(ids >= 0)
+        hit[row, ids[row, at]] = True
+        near = (hit & (true >= least[:, None] - 1e-7)).sum(1)
+        # with a beam no wider than what is linked, links are found by the widening for their query
+        room = truth.sum(1) * 2 < min(ef, n)
+        return np.minimum(near, nearest).sum() >= NEAREST_RECALL * nearest * len(audited) and (hit & truth)[room].sum() >= RECALL * truth[room].sum()
+
+    ef = EF
+    while not passes(ef) and ef < 2 * n:
+        ef *= 2
+    if ef >= 2 * n and not passes(ef):
+        warnings.warn("a graph failed its audit with a beam of all its nodes", RuntimeWarning, stacklevel=2)
+        found[:] = exact(np.arange(m))
+    else:
         which, wide = np.arange(m), ef
         while len(which):
             if wide * WIDEST >= n and wide > ef:
@@ -235,11 +252,6 @@ def links_between(graph: Graph, a: np.ndarray, b: np.ndarray, same: bool, cosine
                 break
             which, wide = which[search(which, wide)], wide * 4
         verify()
-        # what is found is verified: it is part of the truth
-        hit = found[audited].sum(1)
-        if hit.sum() >= RECALL * per_query.sum() and (hit[linked] / per_query[linked]).mean() >= RECALL:
-            break
-        ef *= 2
     found[audited] = truth
     if same:
         found |= found.T

@@ -205,6 +205,41 @@ def test_beams_that_miss_links_do_not_pass(pairs):
     assert (ed.links_between(g, v, other, False) == (other @ v.T >= ed.COSINE)).all()
 
 
+@pytest.mark.parametrize("pairs,same", [(0, True), (10, True), (10, False), (80, True)])
+def test_the_graph_is_searched_where_links_are_rare(monkeypatch, pairs, same):
+    rng = np.random.default_rng(pairs)
+    v = rng.normal(size=(2000, 24))
+    other = v if same else rng.normal(size=(2000, 24))
+    twin = rng.permutation(2000)[: 2 * pairs].reshape(-1, 2)
+    other[twin[:, 1]] = v[twin[:, 0]] + rng.normal(size=(pairs, 24)) * 0.05
+    v, other = ed.units(v), ed.units(other)
+    searched, compared = [], []
+    graph = ed.Graph(v)
+    beam = ed.Graph.beam
+    monkeypatch.setattr(ed.Graph, "beam", lambda self, q, starts, ef, layer=0: (searched.append(len(q)) if layer == 0 else None, beam(self, q, starts, ef, layer))[1])
+
+    class Counted(np.ndarray):
+        def __matmul__(self, x):
+            compared.append(len(self))
+            return np.asarray(self) @ np.asarray(x)
+
+    found = ed.links_between(graph, v, other.view(Counted), same)
+    assert sum(searched) >= 2000 and sum(compared) <= ed.AUDITED
+    want = other @ v.T >= ed.COSINE
+    if same:
+        np.fill_diagonal(want, False)
+    assert not (found & ~want).any() and found.sum() >= 0.98 * want.sum() and (pairs == 0 or want.sum() >= pairs)
+
+
+def test_a_broken_graph_is_reported():
+    v = ed.units(np.random.default_rng(8).normal(size=(600, 12)))
+    graph = ed.Graph(v)
+    for links in graph.links:
+        links[:] = -1
+    with pytest.warns(RuntimeWarning, match="audit"):
+        ed.links_between(graph, v, v, True)
+
+
 def test_a_clique_is_counted_exactly_and_spanned():
     rng = np.random.default_rng(5)
     v = ed.units(np.concatenate([rng.normal(size=16) + rng.normal(scale=0.02, size=(1500, 16)), rng.normal(size=(700, 16))]))
