@@ -66,6 +66,14 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def free(name: str, df: DataFrame) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_text, shared_dir, table
+from .common import crc_text, free, shared_dir, table
 
 SHARDS = 40
 BUCKET_BYTES = 8 << 20
@@ -45,40 +45,43 @@ def fisher_yates(n: int, seed: list[int]) -> list[int]:
     return order
 
 
-def external_shuffle(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED, place: Column | None = None) -> DataFrame:
+def external_shuffle(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED, place: str | None = None, least_buckets: int = 1) -> DataFrame:
     """All rows of df with size, shard, bucket, slot and grown_shard.
 
     size: UTF-8 bytes of the text and 16 more. slot: 0, 1, ... in each shard. The order is a
     function of the rows and the seed, not of how they are partitioned. A shard has as many
-    buckets as its own size asks for. place: a number from 0 to under 1, the same for the same
-    row, by which the rows of a shard go to its buckets in turn: each bucket is then shuffled
-    by itself, and the shard keeps the coarse order of the places. A null text counts as
-    0 bytes; a null key is a key of its own; equal rows are kept and get slots of their own;
-    no rows give no rows. An input column named like one of the added ones, or like __row or
-    __place, is replaced or left out.
+    buckets as its own size asks for, and least_buckets at least. place: a column of numbers from
+    0 to under 1, the same for the same row, by which the rows of a shard go to its buckets in
+    turn: each bucket is then shuffled by itself, and the shard keeps the coarse order of the
+    places; the column itself goes. A null text counts as 0 bytes; a null key is a key of its
+    own; equal rows are kept, lie in one bucket and get slots of their own; no rows give no rows.
+    An input column named like one of the added ones is replaced.
     """
-    df = df.drop("size", "shard", "bucket", "slot", "grown_shard", "__row")
+    df = df.drop("size", "shard", "bucket", "slot", "grown_shard")
+    at, row_of, spot_of = place, free("__row", df), free("__spot", df)
+    kept = [f for f in df.schema if f.name != at]
     shard, grown = rendezvous(F.col(key), shards, seed)
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 16
-    row = F.xxhash64(F.lit(seed + 1), *[F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in df.drop("__place").schema])
-    spot = place if place is not None else F.pmod(F.xxhash64(F.lit(seed + 2), row), F.lit(1 << 30)) / float(1 << 30)
+    row = F.xxhash64(F.lit(seed + 1), *[F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in kept])
+    spot = F.col(at) if at else F.pmod(F.xxhash64(F.lit(seed + 2), row), F.lit(1 << 30)) / float(1 << 30)
     # `shards` rows of sums: how many buckets each shard needs
     sums = {r["s"]: r["n"] for r in df.groupBy(shard.alias("s")).agg(F.sum(size).alias("n")).collect()}
-    buckets = F.array(*[F.lit(max(1, math.ceil(sums.get(s, 0) / bucket_bytes))) for s in range(shards)])
-    scattered = df.withColumns({"size": size, "shard": shard, "grown_shard": grown, "__row": row, "__spot": spot}).drop("__place")
-    scattered = scattered.withColumn("bucket", F.floor(F.col("__spot") * F.get(buckets, F.col("shard"))).cast("int")).drop("__spot")
-    counts = scattered.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("__n"))
+    buckets = F.array(*[F.lit(max(least_buckets, math.ceil(sums.get(s, 0) / bucket_bytes))) for s in range(shards)])
+    scattered = df.withColumns({"size": size, "shard": shard, "grown_shard": grown, row_of: row, spot_of: spot})
+    scattered = scattered.withColumn("bucket", F.floor(F.col(spot_of) * F.get(buckets, F.col("shard"))).cast("int")).drop(spot_of, *[at] * bool(at))
+    first_of = free("__first", scattered)
+    counts = scattered.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("shard", "bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    first = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first_of))
     joined = scattered.join(first, ["shard", "bucket"])
-    out = T.StructType([f for f in scattered.schema if f.name != "__row"] + [T.StructField("slot", T.LongType())])
+    out = T.StructType([f for f in scattered.schema if f.name != row_of] + [T.StructField("slot", T.LongType())])
     names = out.names
 
     def shuffled(group: pa.Table) -> pa.Table:
         where = [int(group.column(c)[0].as_py()) for c in ("shard", "bucket")]
-        group = group.take(pc.sort_indices(group, [(key, "ascending"), ("__row", "ascending")]))
+        group = group.take(pc.sort_indices(group, [(key, "ascending"), (row_of, "ascending")]))
         group = group.take(pa.array(fisher_yates(group.num_rows, [seed, *where]), pa.int64()))
-        first = group.column("__first")[0].as_py()
+        first = group.column(first_of)[0].as_py()
         return group.append_column("slot", pa.array(np.arange(first, first + group.num_rows), pa.int64())).select(names)
 
     return joined.groupBy("shard", "bucket").applyInArrow(shuffled, out)

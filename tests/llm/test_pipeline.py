@@ -50,7 +50,7 @@ def test_the_mixture_holds_in_every_stretch_of_a_shard(spark, tmp_path, monkeypa
     mixed = spark.read.parquet(f"{tmp_path}/mixed")
     order = [r.source for r in mixed.withColumn("f", corpus_pipeline.F.col("_metadata.file_path")).withColumn("i", corpus_pipeline.F.col("_metadata.row_index")).orderBy("f", "i").collect()]
     assert len(mixed.inputFiles()) >= 4 and "rare" in order[:300] and set(order[-300:]) == {"common"}
-    placed = corpus_pipeline.sharding.external_shuffle(corpus_pipeline.mixture_order(mixed), shards=2, bucket_bytes=20_000, place=corpus_pipeline.F.col("__place")).collect()
+    placed = corpus_pipeline.sharding.external_shuffle(corpus_pipeline.mixture_order(mixed, "place"), shards=2, bucket_bytes=20_000, place="place").collect()
     assert Counter(r.doc_id for r in placed) == Counter(r[0] for r in rows)
     first = order[: len(order) // 2].count("rare")
     for shard in (0, 1):  # the rare source ends in the mixture before the common one, and so it does in each shard
@@ -59,6 +59,33 @@ def test_the_mixture_holds_in_every_stretch_of_a_shard(spark, tmp_path, monkeypa
         assert abs(half - first / 2) < 0.25 * first and half > 1.2 * mine[len(mine) // 2 :].count("rare")
 
 
+def test_the_mixture_is_seen_in_the_shards_of_a_small_table(spark, tmp_path):
+    """Without the mixing stage rows lie elsewhere; with it every stretch of a shard has its sources' shares."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    corpus_pipeline.mix_sources(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    where = lambda df: {r.doc_id: (r.shard, r.slot) for r in corpus_pipeline.shuffle_into_shards(spark, df, "").collect()}
+    with_, without = where(mixed), where(docs)
+    assert set(with_) == set(without) and sum(with_[d] != without[d] for d in with_) > 0.5 * len(with_)
+    position = {r.doc_id: i for i, r in enumerate(mixed.withColumn("f", corpus_pipeline.F.col("_metadata.file_path")).withColumn("i", corpus_pipeline.F.col("_metadata.row_index")).orderBy("f", "i").collect())}
+    for shard in range(40):
+        order = [position[d] for _, d in sorted((slot, d) for d, (s, slot) in with_.items() if s == shard)]
+        # a row stands at most one stretch away from its place in the mixture
+        assert all(a < b + len(position) / corpus_pipeline.STRETCHES + 1 for i, a in enumerate(order) for b in order[i + 1 :])
+
+
+def test_names_of_the_stages_may_be_taken(spark, folder, tmp_path):
+    path, docs, _ = folder
+    odd = spark.read.parquet(f"{path}/documents.parquet")
+    for c in ("__row", "__first", "__place", "__file", "__spot", "__i"):
+        odd = odd.withColumn(c, corpus_pipeline.F.lit(c))
+    odd.write.parquet(f"{tmp_path}/odd")
+    odd = spark.read.parquet(f"{tmp_path}/odd")
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.shuffle_into_shards):
+        out = stage(spark, odd, path)
+        assert out.columns[: len(odd.columns)] == odd.columns and {tuple(r)[5:11] for r in out.collect()} == {("__row", "__first", "__place", "__file", "__spot", "__i")}
+
+
 def test_stages_keep_the_columns(spark, folder):
     path, _, _ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet")
