@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.llm import decontam, langid, mixing, ngram_join, sharding
-from statuta.llm.common import materialize, shared_dir, table, text_of
+from statuta.llm.common import free, materialize, shared_dir, table, text_of
 
 #: Ids of rows to drop are broadcast up to this many (16 bytes each); beyond, texts are shuffled to them.
 BROADCAST_ROWS = 1_000_000
-#: Of a stretch of a shard within which the order is random.
-BUCKET_BYTES = 1 << 20
+#: Of a stretch of a shard within which the order is random, and how many such stretches a shard has at least.
+BUCKET_BYTES, STRETCHES = 1 << 20, 16
 #: Rows of a file of the mixture, at least.
 FILE_ROWS = 256
 
@@ -33,13 +33,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     group = F.when(F.col("root").isNotNull(), F.struct(F.lit(1).alias("kind"), F.col("root").alias("id"))).otherwise(F.struct(F.lit(0).alias("kind"), F.col("row").alias("id")))
     rows = materialize(groups.withColumn("g", group).groupBy("row", "g").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("doc_id")))
     first = rows.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("m")).select(F.col("m.row").alias("row"), F.lit(True).alias("first"))
+    row, once = free("__row", docs), free("__first", docs)
     # what isn't simply kept: rows that go, and rows that come more than once
     odd = rows.join(first, "row", "left").filter(F.col("first").isNull() | (F.col("times") > 1))
-    odd = materialize(odd.select(F.col("row").alias("__row"), F.col("first").isNotNull().alias("__first")))
-    known = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), text_of(docs)))
+    odd = materialize(odd.select(F.col("row").alias(row), F.col("first").isNotNull().alias(once)))
+    known = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), text_of(docs)))
     send = F.broadcast if odd.count() <= BROADCAST_ROWS else (lambda df: df)
-    plain = known.join(send(odd.select("__row")), "__row", "left_anti")
-    repeated = known.join(send(odd.filter("__first").select("__row")), "__row").dropDuplicates(["__row"])
+    plain = known.join(send(odd.select(row)), row, "left_anti")
+    repeated = known.join(send(odd.filter(F.col(once)).select(row)), row).dropDuplicates([row])
     return plain.select(*docs.columns).union(repeated.select(*docs.columns))
 
 
@@ -64,26 +65,32 @@ def shuffle_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     The buckets of a shard follow the order of the stage before, so that every stretch of a
     shard has the mixture's shares; within a bucket the order is random.
     """
-    placed = sharding.external_shuffle(mixture_order(docs), bucket_bytes=BUCKET_BYTES, place=F.col("__place"))
+    place = free("__place", docs)
+    placed = sharding.external_shuffle(mixture_order(docs, place), bucket_bytes=BUCKET_BYTES, place=place, least_buckets=STRETCHES)
     path = shared_dir(spark)
     sharding.write_shards(placed, path)
     out = sharding.read_shards(spark, path, placed.schema)
     return out.select(*docs.columns, F.col("shard").cast("int").alias("shard"), "slot")
 
 
-def mixture_order(docs: DataFrame) -> DataFrame:
-    """docs with __place: where a row stands in the files that it is read from, from 0 to under 1.
+def mixture_order(docs: DataFrame, place: str) -> DataFrame:
+    """docs with a column of where a row stands in the files that it is read from, in the order of their names: from 0 to under 1.
 
-    Rows that aren't read from files, or that lie in one, have the place of a hash of their id.
+    Rows that aren't read from files have the place of a hash of the row.
     """
-    own = F.pmod(F.xxhash64(F.lit(3), *[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")]), F.lit(1 << 30)) / float(1 << 30)
-    files = sorted(docs.inputFiles())
-    if len(files) < 2:
-        return docs.withColumn("__place", own)
-    named = docs.sparkSession.createDataFrame([(f.rpartition("/")[2], i) for i, f in enumerate(files)], "__file string, __i int")
-    found = docs.withColumn("__file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    if not docs.inputFiles():
+        own = F.xxhash64(F.lit(3), *[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")])
+        return docs.withColumn(place, F.pmod(own, F.lit(1 << 30)) / float(1 << 30))
+    file, rank, first = (free(f"{place}_{x}", docs) for x in ("file", "rank", "first"))
+    found = docs.withColumn(file, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).withColumn(rank, F.col("_metadata.row_index"))
     # a row for each file of one table
-    return found.join(F.broadcast(named), "__file").withColumn("__place", (F.col("__i") + own) / len(files)).drop("__file", "__i")
+    ends = sorted((r[file], r["n"]) for r in found.groupBy(file).agg((F.max(rank) + 1).alias("n")).collect())
+    total, starts, at = max(1, sum(n for _, n in ends)), [], 0
+    for name, n in ends:
+        starts.append((name, at))
+        at += n
+    named = docs.sparkSession.createDataFrame(starts, f"`{file}` string, `{first}` long")
+    return found.join(F.broadcast(named), file).withColumn(place, (F.col(first) + F.col(rank)) / total).drop(file, rank, first)
 
 
 STAGES = [
