@@ -18,6 +18,7 @@ import html
 import json
 import re
 import zlib
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -44,7 +45,7 @@ DIGITS = re.compile(r"\d{3,}")
 CONSTANT_PAGES = 3
 #: The article lies in a part of a place that has so much of its text; in an article element that has so much of the page's.
 MOST, ENOUGH = 0.7, 0.3
-#: Blocks within blocks, at most.
+#: Blocks within blocks in the tree. What lies deeper hangs there in page order, excluded if what it lies in is.
 DEPTH = 150
 #: Places that a task counts before it hands its counts on.
 FLUSH_PLACES = 50_000
@@ -65,6 +66,7 @@ def parse(page: str) -> Node:
     """The block tree of a page, tag soup included: what is left open closes with what encloses it."""
     root = Node("html", "html", False)
     open_, text, at, linked = [root], [], 0, 0
+    there: Counter[str] = Counter()  # open elements by tag
 
     def flush():
         if text:
@@ -73,11 +75,22 @@ def parse(page: str) -> Node:
             if whole:
                 open_[-1].items.append(whole)
 
+    def cut(k: int):
+        """Closes all from the k-th open element on."""
+        flush()
+        there.subtract(n.tag for n in open_[k:])
+        del open_[k:]
+        if len(open_) > DEPTH:  # what follows in an element beyond the depth stands behind what was closed
+            n = open_[-1]
+            open_[-1] = Node(n.tag, n.key, n.dropped)
+            open_[DEPTH - 1].items.append(open_[-1])
+
     def close(names, stop=()):
+        if not any(there[n] for n in names):
+            return
         for k in range(len(open_) - 1, 0, -1):
             if open_[k].tag in names:
-                flush()
-                del open_[k:]
+                cut(k)
                 return
             if open_[k].tag in stop:
                 return
@@ -118,15 +131,16 @@ def parse(page: str) -> Node:
         if tag == "body":
             for k in range(1, len(open_)):
                 if open_[k].tag == "head":
-                    del open_[k:]
+                    cut(k)
                     break
         key = DIGITS.sub("#", f"{tag}.{names.split()[0]}".replace("|", "-")) if names.split() else tag
         dropped = tag in DROPPED or hidden or bool(names and tag not in ("body", "article", "main") and ROLE.search(names))
         node = Node(tag, "main" if main and not dropped else key, dropped)
-        if len(open_) > DEPTH:  # what lies deeper follows its parent instead of lying in it
-            node.dropped = node.dropped or open_.pop().dropped
-        open_[-1].items.append(node)
+        if len(open_) > DEPTH:
+            node.dropped = node.dropped or open_[-1].dropped
+        open_[min(len(open_), DEPTH) - 1].items.append(node)
         open_.append(node)
+        there[tag] += 1
     if at < len(page):
         text.append(page[at:])
     flush()
@@ -167,7 +181,25 @@ def matching(a: tuple, b: tuple) -> int:
     """Simple tree matching: how many nodes the largest top-down, order-keeping match of two shapes has."""
     if a[0] != b[0]:
         return 0
-    return 1 + _table(a[1], b[1])[-1][-1]
+    head, tail = _ends(a[1], b[1])
+    same = sum(map(weight, (*a[1][:head], *a[1][len(a[1]) - tail :])))
+    return 1 + same + _table(a[1][head : len(a[1]) - tail], b[1][head : len(b[1]) - tail])[-1][-1]
+
+
+@functools.lru_cache(maxsize=100_000)
+def weight(a: tuple) -> int:
+    """The nodes of a shape, all of which match in itself."""
+    return 1 + sum(map(weight, a[1]))
+
+
+def _ends(a: tuple, b: tuple) -> tuple[int, int]:
+    """How many shapes are equal at the beginning, and how many behind them at the end: they match each other in a largest match."""
+    most, head, tail = min(len(a), len(b)), 0, 0
+    while head < most and a[head] == b[head]:
+        head += 1
+    while tail < most - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    return head, tail
 
 
 def _table(a: tuple, b: tuple) -> list[list[int]]:
@@ -182,7 +214,10 @@ def _table(a: tuple, b: tuple) -> list[list[int]]:
 @functools.lru_cache(maxsize=100_000)
 def aligned(a: tuple, b: tuple) -> dict[int, int]:
     """Which shapes of a match which of b, in a largest match."""
-    best, i, j, out = _table(a, b), len(a), len(b), {}
+    head, tail = _ends(a, b)
+    out = {i: i for i in range(head)} | {len(a) - k: len(b) - k for k in range(1, tail + 1)}
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    best, i, j = _table(a, b), len(a), len(b)
     while i and j:
         if best[i][j] == best[i - 1][j]:
             i -= 1
@@ -190,7 +225,7 @@ def aligned(a: tuple, b: tuple) -> dict[int, int]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            out[i] = j
+            out[head + i] = head + j
     return out
 
 

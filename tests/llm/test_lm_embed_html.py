@@ -338,3 +338,22 @@ def test_pages_of_any_shape(spark):
     rows = [(1, "http://d.example/", deep), (2, "http://d.example/2", deep), (3, "http://w.example/", ids), (4, "http://w.example/2", ids + "<article>x</article>"), (5, None, None)]
     got = {r.page_id: r.text for r in hx.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1] == got[2] == "Bottom text." and got[3].count("block") == 400 and got[5] == ""
+
+
+@pytest.mark.parametrize("depth", [50, 149, 150, 151, 160, 300])
+def test_what_is_excluded_stays_so_at_any_depth(spark, depth):
+    inside = "head<nav>menu a<ul><li>menu b</li></ul>menu tail</nav><p>One <b>text</b>.</p><div class=x>Two<div>three</div>four</div>tail"
+    page = "<article>" + "<div>" * depth + inside + "</div>" * depth + "after</article>"
+    got = hx.extract_pages(spark.createDataFrame([(1, "http://d.example/1", page)], "page_id long, url string, html string")).first()
+    assert got.text == "head\nOne text.\nTwo\nthree\nfour\ntail\nafter"
+
+
+def test_many_blocks_are_aligned_in_time():
+    import time
+
+    began = time.time()
+    make = lambda n, odd: "<article>" + "".join(f"<h2>h{i}</h2><p>{'<i>x</i>' if i != odd else '<ul><li>y</ul>'}</p>" for i in range(n)) + "</article>"
+    one, other = (hx.parse(make(n, odd)) for n, odd in ((10_000, 5_000), (9_990, 4_990)))
+    found = hx.places(one, hx.shape([other]))
+    assert sum(map(len, found.values())) > 20_000 and time.time() - began < 30
+    assert hx.parse("<div>" * 20_000 + "</p>" * 20_000).items and time.time() - began < 40
