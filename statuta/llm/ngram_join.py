@@ -21,6 +21,7 @@ the comparison of their sets.
 from __future__ import annotations
 
 import functools
+import math
 import operator
 
 import numpy as np
@@ -36,7 +37,6 @@ WIDTH = 5
 UP, DOWN = 4, 5
 SKETCH_BITS = 20
 SKETCH_BLOCKS = 64
-SKETCH_SALTS = 64
 MOST_MATCHES = 4
 #: Bytes of text that are hashed at once: a worker needs some fifty times as many.
 PIECE_BYTES = 1 << 20
@@ -94,9 +94,10 @@ def sketch(docs: DataFrame) -> np.ndarray:
     from pyspark import TaskContext
 
     block = (1 << SKETCH_BITS) // SKETCH_BLOCKS
+    salts = max(1, math.isqrt(docs.select("text").rdd.getNumPartitions()))  # as many sums of a block as each of them has parts
 
     def count(batches):
-        counts, salt = np.zeros(1 << SKETCH_BITS, np.int64), TaskContext.get().partitionId() % SKETCH_SALTS
+        counts, salt = np.zeros(1 << SKETCH_BITS, np.int64), TaskContext.get().partitionId() % salts
         for batch in batches:
             for piece in slices(batch, "text", PIECE_BYTES):
                 values, _ = shingles(*utf8(piece.column("text")))
@@ -188,7 +189,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     The texts are shuffled, which take half the bytes of their sets; no other texts are hashed.
     """
     wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    texts = probably_in(docs.select("row", "text"), "row", wanted).join(wanted, "row", "left_semi").dropDuplicates(["row"])
+    # an inner join: a semi join would be moved below the filter, and all texts shuffled for it
+    texts = probably_in(docs.select("row", "text"), "row", wanted).join(wanted, "row").dropDuplicates(["row"])
     left = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
 
