@@ -9,7 +9,7 @@ from statuta.operators import shapes
 from statuta.sources import documents
 
 GOOD = {
-    "id": "nfra-2026-x", "title": "某某办法", "title_en": None, "issuer": "机构", "issuer_code": "nfra", "jurisdiction": "CN", "instrument_type": "法律", "bindingness": "binding", "ai_relevance": "core", "domain": ["金融", "数据"], "topics": [], "status": "effective",
+    "id": "abcd-2026-x", "title": "某某办法", "title_en": None, "issuer": "机构", "issuer_code": "abcd", "jurisdiction": "CN", "instrument_type": "法律", "bindingness": "binding", "ai_relevance": "core", "domain": ["金融", "数据"], "topics": [], "status": "effective",
     "published_on": "2026-01-02", "effective_from": None, "superseded_by": None, "versions": [{"version": 1, "published_on": "2026-01-02", "status": "effective", "url": "https://a.b/c", "content_hash": None}], "source": {"url": "http://a.b", "site": "a.b", "tier": "primary", "fetched_at": "2026-01-02T03:04:05+08:00", "http_status": 200},
     "last_verified": "2026-01-02", "verified_by": "human", "key_obligations": [{"clause": "一", "summary": "应当报告", "obligation_type": None, "tags": ["a"]}], "notes": "n",
 }
@@ -40,7 +40,7 @@ CASES = [
     (lambda r: r["versions"].append({"version": 1.5}), {"versions[].version:type", "versions[].published_on:required", "versions[].status:required", "versions[].url:required"}),
     (lambda r: r.update(versions=[]), {"versions:minItems"}),
     (lambda r: r["key_obligations"].append({"clause": "", "summary": "abc", "obligation_type": "never", "tags": ["a", "a"]}), {"key_obligations[].clause:minLength", "key_obligations[].summary:minLength", "key_obligations[].obligation_type:enum", "key_obligations[].tags:uniqueItems"}),
-    (lambda r: r.update(supersedes=["nfra-1", "BAD"]), {"supersedes[]:pattern"}),
+    (lambda r: r.update(supersedes=["abcd-1", "BAD"]), {"supersedes[]:pattern"}),
 ]
 
 
