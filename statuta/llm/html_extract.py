@@ -35,7 +35,16 @@ ENDS_P = frozenset("address article aside blockquote div dl fieldset figure foot
 ENDS_SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 # fixed values: class, id and role words of what isn't article text
-ROLE = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|sponsor|sponsored|promo|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|menu|menubar|nav|navbar|navigation|breadcrumb|breadcrumbs|sidebar|aside|widget|footer|header|masthead|comment|comments|disqus|respond|replies|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|search|toolbar|pagination|pager|complementary|contentinfo|skip|hidden|visually-hidden|sr-only)(?:$|[\s_-])")
+ROLES = frozenset(
+    "ad ads adv advert adverts advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice notices popup modal overlay "
+    "menu menubar nav navbar navigation breadcrumb breadcrumbs sidebar aside widget footer header masthead comment comments disqus respond replies "
+    "newsletter subscribe subscription signup login toolbar pagination pager complementary contentinfo skip hidden".split()
+)
+# fixed values: words that name article text as well; what they stand beside where they don't; elements that hold others
+OPEN = frozenset("alert recommended related search share sharing social".split())
+FURNITURE = frozenset("article articles bar block box button buttons container count counts entry form icon icons item items link links list module page panel post posts row section site stories story tools wrap wrapper".split())
+CONTAINERS = frozenset("center details div dl fieldset ol section table ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = re.compile(r"(?:^|\s)(?:main|article|article-body|articlebody|entry-content|post-content|main-content)(?:$|\s)")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|xmp|noembed|noframes)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</?[a-zA-Z][^<>]*(?:>|\Z)", re.S | re.I)
 ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b|\baria-hidden\s*=\s*[\"']?(true)|\bstyle\s*=\s*[\"'][^\"']*display\s*:\s*(none)", re.I)
@@ -67,6 +76,9 @@ def parse(page: str) -> Node:
     root = Node("html", "html", False)
     open_, text, at, linked = [root], [], 0, 0
     there: Counter[str] = Counter()  # open elements by tag
+    unsure: list[tuple] = []  # open elements whose links will tell: depth, node, and what was there before
+    deep: list[Node] = []  # blocks beyond the depth that such an element may hold
+    seen = seen_links = 0
 
     def flush():
         if text:
@@ -78,12 +90,22 @@ def parse(page: str) -> Node:
     def cut(k: int):
         """Closes all from the k-th open element on."""
         flush()
+        while unsure and unsure[-1][0] >= k:
+            _, node, chars, links, held = unsure.pop()
+            if 2 * (seen_links - links) > seen - chars:
+                for n in (node, *deep[held:]):
+                    n.dropped = True
+                del deep[held:]
+        if not unsure:
+            deep.clear()
         there.subtract(n.tag for n in open_[k:])
         del open_[k:]
         if len(open_) > DEPTH:  # what follows in an element beyond the depth stands behind what was closed
             n = open_[-1]
             open_[-1] = Node(n.tag, n.key, n.dropped)
             open_[DEPTH - 1].items.append(open_[-1])
+            if unsure:
+                deep.append(open_[-1])
 
     def close(names, stop=()):
         if not any(there[n] for n in names):
@@ -99,8 +121,10 @@ def parse(page: str) -> Node:
         if m.start() > at:
             piece = page[at : m.start()]
             text.append(piece)
+            seen += len(piece.strip())
             if linked:
                 open_[-1].links += len(piece)
+                seen_links += len(piece.strip())
         at = m.end()
         tag = m[3]
         if not tag:
@@ -134,16 +158,21 @@ def parse(page: str) -> Node:
                     cut(k)
                     break
         key = DIGITS.sub("#", f"{tag}.{names.split()[0]}".replace("|", "-")) if names.split() else tag
-        dropped = tag in DROPPED or hidden or bool(names and tag not in ("body", "article", "main") and ROLE.search(names))
+        role = _role(tag, names) if names and tag not in ("body", "article", "main") else 0
+        dropped = tag in DROPPED or hidden or role == 2
         node = Node(tag, "main" if main and not dropped else key, dropped)
+        if role == 1 and not dropped:
+            unsure.append((len(open_), node, seen, seen_links, len(deep)))
         if len(open_) > DEPTH:
             node.dropped = node.dropped or open_[-1].dropped
+            if unsure:
+                deep.append(node)
         open_[min(len(open_), DEPTH) - 1].items.append(node)
         open_.append(node)
         there[tag] += 1
     if at < len(page):
         text.append(page[at:])
-    flush()
+    cut(1)
     return root
 
 
@@ -158,6 +187,21 @@ def _attributes(raw: str) -> tuple[str, bool, bool]:
     return names, bool(MAIN.search(names)), hidden
 
 
+@functools.lru_cache(maxsize=10_000)
+def _role(tag: str, names: str) -> int:
+    """2 if its names exclude an element, 1 if most of its text has to be links for that, else 0."""
+    words = set(re.split(r"[\s_-]+", names))
+    if words & (ROLES - {"header"} if tag in HEADINGS else ROLES) or "sr-only" in names.split():
+        return 2
+    found = 0
+    for name in names.split():
+        parts = set(re.split("[_-]+", name))
+        rest = parts - OPEN
+        if rest != parts:
+            found = max(found, 2 if rest & FURNITURE or (not rest and tag in CONTAINERS) else 1)
+    return found
+
+
 def runs(node: Node) -> list[list[Node]]:
     """The child blocks, neighbours of one key together: repeats of a list are one slot."""
     out: list[list[Node]] = []
@@ -369,7 +413,8 @@ def _induced(group: pd.DataFrame) -> pd.DataFrame:
 def extract_pages(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """pages with text and n_chars.
 
-    The text is empty where the html is null, empty or has no article text. Pages without a
+    The text is empty where the html is null, empty or has no article text. Words that name
+    article text as well (related-work) exclude an element only if most of its text is links. Pages without a
     host in their url share one wrapper. Equal pages get equal texts; a host whose pages are
     all the same has no template but what is excluded. Input columns named text or n_chars are
     replaced; names that begin with two underscores are this function's own.

@@ -348,6 +348,42 @@ def test_what_is_excluded_stays_so_at_any_depth(spark, depth):
     assert got.text == "head\nOne text.\nTwo\nthree\nfour\ntail\nafter"
 
 
+@pytest.mark.parametrize(
+    ("element", "kept"),
+    [
+        ('<p class="related-work">{}</p>', True),
+        ('<p class="search results">{}</p>', True),
+        ('<p class="share">{}</p>', True),
+        ('<div class="related-work"><p>{}</p></div>', True),
+        ('<h2 class="section-header">{}</h2>', True),
+        ('<section id="social_theory"><div>{}</div></section>', True),
+        ('<ul class="related-topics"><li><a href="/x">{}</a></li><li>and</li></ul>', False),
+        ('<div class="related"><p>{}</p></div>', False),
+        ('<div class="related-posts"><p>{}</p></div>', False),
+        ('<p class="share-buttons">{}</p>', False),
+        ('<div class="page-header">{}</div>', False),
+        ('<form role="search">{}</form>', False),
+        ('<div class="sr-only">{}</div>', False),
+        ('<div id="comments"><p>{}</p></div>', False),
+    ],
+)
+@pytest.mark.parametrize("depth", [1, 148, 149, 150, 151, 300])
+def test_names_that_may_name_article_text(element, kept, depth):
+    body = "<div>" * depth + "<p>before</p>" + element.format("in question") + "<p>after</p>" + "</div>" * depth + "<p>end</p>"
+    root = hx.parse(f"<article>{body}</article>")
+    got = hx.extract(root, hx.shape([root]), "", frozenset())
+    assert got.split("\n") == ["before", *(["in question"] if kept else []), "after", "end"]
+
+
+def test_many_nested_names_take_linear_time():
+    import time
+
+    began = time.time()
+    page = "<div class='related-work'>" * 20_000 + "<a href='/'>all links</a>" + "</div>" * 20_000 + "<p>text</p>"
+    root = hx.parse(page)
+    assert hx.extract(root, hx.shape([root]), "", frozenset()) == "text" and time.time() - began < 20
+
+
 def test_many_blocks_are_aligned_in_time():
     import time
 
