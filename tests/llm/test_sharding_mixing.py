@@ -113,3 +113,37 @@ def test_many_sources_go_by_pools(spark, monkeypatch):
 def test_missing_share(spark):
     with pytest.raises(ValueError, match="no target share"):
         mixing.mix(spark.createDataFrame(rows(), SCHEMA), {"big": 1})
+
+
+def test_the_law_is_the_same_for_any_number_of_sources(spark, monkeypatch):
+    """A schedule depends on its rows and shares alone: not on how many sources one plan, or runs one source, may have."""
+    data = [(i, "t", "heavy" if i % 3 == 0 else f"s{i % 60}", "x") for i in range(1500)]
+    df = spark.createDataFrame(data, SCHEMA)
+    shares = {"heavy": 30} | {f"s{i}": 1 + i % 3 for i in range(60)}
+    places = lambda: [[(r.doc_id, r.phase, r.slot, r.position) for r in mixing.mix(df, s, block_rows=2).orderBy("position").collect()] for s in (shares, None)]
+    whole = places()
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 5)
+    monkeypatch.setattr(mixing, "POOLS", 3)
+    monkeypatch.setattr(mixing, "RUN_ROWS", 7)
+    assert places() == whole
+
+
+def test_five_thousand_sources_stay_within_a_block(spark):
+    """One source with most of the share among many: less than a block from its share in every phase, as if they were few."""
+    names = [f"s{i:04}" for i in range(5000)]
+    df = spark.createDataFrame([(i, "t", "heavy" if i < 3000 else names[i % 5000], "x") for i in range(13000)], SCHEMA)
+    shares = {"heavy": 2600} | {k: 1 + i % 2 for i, k in enumerate(names)}
+    got = mixing.mix(df, shares, block_rows=1).orderBy("position").select("source", "phase", "slot").collect()
+    assert [r.slot for r in got] == list(range(13000))
+    left, phase, start, begun = Counter(r.source for r in got), 0, 0, 0
+    active = sum(shares[k] for k in left)
+    for t, r in enumerate(got):
+        if r.phase != phase:
+            phase, start, begun, active = r.phase, t, 0, sum(shares[k] for k, n in left.items() if n)
+        left[r.source] -= 1
+        begun += r.source == "heavy"
+        if left["heavy"] or r.source == "heavy":
+            assert abs(begun - (t + 1 - start) * shares["heavy"] / active) < 1
+    # default shares keep their proportions among many
+    heavy = mixing.tempered({"heavy": 10**6} | dict.fromkeys(names, 1))
+    assert abs(heavy["heavy"] / heavy["s0000"] - (10**6) ** mixing.TEMPER) < 100
