@@ -600,8 +600,7 @@ def page_titles(spark, sf):
 @query("select url, len(regexp_extract_all(html, '<li><a href')) as links from pages")
 def page_links(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    n = html.page_links(pages).groupBy("url").agg(F.count(F.lit(1)).alias("links"))
-    return pages.select("url").join(n, "url").select("url", "links")
+    return html.linked(pages).select("url", F.when(F.col("html").isNotNull(), F.size("links").cast("bigint")).alias("links"))
 
 
 # references that the pages hold, the ampersand last so that each is read once

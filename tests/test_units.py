@@ -243,3 +243,15 @@ def test_list_rows_by_selectors(spark):
     assert {(r.source_id, r.title, r.url, r.published_on) for r in got} == want and len(got) == 4
     with pytest.raises(ValueError):
         h.selector("li > a")
+
+
+def test_links_are_counted_page_by_page(spark, tmp_path):
+    from statuta.plans import QUERIES
+
+    item = "<li><a href='/d'>one</a>"
+    rows = [(1, "http://a/", item * 2), (2, "http://a/", item * 3), (3, "http://a/b", "<p>none</p><a href='mailto:z'>m</a>"), (4, "http://a/c", None)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r.url, r.links) for r in QUERIES["page_links"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == [("http://a/", 2), ("http://a/", 3), ("http://a/b", 0), ("http://a/c", None)]
+    listed = html.page_links(spark.read.parquet(f"{tmp_path}/pages.parquet").filter("page_id in (2, 3)")).collect()
+    assert [(r.url, r.at, r.text, r.href) for r in listed] == [("http://a/", i, "one", "http://a/d") for i in range(3)]
