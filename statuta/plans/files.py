@@ -5,6 +5,7 @@ from __future__ import annotations
 import copy
 import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import catalog, diffing, shapes
@@ -35,14 +36,19 @@ def record_file_rows(spark, sf):
 
 @query("with e as (select user_id % 40 as d, event_id from events), days as (select d, count(*) as n from e group by d) select concat('2026-01-', lpad(d::varchar, 2, '0')) as day, case when d % 5 = 0 then 'unreadable' when d % 7 = 0 then 'no day' else 'read' end as state, case when d % 5 = 0 or d % 7 = 0 then 0 when d % 11 = 0 then 0 else n end::bigint as changes from days")
 def change_day_files(spark, sf):
-    """A JSON document for each day: some are cut short, some name no day, some have no changes."""
+    """A JSON document for each day, written line by line: some are cut short, some name no day, some have no changes."""
     folder = shared_folder(spark, "files")
     d = F.col("d")
+    day = F.format_string("2026-01-%02d", "d").alias("file")
     one = F.struct(F.lit("discovered").alias("change_type"), F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("policy_id"))
-    days = _table(spark, sf, "events").groupBy((F.col("user_id") % 40).alias("d")).agg(F.collect_list(one).alias("c"))
-    day, none = F.format_string("2026-01-%02d", "d"), F.array().cast("array<struct<change_type:string,policy_id:string>>")
-    text = F.to_json(F.struct(F.when(d % 7 != 0, day).alias("detected_on"), F.when(d % 11 == 0, none).otherwise(F.col("c")).alias("changes")))
-    days.select(F.when(d % 5 == 0, F.substring(text, 1, 10)).otherwise(text).alias("value"), day.alias("file")).repartition(8, "file").write.partitionBy("file").text(folder)
+    e = _table(spark, sf, "events").withColumn("d", F.col("user_id") % 40)
+    opening = F.concat(F.lit("{"), F.when(d % 7 != 0, F.format_string('"detected_on":"2026-01-%02d",', "d")).otherwise(""), F.lit('"changes":['))
+    edge = F.when(d % 5 == 0, F.array(F.substring(opening, 1, 10))).otherwise(F.array(opening, F.lit("]}")))
+    edges = e.select("d").distinct().select(day, F.posexplode(edge).alias("place", "value")).select("file", (F.col("place") * 2).alias("place"), F.lit(0).cast("bigint").alias("at"), "value")
+    lines = edges.unionByName(e.filter(~F.coalesce((d % 5 == 0) | (d % 11 == 0), F.lit(False))).select(day, F.lit(1).alias("place"), F.col("event_id").alias("at"), F.to_json(one).alias("value")))
+    n = F.row_number().over(Window.partitionBy("file").orderBy("place", "at"))
+    lines = lines.withColumn("n", n).sortWithinPartitions("file", "n")
+    lines.select(F.when((F.col("place") == 1) & (F.col("n") > 2), F.concat(F.lit(","), "value")).otherwise(F.col("value")).alias("value"), "file").write.partitionBy("file").text(folder)
     changes, bad = files.read_change_days(spark, folder, suffixes=".txt")
     read = changes.groupBy("day").agg(F.count("policy_id").alias("changes")).select("day", F.lit("read").alias("state"), "changes")
     return read.union(bad.select(F.regexp_extract("file", "file=([0-9-]+)/", 1), F.substring_index("error", ":", 1), F.lit(0)))

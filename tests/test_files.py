@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import io
 import json
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +46,52 @@ def test_change_days(spark, tmp_path):
     assert sorted(r.error for r in bad.collect()) == ["no day", "unreadable: JSONDecodeError"]
 
 
+DOCUMENTS = [
+    '{"detected_on": "2026-01-01", "changes": [{"policy_id": "p\\u00e9\\n é中😀"}, 1, -2.5e-3, null, [{"a": ["]"]}], {"policy_id": "q"}], "change_count": 12}',
+    '{"changes": [ ] , "detected_on":"2026-01-01"}', "{ }", '{"detected_on": "x", "changes": {"a": 1}}', '{"changes": null}', '{"a": {"changes": [1]}, "b": -Infinity}',
+    '{"changes": [1, 2], "changes": [3], "a": 1, "a": 2}', '{"changes": [1, 2], "changes": 3}', '{"changes": 3, "changes": [1, 2]}', '[{"changes": [1]}]', "12", "",
+    '{"changes": [1, 2,]}', '{"changes": [1 2]}', '{"changes": [1, 2]', '{"changes": [1, 2]} x', '{"changes": [tru]}', '{"changes": [{"a": "b]}', '{"changes": [1],}', '{changes: [1]}', '{1: 2}', '{"changes": ["\\x"]}',
+]
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 1 << 20])
+def test_a_record_in_parts_is_the_record(monkeypatch, block):
+    monkeypatch.setattr(files, "BLOCK_BYTES", block)
+    monkeypatch.setattr(files, "PART_CHARS", 1)
+    for raw in [*(d.encode() for d in DOCUMENTS), b'{"changes": [1, "\xff"]}', b'{"changes": [1}, "\xff"', b'{"changes": [1]}\xe4']:
+        want, problem = files.read_record(raw, "a.json")
+        got = list(files.read_in_parts(lambda raw=raw: io.BytesIO(raw), "a.json", "changes"))
+        if problem:
+            assert got == [(None, problem)], raw
+            continue
+        parts, want = [json.loads(r) for r, _ in got], json.loads(want)
+        if isinstance(want.get("changes"), list):
+            assert all(len(p["changes"]) <= 20 for p in parts)
+            assert [x for p in parts for x in p.pop("changes")] == want.pop("changes"), raw
+        assert all(p == want for p in parts), raw
+        heads = [json.loads(r) for r, _ in files.read_in_parts(lambda raw=raw: io.BytesIO(raw), "a.json", "changes", True)]
+        assert len(heads) == 1 and heads[0].get("changes") in ([], parts[0].get("changes")) and heads[0] | {"changes": 0} == parts[0] | {"changes": 0}
+
+
+def test_a_large_day_is_read_in_parts(spark, tmp_path):
+    changes = [{"change_type": "new", "policy_id": f"policy-{i}", "detail": "é" * (i % 50)} for i in range(60_000)]
+    (tmp_path / "1.json").write_text(json.dumps({"detected_on": "2026-01-01", "changes": changes}, ensure_ascii=False))
+    (tmp_path / "2.yaml").write_text("detected_on: '2026-01-02'\nchanges:\n- policy_id: y\n- policy_id: z\n")
+    (tmp_path / "3.json").write_text(json.dumps({"changes": changes}))
+    (tmp_path / "4.json").write_text(json.dumps({"detected_on": "2026-01-04", "changes": changes})[:-1])
+    parts = files.record_files(spark, f"file://{tmp_path}", inParts="changes").filter("path like '%1.json'").selectExpr("part", "length(record) as n").collect()
+    assert len(parts) > 10 and sorted(p.part for p in parts) == list(range(len(parts))) and max(p.n for p in parts) < files.PART_CHARS + 1000
+    rows, bad = files.read_change_days(spark, f"file://{tmp_path}")
+    assert [(r.day, r.policy_id) for r in rows.collect()] == [("2026-01-02", "y"), ("2026-01-02", "z"), *(("2026-01-01", p) for p in sorted(c["policy_id"] for c in changes))]
+    assert sorted((r.file[-6:], r.error) for r in bad.collect()) == [("3.json", "no day"), ("4.json", "unreadable: JSONDecodeError")]
+    raw = (tmp_path / "1.json").read_bytes()
+    tracemalloc.start()
+    n = sum(len(json.loads(r)["changes"]) for r, _ in files.read_in_parts(lambda: io.BytesIO(raw), "1.json", "changes"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(changes) and peak < 8 * files.BLOCK_BYTES
+
+
 CHANGES = "detected_on date, policy_id string"
 
 
